@@ -1,0 +1,11 @@
+"""Registered queries over the given tables, each with its checking SQL."""
+
+from __future__ import annotations
+
+
+def load():
+    """All registered queries by name."""
+    from logweir.catalog import event_queries, schedule_queries  # noqa: F401
+    from logweir.catalog.registry import REGISTRY
+
+    return REGISTRY

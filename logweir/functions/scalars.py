@@ -12,7 +12,7 @@ FAILED_OUTCOMES = ["failed", "error", "cancelled", "stopped", "timeout"]
 
 
 def safe_filename(name: Column) -> Column:
-    cleaned = F.regexp_replace(name, r"[^\p{IsAlphabetic}\p{N}._-]", "_")
+    cleaned = F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_")
     cleaned = F.regexp_replace(cleaned, r"^[._]+|[._]+$", "")
     return F.when(F.coalesce(cleaned, F.lit("")) == "", F.lit("upload")).otherwise(cleaned)
 

@@ -35,6 +35,8 @@ def local_session(app_name: str = "logweir", cores: str = "*", **conf: str) -> S
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
     )
     for key, value in {**RUNTIME_SETTINGS, **conf}.items():
