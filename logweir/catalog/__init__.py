@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load():
     """All registered queries by name."""
-    from logweir.catalog import event_queries, schedule_queries  # noqa: F401
+    from logweir.catalog import event_queries, record_queries, schedule_queries  # noqa: F401
     from logweir.catalog.registry import REGISTRY
 
     return REGISTRY
