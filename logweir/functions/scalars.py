@@ -71,17 +71,36 @@ def json_object_or_empty(text: Column) -> Column:
     return F.when(is_object, text).otherwise(F.lit("{}"))
 
 
+def json_value(json_text: Column, path: str) -> Column:
+    """Value at ``path`` with its JSON type; null if absent or the text is no JSON."""
+    return F.try_variant_get(F.try_parse_json(json_text), path, "variant")
+
+
+NUMBER_KIND = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+
+
 def json_whole_number(json_text: Column, path: str) -> Column:
     """Whole number at ``path``: 7, 7.0 and "7" give 7; booleans and the rest null."""
 
-    def as_number(text: Column) -> Column:
-        number = text.try_cast("double")
-        whole = number == F.floor(number)
-        return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("long")).when(
-            whole, number.cast("long")
+    def as_number(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        text = F.try_variant_get(value, "$", "string")
+        number = F.try_variant_get(value, "$", "double")
+        return F.when((kind == "STRING") & text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("long")).when(
+            kind.rlike(NUMBER_KIND) & (number == F.floor(number)), number.cast("long")
         )
 
-    return let(F.get_json_object(json_text, path), as_number)
+    return let(json_value(json_text, path), as_number)
+
+
+def json_positive_number(json_text: Column, path: str) -> Column:
+    """A number at ``path`` cut to its whole part, if it is above zero."""
+
+    def as_number(value: Column) -> Column:
+        number = F.try_variant_get(value, "$", "double")
+        return F.when(F.schema_of_variant(value).rlike(NUMBER_KIND) & (number > 0), number.cast("long"))
+
+    return let(json_value(json_text, path), as_number)
 
 
 def sorted_json(entries: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions import prompts
 from logweir.functions.ids import content_hash, node_id
-from logweir.functions.scalars import json_whole_number
+from logweir.functions.scalars import json_positive_number, json_whole_number
 from logweir.functions.summaries import reduce_tokens, summary_block, summary_body, summary_json, with_body
 from logweir.operators.latest import latest
 from logweir.operators.packing import forced_group, index_rows, pack_rows
@@ -135,12 +135,10 @@ def order_reduce_inputs(artifacts: DataFrame, node_index: str | None = "node_ind
 
 def estimate_reduce_tokens(artifacts: DataFrame) -> DataFrame:
     """Add ``tokens``: the stored estimate if positive, else that of the content's block."""
-    stored = F.get_json_object("metadata", "$.reduce_input_estimated_tokens")
-    is_number = F.get_json_object("metadata", "$.reduce_input_estimated_tokens").rlike(r"^-?\d")
-    kept = F.when(is_number, stored.try_cast("double").cast("long"))
+    kept = json_positive_number(F.col("metadata"), "$.reduce_input_estimated_tokens")
     sized = with_body(artifacts, "content", "_body")
     own = F.when(F.length("content") > 0, reduce_tokens(F.col("_body"))).otherwise(F.lit(1).cast("long"))
-    return sized.withColumn("tokens", F.when(kept > 0, kept).otherwise(own)).drop("_body")
+    return sized.withColumn("tokens", F.coalesce(kept, own)).drop("_body")
 
 
 def group_reduce_inputs(
