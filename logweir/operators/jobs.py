@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.operators.latest import newest_first
+from logweir.operators.ordered import with_previous
 
 # Event types and statuses the read models depend on.
 START_EVENTS = ["INPUT_INGEST_STARTED", "JOB_RUNNING", "JOB_RESUMED"]
@@ -131,35 +132,34 @@ def timeline(events: DataFrame, limit: int, job_id: str | None = None) -> DataFr
     order = [F.asc("event_time"), F.asc("event_id")]
     if job_id is not None:
         return newest_first(events.filter(F.col("job_id") == job_id), limit, *order)
-    from pyspark.sql import Window
-
     position = F.row_number().over(Window.partitionBy("job_id").orderBy(*order))
     return events.withColumn("position", position).filter(F.col("position") <= limit)
 
 
-def recent_events(job_events: DataFrame, node_events: DataFrame, limit: int = 200) -> DataFrame:
-    """Newest events of both logs in one shape."""
-
-    def shaped(events: DataFrame, scope: str, status: str) -> DataFrame:
-        node = scope == "NODE"
-        return events.select(
-            "event_id",
-            F.lit("summary").alias("service"),
-            F.lit(scope).alias("scope"),
-            "job_id",
-            (F.col("node_id") if node else F.lit("")).alias("node_id"),
-            "event_time",
-            "event_type",
-            F.col(status).alias("status"),
-            "actor",
-            "message",
-            "payload",
-            (F.col("node_type") if node else F.lit("")).alias("node_type"),
-            (F.col("level") if node else F.lit(0)).cast("int").alias("level"),
-            (F.col("node_index") if node else F.lit(0)).cast("int").alias("node_index"),
-        )
+def one_shape(events: DataFrame, scope: str) -> DataFrame:
+    """Job or node events in the common shape; ``scope`` is JOB or NODE."""
+    node = scope == "NODE"
+    return events.select(
+        "event_id",
+        F.lit("summary").alias("service"),
+        F.lit(scope).alias("scope"),
+        "job_id",
+        (F.col("node_id") if node else F.lit("")).alias("node_id"),
+        "event_time",
+        "event_type",
+        F.col("node_status" if node else "job_status").alias("status"),
+        "actor",
+        "message",
+        "payload",
+        (F.col("node_type") if node else F.lit("")).alias("node_type"),
+        (F.col("level") if node else F.lit(0)).cast("int").alias("level"),
+        (F.col("node_index") if node else F.lit(0)).cast("int").alias("node_index"),
+    )
+
 
-    both = shaped(job_events, "JOB", "job_status").unionByName(shaped(node_events, "NODE", "node_status"))
+def recent_events(job_events: DataFrame, node_events: DataFrame, limit: int = 200) -> DataFrame:
+    """Newest events of both logs."""
+    both = one_shape(job_events, "JOB").unionByName(one_shape(node_events, "NODE"))
     return newest_first(both, limit, F.desc("event_time"), F.desc("event_id"), F.desc("scope"))
 
 
@@ -200,8 +200,6 @@ def staged_uploads(job_events: DataFrame, limit: int = 200, files: DataFrame | N
 
 def changed_snapshots(snapshots: DataFrame, key: str, order: list[str], content: str) -> DataFrame:
     """Snapshots whose content differs from the previous one of the same key."""
-    from logweir.operators.ordered import with_previous
-
     hashed = snapshots.withColumn("snapshot_hash", F.sha2(F.col(content), 256))
     paired = with_previous(hashed, key, order, {"previous_hash": F.col("snapshot_hash")})
     same = F.col("previous_hash") == F.col("snapshot_hash")
