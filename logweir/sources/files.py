@@ -15,12 +15,12 @@ from functools import reduce as fold
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweir.functions.records import normalize_rows, plain_records
-from logweir.functions.text import is_blank, strip
+from logweir.functions.text import is_blank, let, strip
 from logweir.sources.formats import FORMATS, UnsupportedFormat, detect_format
 
 HEAD_BYTES = 65_536
@@ -184,23 +184,31 @@ def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_co
     """
     lines = _lines(spark, paths).withColumn("value", strip(F.col("value"))).filter(F.col("value").startswith("|"))
     place = F.struct("block", "line")
-    headers = lines.groupBy("source_id").agg(
-        F.min_by("value", place).alias("_header"), F.min(place).alias("_first"), F.count("*").alias("_rows")
+    headers = (
+        lines.groupBy("source_id")
+        .agg(F.min_by("value", place).alias("_header"), F.min(place).alias("_first"), F.count("*").alias("_rows"))
+        .select("source_id", table_cells(F.col("_header")).alias("_names"), "_first", "_rows")
     )
     short = F.col("_rows") < 2
+    width = F.size("_names")
+
+    def fitted(cells: Column) -> Column:
+        """Cells cut to the header, null for a separator or an empty row."""
+        count = F.size(cells)
+        folded = F.when(
+            count > width,
+            F.concat(
+                F.slice(cells, F.lit(1), width - 1),
+                F.array(F.array_join(F.slice(cells, width, count - width + 1), "|")),
+            ),
+        ).otherwise(F.concat(cells, F.array_repeat(F.lit(""), F.greatest(width - count, F.lit(0)))))
+        separator = F.forall(cells, lambda cell: F.regexp_replace(cell, "^:+|:+$", "").rlike("^-+$"))
+        filled = F.exists(cells, lambda cell: cell != "")
+        return F.when(short | (~separator & filled), folded)
+
     lined = lines.join(headers, "source_id").filter(short | (place > F.col("_first")))
-    split = lined.withColumn("_names", table_cells(F.col("_header"))).withColumn("_cells", table_cells(F.col("value")))
-    width, count = F.size("_names"), F.size("_cells")
-    folded = F.when(
-        count > width,
-        F.concat(
-            F.slice("_cells", F.lit(1), width - 1),
-            F.array(F.array_join(F.slice("_cells", width, count - width + 1), "|")),
-        ),
-    ).otherwise(F.concat("_cells", F.array_repeat(F.lit(""), F.greatest(width - count, F.lit(0)))))
-    separator = F.forall("_cells", lambda cell: cell.rlike(r"^:*-+[-:]*$") & F.regexp_replace(cell, "^:+|:+$", "").rlike("^-+$"))
-    filled = F.exists("_cells", lambda cell: cell != "")
-    rows = split.filter(short | (~separator & filled)).withColumn("_row", F.map_from_arrays("_names", folded))
+    split = lined.withColumn("_cells", let(table_cells(F.col("value")), fitted)).filter(F.col("_cells").isNotNull())
+    rows = split.withColumn("_row", F.map_from_arrays("_names", "_cells"))
     records = normalize_rows(rows, "_row", raw_line_column, [*PLACE, "_rows"])
     error = F.when(F.col("_rows") < 2, "markdown table must contain a header and at least one data row")
     return records.withColumn("reject_reason", F.coalesce(error, "reject_reason")).drop("_rows")
