@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.session import spread
+
 
 class Tables:
     """The given tables of one folder, and the tables derived from them."""
@@ -23,6 +25,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A given table for costly row-local work."""
+        return spread(self.read(name))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in DERIVED:
             return DERIVED[name](self)
@@ -33,6 +39,10 @@ def _select(table: str, *columns: str) -> Callable[[Tables], DataFrame]:
     return lambda tables: tables.read(table).selectExpr(*columns)
 
 
+def _spread_select(table: str, *columns: str) -> Callable[[Tables], DataFrame]:
+    return lambda tables: tables.spread(table).selectExpr(*columns)
+
+
 # Names for the event types of the given table, per derived log.
 def _case(subject: str, cases: dict[str, str], default: str) -> str:
     arms = " ".join(f"WHEN '{key}' THEN '{value}'" for key, value in cases.items())
@@ -312,7 +322,7 @@ RUN_VERSIONS = "version = 1 OR o_orderkey % 3 = 0"
 
 
 def _turn_calls(tables: Tables) -> DataFrame:
-    turns = tables.read("conversations").selectExpr(*TURN_CALLS)
+    turns = tables.spread("conversations").selectExpr(*TURN_CALLS)
     message = F.struct("role", F.col("text").alias("content"))
     blank = F.struct(F.lit("user").alias("role"), F.lit("  ").alias("content"))
     choice = F.struct(F.struct(F.col("text").alias("content")).alias("message"))
@@ -326,14 +336,14 @@ def _turn_calls(tables: Tables) -> DataFrame:
 
 
 DERIVED: dict[str, Callable[[Tables], DataFrame]] = {
-    "raw_rows": _select("events", *RAW_ROWS),
+    "raw_rows": _spread_select("events", *RAW_ROWS),
     "job_events": _select("events", *JOB_EVENTS),
     "node_events": _select("events", *NODE_EVENTS),
     "upload_events": _select("events", *UPLOAD_EVENTS),
     "artifacts": lambda tables: tables.read("events").filter("event_type = 'purchase'").selectExpr(*_to_spark(ARTIFACTS)),
     "segments": _select("events", *_to_spark(SEGMENTS)),
     "llm_calls": _select("events", *LLM_CALLS),
-    "map_outputs": _select("events", *_to_spark(MAP_OUTPUTS)),
+    "map_outputs": _spread_select("events", *_to_spark(MAP_OUTPUTS)),
     "profiles": _versioned("customer", PROFILES),
     "schedules": _versioned("customer", SCHEDULES),
     "runs": _versioned("orders", RUNS, RUN_VERSIONS),

@@ -211,7 +211,7 @@ def s7(t: Tables):
 )
 def s8(t: Tables):
     units = text.text_units(F.col("text"))
-    return t.read("documents").select("doc_id", F.posexplode(units).alias("unit_index", "unit"))
+    return t.spread("documents").select("doc_id", F.posexplode(units).alias("unit_index", "unit"))
 
 
 TURN_UNITS = duck.units_cte("turns", "turn_id", "text")
@@ -223,7 +223,7 @@ TURN_UNITS = duck.units_cte("turns", "turn_id", "text")
     f"WITH turns AS (SELECT conv_id * 1000000 + turn AS turn_id, text FROM conversations), {TURN_UNITS} SELECT turn_id, CAST(unit_index AS INT) AS unit_index, unit FROM units",
 )
 def s8_turns(t: Tables):
-    turns = t.read("conversations").withColumn("turn_id", F.col("conv_id") * 1000000 + F.col("turn"))
+    turns = t.spread("conversations").withColumn("turn_id", F.col("conv_id") * 1000000 + F.col("turn"))
     return turns.select("turn_id", F.posexplode(text.text_units(F.col("text"))).alias("unit_index", "unit"))
 
 
@@ -235,7 +235,7 @@ def s8_turns(t: Tables):
 )
 def c2(t: Tables):
     pieces = text.split_long_units(text.text_units(F.col("text")), 40)
-    return t.read("documents").select("doc_id", F.posexplode(pieces).alias("piece_index", "piece"))
+    return t.spread("documents").select("doc_id", F.posexplode(pieces).alias("piece_index", "piece"))
 
 
 CHUNKS = f"""WITH RECURSIVE {duck.units_cte('documents', 'doc_id', 'text')}, {duck.pieces_cte('doc_id', 2 * BUDGET)}
@@ -315,5 +315,5 @@ def k4(t: Tables):
     SELECT doc_id, summary, array_to_string(points, '|') AS key_points, source_count FROM dry""",
 )
 def m3(t: Tables):
-    docs = t.read("documents").select("doc_id", dry_result(F.lit("MAP"), F.col("text")).alias("r"))
+    docs = t.spread("documents").select("doc_id", dry_result(F.lit("MAP"), F.col("text")).alias("r"))
     return docs.select("doc_id", "r.summary", F.array_join("r.key_points", "|").alias("key_points"), "r.source_count")

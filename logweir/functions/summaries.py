@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.pretty import pretty_json
@@ -60,7 +62,7 @@ def json_text(text: Column) -> Column:
     return F.when(literal.contains("\\u00"), lowered).otherwise(literal)
 
 
-def summary_json(result: Column) -> Column:
+def summary_json(result: Column | Mapping[str, Column]) -> Column:
     """The summary value as JSON text, indented by two spaces."""
 
     def items(values: Column) -> Column:
@@ -82,47 +84,40 @@ def summary_json(result: Column) -> Column:
     )
 
 
-def summary_body(result: Column) -> Column:
+def summary_body(result: Column | Mapping[str, Column]) -> Column:
     """Summary and key points of a value as they enter the next reduce prompt."""
     points = F.array_join(F.transform(result["key_points"], lambda point: F.concat(F.lit("- "), point)), "\n")
     return F.concat(result["summary"], F.lit("\n"), points)
 
 
-def is_summary_json(text: Column) -> Column:
-    """Whether a text is exactly a summary value in JSON."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).rlike(_CANONICAL), F.lit(False))
-
-
-def artifact_body(content: Column) -> Column:
-    """Body of stored content: a summary value, other JSON indented, or the text as is."""
+def json_shape(text: Column) -> Column:
+    """Type of a JSON object or array; empty text for anything else.
 
-    def body(raw: Column) -> Column:
-        value = F.try_parse_json(raw)
-        shape = F.schema_of_variant(value)
-        as_summary = summary_body(F.from_json(raw, SUMMARY_TYPE))
-        is_nested = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-        return (
-            F.when(shape.rlike(_CANONICAL), as_summary)
-            .when(is_nested, F.concat(F.coalesce(F.col("_pretty"), raw), F.lit("\n")))
-            .otherwise(F.concat(raw, F.lit("\n")))
-        )
+    Only texts that start like one are parsed: failing to parse is the slow case.
+    """
+    shape = F.schema_of_variant(F.try_parse_json(text))
+    nested = F.when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), shape)
+    return F.when(text.startswith("{") | text.startswith("["), F.coalesce(nested, F.lit(""))).otherwise("")
 
-    return let(strip(content), body)
 
+def is_summary_json(text: Column) -> Column:
+    """Whether a text is exactly a summary value in JSON."""
+    return F.coalesce(json_shape(strip(text)).rlike(_CANONICAL), F.lit(False))
 
-def needs_pretty(content: Column) -> Column:
-    """Whether content is JSON that is not a summary value, so must be indented."""
-    raw = strip(content)
-    shape = F.schema_of_variant(F.try_parse_json(raw))
-    nested = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-    return F.coalesce(nested & ~shape.rlike(_CANONICAL), F.lit(False))
 
+def with_body(df: DataFrame, content: str = "content", body: str = "body") -> DataFrame:
+    """Add the body of stored content: a summary value, other JSON indented, or the text as is.
 
-def with_body(df, content: str = "content", body: str = "body"):
-    """Add the reduce-input body; only rows that need indenting visit Python."""
-    raw = F.when(needs_pretty(F.col(content)), strip(F.col(content)))
-    indented = df.withColumn("_pretty", pretty_json(raw))
-    return indented.withColumn(body, artifact_body(F.col(content))).drop("_pretty")
+    Only content that needs indenting visits Python.
+    """
+    raw, shape = F.col("_raw"), F.col("_shape")
+    staged = df.withColumn("_raw", strip(F.col(content))).withColumn("_shape", json_shape(raw))
+    is_summary = shape.rlike(_CANONICAL)
+    indented = staged.withColumn("_pretty", pretty_json(F.when((shape != "") & ~is_summary, raw)))
+    text = F.when(is_summary, summary_body(F.from_json(raw, SUMMARY_TYPE))).otherwise(
+        F.concat(F.coalesce("_pretty", raw), F.lit("\n"))
+    )
+    return indented.withColumn(body, text).drop("_raw", "_shape", "_pretty")
 
 
 def summary_block(index: Column, body: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 # Fixed values of the token estimate and of the chunk splitter.
@@ -27,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -66,14 +67,8 @@ def text_units(text: Column) -> Column:
 
 def split_long(unit: Column, max_chars: int) -> Column:
     """Cut one unit every ``max_chars`` characters; strip pieces, drop empty ones."""
-    last = F.floor((F.length(unit) - 1) / F.lit(max_chars)).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: strip(F.substring(unit, i * F.lit(max_chars) + F.lit(1), F.lit(max_chars))),
-    )
-    return F.when(F.length(unit) <= max_chars, F.array(unit)).otherwise(
-        F.filter(pieces, lambda piece: piece != "")
-    )
+    pieces = F.transform(F.regexp_extract_all(unit, F.lit(f"(?s).{{1,{max_chars}}}"), F.lit(0)), strip)
+    return F.when(F.length(unit) <= max_chars, F.array(unit)).otherwise(F.filter(pieces, lambda piece: piece != ""))
 
 
 def split_long_units(units: Column, max_chars: int) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.text import let
+from logweir.session import spread
 
 # Names and shortcuts of the cron notation.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -25,8 +26,8 @@ SHORTCUTS = {
     "@yearly": "0 0 1 1 *",
     "@annually": "0 0 1 1 *",
 }
-NEAR_DAYS = 62
-FAR_DAYS = 366 * 8 + 3
+# Days to look ahead: enough for weekly, monthly and leap-day schedules in turn.
+HORIZONS = [22, 100, 366 * 8 + 3]
 FIELD = r"^(\*|\d+(-\d+)?)(/[1-9]\d*)?(,(\*|\d+(-\d+)?)(/[1-9]\d*)?)*$"
 
 
@@ -66,8 +67,7 @@ def _values(field: Column, low: int, high: int) -> Column:
 def parse_cron(cron: Column) -> Column:
     """Fields of a five-field cron text as arrays; null if the text is not valid."""
     text = F.trim(F.regexp_replace(F.lower(cron), r"\s+", " "))
-    for shortcut, meaning in SHORTCUTS.items():
-        text = F.when(text == shortcut, meaning).otherwise(text)
+    known = F.create_map(*[F.lit(item) for pair in SHORTCUTS.items() for item in pair])
 
     def fields(parts: Column) -> Column:
         weekdays = F.transform(_values(parts[4], 0, 7), lambda day: day % 7)
@@ -84,7 +84,7 @@ def parse_cron(cron: Column) -> Column:
             ),
         )
 
-    return let(F.split(text, " "), fields)
+    return let(let(text, lambda given: F.split(F.coalesce(F.try_element_at(known, given), given), " ")), fields)
 
 
 def is_valid_cron(cron: Column) -> Column:
@@ -98,15 +98,20 @@ def is_valid_cron(cron: Column) -> Column:
 
 
 def next_fire(schedules: DataFrame, cron: str, timezone: str, after: str, result: str = "next_fire_at") -> DataFrame:
-    """Add the first instant after ``after`` at which the schedule fires (UTC)."""
+    """Add the first instant after ``after`` at which the schedule fires (UTC).
+
+    Away from clock changes the answer is plain arithmetic on local time; only rows
+    near one look at the candidates of whole days.
+    """
     zone = F.when(F.coalesce(F.col(timezone), F.lit("")) == "", "UTC").otherwise(F.col(timezone))
     staged = (
-        schedules.withColumn("_fields", parse_cron(F.col(cron)))
+        spread(schedules).withColumn("_fields", parse_cron(F.col(cron)))
         .withColumn("_zone", zone)
         .withColumn("_after", F.col(after).cast("timestamp"))
-        .withColumn("_today", F.to_date(F.from_utc_timestamp("_after", F.col("_zone"))))
+        .withColumn("_local", F.from_utc_timestamp("_after", F.col("_zone")))
     )
-    fields = F.col("_fields")
+    fields, today = F.col("_fields"), F.to_date("_local")
+    now_minute = F.hour("_local") * 60 + F.minute("_local")
 
     def day_matches(day: Column) -> Column:
         by_day = F.array_contains(fields["days"], F.dayofmonth(day))
@@ -114,28 +119,52 @@ def next_fire(schedules: DataFrame, cron: str, timezone: str, after: str, result
         either = F.when(fields["any_day"] | fields["any_weekday"], by_day & by_weekday).otherwise(by_day | by_weekday)
         return F.array_contains(fields["months"], F.month(day)) & either
 
-    def days(first: int, count: int) -> Column:
-        span = F.sequence(F.date_add("_today", first), F.date_add("_today", first + count - 1))
-        return F.filter(span, day_matches)
+    def days(horizon: int) -> Column:
+        return F.filter(F.sequence(today, F.date_add(today, horizon - 1)), day_matches)
+
+    # Three days: one may be over already, and a clock change may skip the next one.
+    staged = staged.withColumn("_days", days(HORIZONS[0]))
+    for horizon in HORIZONS[1:]:
+        staged = staged.withColumn("_days", F.when(F.size("_days") >= 3, F.slice("_days", 1, 3)).otherwise(days(horizon)))
+    minutes = F.flatten(F.transform(fields["hours"], lambda hour: F.transform(fields["minutes"], lambda minute: hour * 60 + minute)))
+    staged = staged.withColumn("_minutes", minutes)
+
+    def to_time(day: Column, minute: Column) -> Column:
+        return F.timestamp_add("MINUTE", minute, day.cast("timestamp"))
+
+    def to_utc(local: Column) -> Column:
+        return F.to_utc_timestamp(local, F.col("_zone"))
 
-    near = days(0, NEAR_DAYS)
-    staged = staged.withColumn("_near", near).withColumn(
-        "_days",
-        F.slice(F.when(F.size("_near") >= 3, F.col("_near")).otherwise(F.concat("_near", days(NEAR_DAYS, FAR_DAYS))), 1, 3),
+    def to_local(utc: Column) -> Column:
+        return F.from_utc_timestamp(utc, F.col("_zone"))
+
+    later_today = F.array_min(F.filter("_minutes", lambda minute: minute > now_minute))
+    first_day = F.get("_days", 0)
+    is_today = first_day == today
+    other_day = F.when(is_today, F.get("_days", 1)).otherwise(first_day)
+    plain = F.when(is_today & later_today.isNotNull(), to_time(first_day, later_today)).otherwise(
+        to_time(other_day, F.array_min("_minutes"))
+    )
+    staged = staged.withColumn("_plain", plain).withColumn("_fires", to_utc(F.col("_plain")))
+    two_hours = F.expr("INTERVAL '2' HOUR")
+    steady = (
+        (to_local(F.col("_fires")) == F.col("_plain"))
+        & (F.col("_fires") > F.col("_after"))
+        & (to_local(F.col("_after") + two_hours) == F.col("_local") + two_hours)
     )
 
-    def instants(day: Column) -> Column:
-        def at(hour: Column, minute: Column) -> Column:
-            local = F.timestamp_add("MINUTE", hour * F.lit(60) + minute, day.cast("timestamp"))
-            first = F.to_utc_timestamp(local, F.col("_zone"))
-            later = F.transform(F.array(F.lit(0), F.lit(30), F.lit(60)), lambda shift: F.timestamp_add("MINUTE", shift, first))
-            fits = lambda utc: (F.from_utc_timestamp(utc, F.col("_zone")) == local) & (utc > F.col("_after"))
-            return F.array_min(F.filter(later, fits))
+    def first_instant(day: Column) -> Column:
+        """First firing instant after ``after`` on a local day, clock changes and all."""
 
-        times = F.transform(
-            fields["hours"], lambda hour: F.array_min(F.transform(fields["minutes"], lambda minute: at(hour, minute)))
-        )
-        return F.array_min(times)
+        def at(minute: Column) -> Column:
+            local = to_time(day, minute)
+            shifts = F.array(F.lit(0), F.lit(30), F.lit(60))
+            instants = F.transform(shifts, lambda shift: F.timestamp_add("MINUTE", shift, to_utc(local)))
+            return F.array_min(F.filter(instants, lambda utc: (to_local(utc) == local) & (utc > F.col("_after"))))
+
+        return F.array_min(F.transform("_minutes", at))
 
-    first = F.array_min(F.transform("_days", instants))
-    return staged.withColumn(result, first).drop("_fields", "_zone", "_after", "_today", "_near", "_days")
+    exact = F.array_min(F.transform("_days", first_instant))
+    answer = F.when(steady, F.col("_fires")).otherwise(exact)
+    helpers = ["_fields", "_zone", "_after", "_local", "_days", "_minutes", "_plain", "_fires"]
+    return staged.withColumn(result, answer).drop(*helpers)

@@ -23,6 +23,7 @@ from logweir.functions.text import (
 )
 from logweir.operators.latest import latest
 from logweir.operators.packing import PART, Labeller, Limits, label_run, prepare
+from logweir.session import spread
 
 DEFAULT_CHUNK_TOKENS = 6000
 
@@ -195,7 +196,7 @@ def build_chunks(df: DataFrame, key: str, text: str, budget: int = DEFAULT_CHUNK
     all work on it stays in that row: no shuffle at any scale.
     """
     limit = max(MIN_TARGET_TOKENS, budget)
-    units = df.select(
+    units = spread(df.select(key, text)).select(
         key,
         split_long_units(text_units(F.col(text)), int(limit * SPLIT_CHARS_PER_TOKEN)).alias("_units"),
     )

@@ -22,6 +22,9 @@ REDUCE_TARGET_TOKENS = 4000
 MIN_TARGET_TOKENS = 256
 NO_INDEX = 10**12
 
+RESULT_FIELDS = ["ok", "summary", "key_points", "warnings", "source_count"]
+_FACTS = ["job_id", "node_id", "node_index", "level", "seq_start", "seq_end"]
+
 ORDER = ["seq_start", "seq_end", "node_index", "node_id"]
 
 
@@ -58,16 +61,12 @@ def _template(stage: str, own: bool) -> Column | None:
 
 def _outputs(results: DataFrame, *keep: str) -> DataFrame:
     """Stage results as artifacts: JSON content, its hash, and what the next level needs."""
-    stored = results.withColumn("content", summary_json(F.col("result"))).withColumn(
-        "body", summary_body(F.col("result"))
-    )
-    return stored.select(
-        "job_id",
-        "node_id",
-        "node_index",
-        "level",
-        "seq_start",
-        "seq_end",
+    # The value's fields become columns first, so that none is computed twice.
+    values = results.select(*_FACTS, *keep, *[F.col(f"result.{name}").alias(f"_{name}") for name in RESULT_FIELDS])
+    result = {name: F.col(f"_{name}") for name in RESULT_FIELDS}
+    texts = values.select(*_FACTS, *keep, summary_json(result).alias("content"), summary_body(result).alias("body"))
+    return texts.select(
+        *_FACTS,
         "content",
         content_hash(F.col("content")).alias("content_hash"),
         "body",

@@ -67,3 +67,20 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SPREAD_BYTES = 64 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly row-local work.
+
+    A file of one row group is one task, however many cores are idle. An input that
+    already has work for every core by its size is left as it is, so nothing large is
+    ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * SPREAD_BYTES:
+        return df
+    return df.repartition(cores)

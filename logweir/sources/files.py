@@ -26,6 +26,8 @@ from logweir.sources.formats import FORMATS, UnsupportedFormat, detect_format
 HEAD_BYTES = 65_536
 DELIMITERS = ",;\t"
 SPARE_CELLS = 16
+# A header row is at most HEAD_BYTES long, in practice far shorter.
+BROADCAST_FILES = 2_000
 PLACE = ["source_id", "block", "line"]
 BOM = "\ufeff"
 
@@ -45,6 +47,11 @@ def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.withColumn("value", F.regexp_replace("value", "^" + BOM, ""))
 
 
+def _per_file(table: DataFrame, files_count: int) -> DataFrame:
+    """A one-row-per-file table for a join; broadcast if the files are few enough."""
+    return F.broadcast(table) if files_count <= BROADCAST_FILES else table
+
+
 def read_plain_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One record per non-blank line; leading blanks are kept."""
     lines = _lines(spark, paths).filter(~is_blank(F.col("value")))
@@ -149,7 +156,7 @@ def _read_dialect(
         "_cells", F.coalesce(_split_record(overfull, F.lit(delimiter), F.lit(quote)), F.col("_cells"))
     ).drop("_record")
     filled = wide.filter(F.exists("_cells", lambda cell: ~is_blank(F.coalesce(cell, F.lit("")))))
-    headers = layouts.select("source_id", "header")
+    headers = _per_file(layouts.select("source_id", "header"), len(files))
     rows = filled.join(headers, "source_id").withColumn("_row", _row_map(F.col("header"), F.col("_cells")))
     return normalize_rows(rows, "_row", raw_line_column, PLACE)
 
@@ -182,7 +189,8 @@ def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_co
     The header is the first table line of its file: a one-row-per-file aggregate
     joined back, so a file needs no task of its own.
     """
-    lines = _lines(spark, paths).withColumn("value", strip(F.col("value"))).filter(F.col("value").startswith("|"))
+    read = _lines(spark, paths)
+    lines = read.withColumn("value", strip(F.col("value"))).filter(F.col("value").startswith("|"))
     place = F.struct("block", "line")
     headers = (
         lines.groupBy("source_id")
@@ -206,7 +214,7 @@ def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_co
         filled = F.exists(cells, lambda cell: cell != "")
         return F.when(short | (~separator & filled), folded)
 
-    lined = lines.join(headers, "source_id").filter(short | (place > F.col("_first")))
+    lined = lines.join(_per_file(headers, len(read.inputFiles())), "source_id").filter(short | (place > F.col("_first")))
     split = lined.withColumn("_cells", let(table_cells(F.col("value")), fitted)).filter(F.col("_cells").isNotNull())
     rows = split.withColumn("_row", F.map_from_arrays("_names", "_cells"))
     records = normalize_rows(rows, "_row", raw_line_column, [*PLACE, "_rows"])

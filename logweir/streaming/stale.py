@@ -25,8 +25,9 @@ def _watcher(limits: dict[str, int]):
             return
         newest = state.get if state.exists else None
         for batch in batches:
-            row = batch.sort_values(["event_millis", "event_id"]).iloc[-1]
-            found = (int(row.event_millis), str(row.event_id), str(row.node_status))
+            columns = (batch["event_millis"].to_numpy(), batch["event_id"].to_numpy(), batch["node_status"].to_numpy())
+            at, event_id, status = max(zip(*columns))
+            found = (int(at), event_id, status)
             if newest is None or found[:2] > newest[:2]:
                 newest = found
         state.update(newest)
