@@ -154,7 +154,7 @@ NODE_FACTS = "job_id, node_id, level, node_index, input_node_ids, input_hash, in
 )
 def m8(t: Tables):
     grouped = tree.group_reduce_inputs(map_outputs(t), tree.ORDER, GROUP, REDUCE_BUDGET)
-    nodes = tree.create_reduce_level(grouped.filter("inputs_count > 1"), 1)
+    nodes = tree.create_reduce_level(grouped.filter("inputs_count > 1"))
     return nodes.withColumn("input_node_ids", F.array_join("input_node_ids", ",")).select(*NODE_FACTS.split(", "))
 
 
@@ -226,7 +226,7 @@ def m11_missing(t: Tables):
 
 @query("m12_reduce_summarize", "log_records", MAP_OUT + level_cte(1) + f" SELECT {SHOWN} FROM out1", recursive=True)
 def m12(t: Tables):
-    return shown(tree.reduce_level(map_outputs(t), 1, max_group=GROUP, budget=REDUCE_BUDGET))
+    return shown(tree.reduce_level(map_outputs(t), max_group=GROUP, budget=REDUCE_BUDGET))
 
 
 @query("m13_reduce_tree", "log_records", TOPS + f" SELECT {SHOWN} FROM tops", recursive=True)

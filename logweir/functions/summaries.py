@@ -53,13 +53,16 @@ def dry_result(stage: Column, user: Column) -> Column:
 
 def json_text(text: Column) -> Column:
     """A JSON string literal; control characters in lower-case hexadecimal."""
-    # to_json writes an object; its fixed head {"t": and tail } are cut off.
+
+    def lowered(literal: Column) -> Column:
+        fixed = literal
+        for code in ("000E", "000F", "001A", "001B"):
+            fixed = F.regexp_replace(fixed, r"(?<!\\)((?:\\\\)*)\\u" + code, r"$1\\u" + code.lower())
+        return F.when(literal.contains("\\u00"), fixed).otherwise(literal)
+
+    # to_json writes an object; its fixed head {"t": and its tail } are cut off.
     whole = F.to_json(F.struct(text.alias("t")))
-    literal = F.substring(whole, F.lit(6), F.length(whole) - F.lit(6))
-    lowered = literal
-    for code in ("000E", "000F", "001A", "001B"):
-        lowered = F.regexp_replace(lowered, r"(?<!\\)((?:\\\\)*)\\u" + code, r"$1\\u" + code.lower())
-    return F.when(literal.contains("\\u00"), lowered).otherwise(literal)
+    return let(let(whole, lambda object_text: F.substring(object_text, F.lit(6), F.length(object_text) - F.lit(6))), lowered)
 
 
 def summary_json(result: Column | Mapping[str, Column]) -> Column:

@@ -200,7 +200,7 @@ def build_chunks(df: DataFrame, key: str, text: str, budget: int = DEFAULT_CHUNK
         key,
         split_long_units(text_units(F.col(text)), int(limit * SPLIT_CHARS_PER_TOKEN)).alias("_units"),
     )
-    weighed = units.filter(F.size("_units") > 0).withColumn("_tokens", F.transform("_units", estimate_tokens))
+    weighed = units.withColumn("_tokens", F.transform("_units", estimate_tokens))
     schema = T.StructType(
         [
             df.schema[key],

@@ -163,20 +163,26 @@ def group_reduce_inputs(
     )
 
 
-def create_reduce_level(grouped: DataFrame, level: int) -> DataFrame:
-    """One REDUCE node per group, its members in order. A group is bounded by its size."""
+def create_reduce_level(grouped: DataFrame) -> DataFrame:
+    """One REDUCE node per group, its members in order. A group is bounded by its size.
+
+    The level comes from the members, not from a literal, so that Spark compiles the
+    stages of a level once and uses them for all levels.
+    """
     member = F.struct("row_index", "node_id", "content_hash", "body", "tokens", "seq_start", "seq_end")
     groups = grouped.groupBy("job_id", "group_index").agg(
-        F.array_sort(F.collect_list(member)).alias("_members"), F.first("grouping_strategy").alias("grouping_strategy")
+        F.array_sort(F.collect_list(member)).alias("_members"),
+        F.first("grouping_strategy").alias("grouping_strategy"),
+        (F.max("level") + 1).cast("int").alias("level"),
     )
     members = F.col("_members")
     blocks = F.transform(members, lambda item, i: summary_block(i + F.lit(1), item["body"]))
     hashed = groups.withColumn("input_hash", content_hash(F.array_join(members["content_hash"], "|")))
     return hashed.select(
         "job_id",
-        node_id(F.col("job_id"), "REDUCE", F.lit(level), F.col("group_index"), F.col("input_hash")).alias("node_id"),
+        node_id(F.col("job_id"), "REDUCE", F.col("level"), F.col("group_index"), F.col("input_hash")).alias("node_id"),
         F.lit("REDUCE").alias("node_type"),
-        F.lit(level).alias("level"),
+        "level",
         F.col("group_index").alias("node_index"),
         members["node_id"].alias("input_node_ids"),
         "input_hash",
@@ -214,7 +220,6 @@ def reduce_summarize(
 
 def reduce_level(
     outputs: DataFrame,
-    level: int,
     summarizer: Summarizer = dry_summarizer,
     max_group: int = REDUCE_GROUP_SIZE,
     budget: int = REDUCE_TARGET_TOKENS,
@@ -222,7 +227,7 @@ def reduce_level(
 ) -> DataFrame:
     """Outputs of the next level for jobs that have more than one output."""
     grouped = group_reduce_inputs(outputs, ORDER, max_group, budget)
-    nodes = create_reduce_level(grouped.filter(F.col("inputs_count") > 1), level)
+    nodes = create_reduce_level(grouped.filter(F.col("inputs_count") > 1))
     return reduce_summarize(nodes, summarizer, settings)
 
 
@@ -247,7 +252,7 @@ def reduce_tree(
         if going_on.isEmpty():
             break
         following = reduce_level(
-            current.join(going_on, "job_id", "left_semi"), len(levels) + 1, summarizer, max_group, budget, settings
+            current.join(going_on, "job_id", "left_semi"), summarizer, max_group, budget, settings
         )
         current = cut(following)
         levels.append(current)
