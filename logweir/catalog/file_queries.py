@@ -26,7 +26,8 @@ def work_folder(t: Tables) -> str:
 
 def write_lines(lines: DataFrame, folder: str, part: str, order: str | None = None) -> None:
     """Text files of ``value``, at least one per value of ``part``, in order inside a file."""
-    placed = lines.repartition(part)
+    # By a hash of the part: a union of inputs placed by the part itself would not be placed anew.
+    placed = lines.repartition(F.xxhash64(part))
     if order is not None:
         placed = placed.sortWithinPartitions(part, order)
     placed.select(part, "value").write.partitionBy(part).text(folder)
