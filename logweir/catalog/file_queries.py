@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.catalog import duck
@@ -15,7 +15,7 @@ from logweir.functions.scalars import sorted_json
 from logweir.session import ensure_checkpoint_dir
 from logweir.sources import files
 
-FILES = 8
+ROWS_PER_FILE = 2_000
 RECORD = ["raw_line", "timestamp", "end_time", "namespace", "container_name", "pod_name"]
 
 
@@ -63,7 +63,7 @@ def s2(t: Tables):
 @query("s3_read_markdown_table", "log_records", EXPECTED)
 def s3(t: Tables):
     folder = work_folder(t)
-    rows = t.raw_rows.drop("job_id").withColumn("part", F.col("pos") % FILES)
+    rows = t.raw_rows.drop("job_id").withColumn("part", F.floor(F.col("pos") / ROWS_PER_FILE))
     names = [name for name in rows.columns if name not in ("pos", "part")]
     cells = [F.coalesce(F.col(name), F.lit("")) for name in names]
     body = rows.select("part", "pos", F.concat(F.lit("|"), F.concat_ws("|", *cells), F.lit("|")).alias("value"))
@@ -77,16 +77,14 @@ def s3(t: Tables):
 @query("s4_read_json_array", "log_records", EXPECTED)
 def s4(t: Tables):
     folder = work_folder(t)
-    rows = t.raw_rows.drop("job_id").withColumn("part", F.col("pos") % FILES)
+    rows = t.raw_rows.drop("job_id").withColumn("part", F.floor(F.col("pos") / ROWS_PER_FILE))
     names = [name for name in rows.columns if name not in ("pos", "part")]
-    first = F.row_number().over(Window.partitionBy("part").orderBy("pos")) == 1
-    item = F.to_json(F.struct(*names))
-    body = rows.select("part", "pos", F.concat(F.when(first, "  ").otherwise(", "), item).alias("value"))
+    body = rows.select("part", "pos", F.concat(F.lit(", "), F.to_json(F.struct(*names))).alias("value"))
     parts = rows.select("part").distinct()
-    head = parts.select("part", F.lit(-1).cast("long").alias("pos"), F.lit('{"SELECT [1]": [').alias("value"))
+    head = parts.select("part", F.lit(-1).cast("long").alias("pos"), F.lit('{"SELECT [1]": ["head"').alias("value"))
     tail = parts.select("part", F.lit(2**62).cast("long").alias("pos"), F.lit("]}").alias("value"))
     write_lines(body.unionByName(head).unionByName(tail), folder, "part", "pos")
-    return shown(files.read_json_array(t.spark, folder))
+    return shown(files.read_json_array(t.spark, folder).filter("raw_line <> 'head'"))
 
 
 STATE_COPY = "SELECT count(*) AS rows_written, count(DISTINCT event_id) AS ids FROM events"

@@ -263,3 +263,83 @@ def m14(t: Tables):
     tops, _ = tree.reduce_tree(map_outputs(t), max_group=GROUP, budget=REDUCE_BUDGET)
     final = tree.finalize(tops)
     return final.select("job_id", "node_id", "seq_start", "seq_end", "content", "content_hash")
+
+
+RESPONSES = [
+    "concat('{\"ok\": true, \"summary\": \"', event_type, '\", \"key_points\": [\"a\"], \"warnings\": [], \"source_count\": 3}')",
+    "concat('```json\n{\"answer\": \"', event_type, '\", \"warnings\": \"one\"}\n```')",
+    "concat('Here it is: {\"root_cause\": \"', event_type, '\", \"sourceCount\": 2} - done')",
+    "concat('nothing but ', event_type)",
+]
+
+
+@query(
+    "m4_normalize_responses",
+    "",
+    """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_type WHEN event_id % 4 = 2 THEN 'Root cause: ' || event_type END AS summary,
+      CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN '' WHEN 2 THEN 'root cause: ' || event_type END AS key_points,
+      CASE event_id % 4 WHEN 1 THEN 'one' WHEN 3 THEN NULL ELSE '' END AS warnings,
+      CAST(CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS INT) AS source_count, event_id % 4 = 3 AS failed FROM events""",
+)
+def m4(t: Tables):
+    from logweir.functions.responses import normalize_responses
+
+    given = F.get(F.array(*[F.expr(text) for text in RESPONSES]), (F.col("event_id") % 4).cast("int"))
+    found = normalize_responses(t.spread("events").withColumn("response", given), "response")
+    return found.select(
+        "event_id", "result.summary", F.array_join("result.key_points", "|").alias("key_points"),
+        F.array_join("result.warnings", "|").alias("warnings"), "result.source_count", F.col("parse_error").isNotNull().alias("failed"),
+    )
+
+
+def _fussy(stage: str, system: str, user: str) -> str:
+    if user.startswith("error"):
+        raise RuntimeError("HTTP 503 from the provider")
+    return '{"summary": "fine"}'
+
+
+@query(
+    "m17_retry_calls",
+    "",
+    """SELECT CAST(event_id AS VARCHAR) AS node_id, CAST(a AS INT) AS attempt, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status,
+      CASE WHEN event_type = 'error' THEN 'provider_unavailable' ELSE '' END AS error_class
+    FROM events, (VALUES (1), (2), (3)) v(a) WHERE a = 1 OR event_type = 'error'""",
+)
+def m17(t: Tables):
+    from logweir.functions.scalars import classify_error
+    from logweir.plans.summarizers import retry_calls
+
+    asked = t.read("events").select(
+        F.concat(F.lit("job_"), "user_id").alias("job_id"), F.col("event_id").cast("string").alias("node_id"),
+        F.lit("MAP").alias("stage"), F.lit("s").alias("system"), F.concat_ws(" ", "event_type", "props").alias("user"),
+    )
+    attempts = retry_calls(asked, _fussy, max_calls=8, retries=2, backoff_seconds=0.0)
+    kind = F.when(F.col("status") == "ERROR", classify_error(F.col("error_message"))).otherwise("")
+    return attempts.select("node_id", "attempt", "status", kind.alias("error_class"))
+
+
+@query(
+    "m18_schema_of_examples",
+    "",
+    """SELECT event_id, CASE WHEN event_id % 2 = 0
+      THEN '{"type": "object", "properties": {"k": {"type": "number"}}, "required": ["k"], "additionalProperties": false}'
+      ELSE '{"type": "object", "properties": {"kind": {"type": "string", "description": "' || event_type || '"}, "list": {"type": "array", "items": {"type": "integer"}}}, "required": ["kind", "list"], "additionalProperties": false}' END AS json_schema FROM events""",
+)
+def m18(t: Tables):
+    from logweir.functions.schemas import schema_of_examples
+
+    made = F.concat(F.lit('{"kind": "string: '), "event_type", F.lit('", "list": ["integer"]}'))
+    given = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(made)
+    return schema_of_examples(t.spread("events").withColumn("example", given), "example").select("event_id", "json_schema")
+
+
+@query(
+    "m18_observed_schema",
+    "",
+    """SELECT event_type, 'OBJECT<k: BIGINT>' AS observed_schema, count(*) AS conforming, CAST(0 AS BIGINT) AS deviating FROM events GROUP BY event_type""",
+)
+def m18_observed(t: Tables):
+    from logweir.functions.schemas import conformance, observed_schema
+
+    events = t.read("events")
+    return observed_schema(events, "props", "event_type").join(conformance(events, "props", "k long", "event_type"), "event_type")

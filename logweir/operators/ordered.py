@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from logweir.session import cut
 
 PART = "_part"
+BROADCAST_PARTITIONS = 20_000
 
 
 def _neighbours(
@@ -37,6 +38,9 @@ def _neighbours(
         F.lag("_value").over(inside),
         F.when(F.col("_beyond._edge_key") == F.col(key), F.col("_beyond._value")),
     )
+    # One row per partition: small unless there are very many partitions.
+    if rows.rdd.getNumPartitions() <= BROADCAST_PARTITIONS:
+        beyond = F.broadcast(beyond)
     return (
         rows.join(beyond, PART, "left")
         .withColumn("_near", near)

@@ -22,8 +22,13 @@ REDUCE_TARGET_TOKENS = 4000
 MIN_TARGET_TOKENS = 256
 NO_INDEX = 10**12
 
+# A broadcast row of job totals is under 100 bytes.
+BROADCAST_JOBS = 50_000
+SALTS = 32
+
 RESULT_FIELDS = ["ok", "summary", "key_points", "warnings", "source_count"]
 _FACTS = ["job_id", "node_id", "node_index", "level", "seq_start", "seq_end"]
+_OUTPUT = [*_FACTS, "content", "content_hash", "body", "tokens"]
 
 ORDER = ["seq_start", "seq_end", "node_index", "node_id"]
 
@@ -141,25 +146,37 @@ def estimate_reduce_tokens(artifacts: DataFrame) -> DataFrame:
 
 
 def group_reduce_inputs(
-    inputs: DataFrame, order: list[str], max_group: int = REDUCE_GROUP_SIZE, budget: int = REDUCE_TARGET_TOKENS
+    inputs: DataFrame,
+    order: list[str],
+    max_group: int = REDUCE_GROUP_SIZE,
+    budget: int = REDUCE_TARGET_TOKENS,
+    jobs: int | None = None,
 ) -> DataFrame:
     """Assign ``group_index`` by token budget; by fixed size where that makes no progress.
 
-    Adds ``row_index``, ``inputs_count`` and ``grouping_strategy``. The job totals are
-    one small row per job; joined back, a hot job is left to AQE's skew split.
+    Adds ``row_index``, ``inputs_count`` and ``grouping_strategy``. ``jobs`` is the
+    number of jobs, if known. The totals, one small row per job, are broadcast for few
+    jobs; for many they are joined on a salted key, so that a job holding a large share
+    of all inputs is spread over many tasks either way.
     """
     size = max(2, max_group)
     packed = pack_rows(inputs, "job_id", order, F.col("tokens"), max(MIN_TARGET_TOKENS, budget), size)
     totals = packed.groupBy("job_id").agg(
         F.count("*").alias("inputs_count"), (F.max("group_index") + 1).alias("_groups")
     )
+    if jobs is None:
+        jobs = inputs.select("job_id").distinct().count()
+    if jobs <= BROADCAST_JOBS:
+        joined = packed.join(F.broadcast(totals), "job_id")
+    else:
+        salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = packed.withColumn("_salt", (F.col("row_index") % SALTS).cast("int")).join(salted, ["job_id", "_salt"])
     stuck = (F.col("inputs_count") > 1) & (F.col("_groups") >= F.col("inputs_count"))
     fixed = forced_group(F.col("row_index"), F.col("inputs_count"), size)
     return (
-        packed.join(totals, "job_id")
-        .withColumn("group_index", F.when(stuck, fixed).otherwise(F.col("group_index")))
+        joined.withColumn("group_index", F.when(stuck, fixed).otherwise(F.col("group_index")))
         .withColumn("grouping_strategy", F.when(stuck, "forced_progress").otherwise("token_budget"))
-        .drop("_groups")
+        .drop("_groups", "_salt")
     )
 
 
@@ -224,9 +241,10 @@ def reduce_level(
     max_group: int = REDUCE_GROUP_SIZE,
     budget: int = REDUCE_TARGET_TOKENS,
     settings: DataFrame | None = None,
+    jobs: int | None = None,
 ) -> DataFrame:
     """Outputs of the next level for jobs that have more than one output."""
-    grouped = group_reduce_inputs(outputs, ORDER, max_group, budget)
+    grouped = group_reduce_inputs(outputs, ORDER, max_group, budget, jobs)
     nodes = create_reduce_level(grouped.filter(F.col("inputs_count") > 1))
     return reduce_summarize(nodes, summarizer, settings)
 
@@ -240,21 +258,21 @@ def reduce_tree(
 ) -> tuple[DataFrame, DataFrame | None]:
     """The one output each job ends with, and all REDUCE outputs of all levels.
 
-    Every level is written to the checkpoint folder once and read from there; jobs
-    that are done leave the loop. The driver only learns whether any job goes on.
+    Every level is written to the checkpoint folder once and read from there; a job
+    that is down to one output leaves the loop. The driver only learns how many jobs
+    there are and whether any goes on.
     """
     current, tops, levels = cut(map_outputs), [], []
     while True:
-        counts = current.groupBy("job_id").agg(F.count("*").alias("_outputs"))
-        done = counts.filter(F.col("_outputs") == 1)
-        tops.append(current.drop(*REDUCE_FACTS).join(done, "job_id", "left_semi"))
-        going_on = counts.filter(F.col("_outputs") > 1)
-        if going_on.isEmpty():
+        # One row per job and task survives the partial aggregate, whatever a job's size.
+        row = F.first(F.struct(*[name for name in _OUTPUT if name != "job_id"]))
+        per_job = current.groupBy("job_id").agg(F.count("*").alias("_outputs"), row.alias("_row"))
+        tops.append(per_job.filter(F.col("_outputs") == 1).select("job_id", "_row.*"))
+        sizes = current.groupBy("job_id").agg(F.count("*").alias("_outputs"))
+        jobs, going_on = sizes.agg(F.count("*"), F.count_if(F.col("_outputs") > 1)).first()
+        if not going_on:
             break
-        following = reduce_level(
-            current.join(going_on, "job_id", "left_semi"), summarizer, max_group, budget, settings
-        )
-        current = cut(following)
+        current = cut(reduce_level(current, summarizer, max_group, budget, settings, jobs))
         levels.append(current)
     return fold(DataFrame.unionByName, tops), fold(DataFrame.unionByName, levels) if levels else None
 
