@@ -450,11 +450,11 @@ NEWEST_SEGMENT = """, newest AS (SELECT * FROM segments
     "s10_resume_ingest",
     "segments",
     NEWEST_SEGMENT
-    + """, stored AS (SELECT DISTINCT job_id, segment_index FROM segments WHERE rows_count % 2 = 0)
+    + """, stored AS (SELECT DISTINCT job_id, segment_index FROM segments WHERE source_type = 'upload')
     SELECT n.* FROM newest n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.job_id = n.job_id AND s.segment_index = n.segment_index)""",
 )
 def s10(t: Tables):
-    stored = t.segments.filter(F.col("rows_count") % 2 == 0)
+    stored = t.segments.filter(F.col("source_type") == "upload")
     return resume_ingest(segments.latest_segments(t.segments), stored)
 
 
@@ -462,13 +462,14 @@ def s10(t: Tables):
     "c4_clone_segments",
     "segments",
     NEWEST_SEGMENT
-    + """ SELECT 'job_new' AS job_id, segment_index, CASE WHEN source_type = '' THEN 'rerun' ELSE source_type END AS source_type,
+    + """ SELECT 'rerun_' || job_id AS job_id, segment_index, CASE WHEN source_type = '' THEN 'rerun' ELSE source_type END AS source_type,
       source_format, content_hash, content, rows_count, chars,
       '{"first_timestamp":"a","last_timestamp":"b","rerun_source_job_id":"' || job_id || '","rerun_source_segment_index":"' || segment_index || '"}' AS metadata,
-      created_at FROM newest WHERE job_id = 'job_1'""",
+      created_at FROM newest""",
 )
 def c4(t: Tables):
-    return segments.clone_segments(t.segments, "job_1", "job_new")
+    reruns = t.segments.select("job_id").distinct().withColumn("new_job_id", F.concat(F.lit("rerun_"), "job_id"))
+    return segments.clone_segments(t.segments, reruns)
 
 
 @query(

@@ -221,9 +221,12 @@ def latest_segments(segments: DataFrame, include_content: bool = True) -> DataFr
     return latest(segments, SEGMENT_KEY, ["created_at", "content_hash"])
 
 
-def clone_segments(segments: DataFrame, source_job: str, new_job: str) -> DataFrame:
-    """The latest segments of a job under a new job id, with their origin noted."""
-    rows = latest_segments(segments.filter(F.col("job_id") == source_job))
+def clone_segments(segments: DataFrame, reruns: DataFrame) -> DataFrame:
+    """The latest segments of rerun jobs under their new job ids, with their origin noted.
+
+    ``reruns`` has ``job_id`` and ``new_job_id``.
+    """
+    rows = latest_segments(segments).join(reruns.select("job_id", "new_job_id"), "job_id")
     known = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
     origin = F.create_map(
         F.lit("rerun_source_job_id"), F.col("job_id"),
@@ -232,7 +235,8 @@ def clone_segments(segments: DataFrame, source_job: str, new_job: str) -> DataFr
     return (
         rows.withColumn("metadata", F.to_json(F.map_concat(known, origin)))
         .withColumn("source_type", F.when(F.col("source_type") == "", "rerun").otherwise(F.col("source_type")))
-        .withColumn("job_id", F.lit(new_job))
+        .withColumn("job_id", F.col("new_job_id"))
+        .drop("new_job_id")
     )
 
 

@@ -180,3 +180,15 @@ def test_schema_of_examples(spark, example, properties):
     assert schema["properties"] == properties and schema["type"] == "object"
     assert schema["required"] == list(properties) and schema["additionalProperties"] is False
     assert others == [None, None]
+
+
+def test_salted_totals_give_the_same_groups(spark, monkeypatch):
+    rows = [("hot", i, f"chunk {i} " + "word " * (i % 60)) for i in range(120)]
+    rows += [(f"j{i % 9}", i // 9, f"c{i}") for i in range(40)]
+    outputs = mapped(spark, rows).cache()
+    few = tree.group_reduce_inputs(outputs, tree.ORDER, 4, 600).select("job_id", "node_id", "group_index", "inputs_count", "grouping_strategy")
+    few = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(tree, "BROADCAST_JOBS", 0)
+    many = tree.group_reduce_inputs(outputs, tree.ORDER, 4, 600).select("job_id", "node_id", "group_index", "inputs_count", "grouping_strategy")
+    assert sorted(map(tuple, many.collect())) == few
+    outputs.unpersist()
