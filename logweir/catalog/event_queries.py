@@ -481,7 +481,7 @@ def c4(t: Tables):
     SELECT *, CASE WHEN chars > 0 THEN CAST(ceil(chars / CAST(2.2 AS DOUBLE)) AS BIGINT) ELSE 0 END AS estimated_tokens FROM sums""",
 )
 def c5(t: Tables):
-    return segments.input_stats(segments.latest_segments(t.segments, include_content=False))
+    return segments.input_stats(segments.latest_segments(t.segments, columns=["rows_count", "chars"]))
 
 
 @query(
@@ -503,7 +503,7 @@ def c6(t: Tables):
       '{"manifest":{"chars":' || c || ',"rows_count":' || r || ',"segments_count":' || n || '}}' AS metadata FROM texts""",
 )
 def c7(t: Tables):
-    return segments.manifest(segments.latest_segments(t.segments, include_content=False))
+    return segments.manifest(segments.latest_segments(t.segments, columns=["rows_count", "chars"]))
 
 
 @query(

@@ -221,7 +221,9 @@ def rerun_candidates(nodes: DataFrame, artifacts: DataFrame) -> DataFrame:
 def node_links(nodes: DataFrame, payloads: DataFrame) -> DataFrame:
     """Lineage edges: source to MAP, and each listed input to its node."""
     rank = F.create_map(*[item for i, name in enumerate(TYPE_ORDER) for item in (F.lit(name), F.lit(i))])
-    named = nodes.filter(F.coalesce(F.col("node_id"), F.lit("")) != "").select(
+    # Spelled out, the key filter is the same in all three uses, and their shuffle is shared.
+    has_key = F.col("job_id").isNotNull() & F.col("node_id").isNotNull() & (F.col("node_id") != "")
+    named = nodes.filter(has_key).select(
         "job_id",
         "node_id",
         "node_type",

@@ -275,13 +275,15 @@ def prepare(
     tokens: Column,
     limits: Limits,
     partitions: int | None = None,
+    keep: Sequence[str] | None = None,
 ) -> Packed:
-    """Steps 1 to 3 of the module description."""
+    """Steps 1 to 3 of the module description; ``keep`` names the columns needed later."""
     spark = df.sparkSession
     bounds = [key, *order]
     weighted = df.withColumn(WEIGHT, F.greatest(tokens.cast("long"), F.lit(1).cast("long")))
     ranged = weighted.repartitionByRange(partitions, *bounds) if partitions else weighted.repartitionByRange(*bounds)
-    rows = cut(ranged.sortWithinPartitions(*bounds).withColumn(PART, F.spark_partition_id()))
+    placed = ranged.sortWithinPartitions(*bounds).withColumn(PART, F.spark_partition_id())
+    rows = cut(placed.select(*dict.fromkeys([key, *(keep if keep is not None else df.columns), WEIGHT, PART])))
     key_type = df.schema[key].dataType
     arrow_key = pa.string() if isinstance(key_type, T.StringType) else pa.int64()
     slim = rows.select(PART, F.col(key), WEIGHT)
@@ -293,6 +295,50 @@ def prepare(
     return Packed(rows, Labeller(key, limits, spark.sparkContext.broadcast(entries)))
 
 
+def _label(packed: Packed, df: DataFrame) -> DataFrame:
+    """Step 4: the rows of ``df`` with group and row index."""
+    out_schema = T.StructType(
+        [
+            *df.schema.fields,
+            T.StructField("group_index", T.LongType()),
+            T.StructField("row_index", T.LongType()),
+        ]
+    )
+    labeller, names = packed.labeller, df.columns
+
+    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, labels, index in labeller.batches(batches):
+            columns = [batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(labels), pa.array(index)], names=[*names, "group_index", "row_index"]
+            )
+
+    return packed.rows.mapInArrow(label, out_schema)
+
+
+def _totals(packed: Packed) -> DataFrame:
+    """Rows and groups per key; tasks see key and weight only and report each run once."""
+    key = packed.labeller.key
+    slim = packed.rows.select(key, WEIGHT, PART)
+    schema = T.StructType(
+        [slim.schema[key], T.StructField("_rows", T.LongType()), T.StructField("_last", T.LongType())]
+    )
+    labeller = packed.labeller
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, labels, _ in labeller.batches(batches):
+            keys = batch.column(key)
+            runs = key_runs(keys)
+            ends = runs[1:]
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(runs[:-1])), pa.array(np.diff(runs)), pa.array(labels[ends - 1])],
+                names=[key, "_rows", "_last"],
+            )
+
+    counted = slim.mapInArrow(count, schema)
+    return counted.groupBy(key).agg(F.sum("_rows").alias("rows_count"), (F.max("_last") + 1).alias("groups_count"))
+
+
 def pack_rows(
     df: DataFrame,
     key: str,
@@ -307,24 +353,21 @@ def pack_rows(
     ``key`` is a string or integer column; (key, order) must identify a row. Rows
     weigh at least one token. A row above the budget has a group to itself.
     """
-    packed = prepare(df, key, order, tokens, Limits(budget, max_rows), partitions)
-    out_schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("group_index", T.LongType()),
-            T.StructField("row_index", T.LongType()),
-        ]
-    )
+    return _label(prepare(df, key, order, tokens, Limits(budget, max_rows), partitions), df)
 
-    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, labels, index in labeller.batches(batches):
-            columns = [batch.column(name) for name in df_columns]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(labels), pa.array(index)], names=[*df_columns, "group_index", "row_index"]
-            )
 
-    labeller, df_columns = packed.labeller, df.columns
-    return packed.rows.mapInArrow(label, out_schema)
+def pack_with_totals(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str | Column],
+    tokens: Column,
+    budget: int,
+    max_rows: int = NO_LIMIT,
+    partitions: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`pack_rows`, and ``rows_count`` and ``groups_count`` per key."""
+    packed = prepare(df, key, order, tokens, Limits(budget, max_rows), partitions)
+    return _label(packed, df), _totals(packed)
 
 
 def index_rows(df: DataFrame, key: str, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:

@@ -113,7 +113,7 @@ def segment_rows(
     limits = Limits(max(MIN_TARGET_TOKENS, budget))
     order_names = [name for name in order if isinstance(name, str)]
     slim = rendered(records).select(key, *order_names, "timestamp", "rendered", "tokens")
-    packed = prepare(slim, key, order, F.col("tokens"), limits, partitions)
+    packed = prepare(slim, key, order, F.col("tokens"), limits, partitions, keep=["timestamp", "rendered"])
     rows = packed.rows.select(PART, key, "_weight", "timestamp", "rendered")
     schema = T.StructType([slim.schema[key], *T.StructType.fromDDL(PIECE_FIELDS).fields])
 
@@ -214,11 +214,14 @@ def build_chunks(df: DataFrame, key: str, text: str, budget: int = DEFAULT_CHUNK
 SEGMENT_KEY = ["job_id", "segment_index"]
 
 
-def latest_segments(segments: DataFrame, include_content: bool = True) -> DataFrame:
-    """Newest version of each segment; without content the text is never read."""
+def latest_segments(
+    segments: DataFrame, include_content: bool = True, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Newest version of each segment. Columns that are not asked for are never read."""
+    names = columns if columns is not None else [name for name in segments.columns if name not in SEGMENT_KEY]
     if not include_content:
-        segments = segments.drop("content")
-    return latest(segments, SEGMENT_KEY, ["created_at", "content_hash"])
+        names = [name for name in names if name != "content"]
+    return latest(segments, SEGMENT_KEY, ["created_at", "content_hash"], columns=names)
 
 
 def clone_segments(segments: DataFrame, reruns: DataFrame) -> DataFrame:

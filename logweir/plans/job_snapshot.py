@@ -23,7 +23,7 @@ def job_snapshots(
         F.col("content").alias("final_content"),
     )
     counted = artifacts.groupBy("job_id").agg(F.count("*").alias("artifacts_count"))
-    stats = segments.input_stats(segments.latest_segments(input_segments, include_content=False))
+    stats = segments.input_stats(segments.latest_segments(input_segments, columns=["rows_count", "chars"]))
     counts = [
         "nodes_done",
         "nodes_total",

@@ -12,7 +12,7 @@ from logweir.functions.ids import content_hash, node_id
 from logweir.functions.scalars import json_positive_number, json_whole_number
 from logweir.functions.summaries import reduce_tokens, summary_block, summary_body, summary_json, with_body
 from logweir.operators.latest import latest
-from logweir.operators.packing import forced_group, index_rows, pack_rows
+from logweir.operators.packing import forced_group, index_rows, pack_with_totals
 from logweir.plans.summarizers import Summarizer, dry_summarizer
 from logweir.session import cut
 
@@ -160,10 +160,8 @@ def group_reduce_inputs(
     of all inputs is spread over many tasks either way.
     """
     size = max(2, max_group)
-    packed = pack_rows(inputs, "job_id", order, F.col("tokens"), max(MIN_TARGET_TOKENS, budget), size)
-    totals = packed.groupBy("job_id").agg(
-        F.count("*").alias("inputs_count"), (F.max("group_index") + 1).alias("_groups")
-    )
+    packed, totals = pack_with_totals(inputs, "job_id", order, F.col("tokens"), max(MIN_TARGET_TOKENS, budget), size)
+    totals = totals.withColumnsRenamed({"rows_count": "inputs_count", "groups_count": "_groups"})
     if jobs is None:
         jobs = inputs.select("job_id").distinct().count()
     if jobs <= BROADCAST_JOBS:
