@@ -201,18 +201,21 @@ def _summarise_partition(limits: Limits, key: str, arrow_key: pa.DataType):
     return summarise
 
 
-def _entry_states(summaries: DataFrame, partitions: int, limits: Limits) -> dict[int, Open]:
-    """Entry state of each partition that starts inside a key begun earlier."""
+def _entry_states(summaries: DataFrame, partitions: int, limits: Limits) -> dict[int, tuple]:
+    """Entry state of each partition that starts inside a key begun earlier.
+
+    Plain tuples: a broadcast is unpickled without the classes of this package.
+    """
     if partitions <= COLLECT_LIMIT:
         rows: Iterable = sorted(summaries.collect(), key=lambda row: row["part"])
     else:
         rows = cut(summaries).orderBy("part").toLocalIterator(prefetchPartitions=True)
-    entries: dict[int, Open] = {}
+    entries: dict[int, tuple] = {}
     key, state = None, None
     for row in rows:
         entry = state if state is not None and row["head_key"] == key else None
         if entry is not None:
-            entries[row["part"]] = entry
+            entries[row["part"]] = tuple(entry)
         if row["table"] is not None:
             state = enter(row["table"], row["rows"], row["total"], entry, limits)
         else:
@@ -257,7 +260,8 @@ class Labeller:
             yield batch, labels, index
 
     def entry(self, batch: pa.RecordBatch) -> Open | None:
-        return self.entries.value.get(batch.column(PART)[0].as_py())
+        state = self.entries.value.get(batch.column(PART)[0].as_py())
+        return Open(*state) if state is not None else None
 
 
 @dataclass(frozen=True)
