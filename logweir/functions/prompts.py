@@ -35,6 +35,25 @@ SYSTEM_TEXT = {
         " requested. Be concise and explicit about uncertainty."
     ),
 }
+SHAPED_SYSTEM_TEXT = {
+    "map": (
+        "You summarize one part of a large context into a structured intermediate JSON object. "
+        "Return exactly one valid JSON object. Do not wrap it in Markdown and do not add prose outside JSON. "
+        "Match the requested intermediate output JSON structure as closely as possible. "
+        "Keep the content concise, factual, and grounded in the provided text."
+    ),
+    "reduce": (
+        "You merge several partial structured summaries into one consolidated intermediate JSON object. "
+        "Return exactly one valid JSON object. Do not wrap it in Markdown and do not add prose outside JSON. "
+        "Match the requested intermediate output JSON structure as closely as possible. "
+        "Preserve important facts, remove duplicates, and keep sequence-sensitive evidence in order when relevant."
+    ),
+    "final": (
+        "You produce the final user-facing JSON object from the consolidated context. "
+        "Return exactly one valid JSON object. Do not wrap it in Markdown and do not add prose outside JSON. "
+        "Match the user-provided output JSON structure as closely as possible."
+    ),
+}
 USER_TEXT = {
     "map": "Summarize this chunk:\n\n{chunk}",
     "reduce": "Merge these summaries:\n\n{summaries}",
@@ -91,6 +110,11 @@ REPORT_FORMATS = {
 }
 FORMAT_KEYS = ["report_format", "output_format", "desired_output_format"]
 INSTRUCTION_KEYS = ["report_format_instruction", "output_format_instruction"]
+SHAPE_KEYS = {
+    "map": ["map_output_json_schema", "intermediate_output_json_schema", "map_reduce_output_json_schema"],
+    "reduce": ["reduce_output_json_schema", "intermediate_output_json_schema", "map_reduce_output_json_schema"],
+    "final": ["output_json_schema", "final_output_json_schema", "response_json_schema"],
+}
 INSTRUCTION_LIMIT = 1200
 SYSTEM_LIMIT = 4000
 USER_LIMIT = 8000
@@ -136,6 +160,16 @@ def prompt_override(metadata: Column, stage: str, part: str) -> Column:
     return F.when(text != "", text)
 
 
+def wanted_shape(metadata: Column, stage: str) -> Column:
+    """The output shape a job asks for in a stage: the first key that holds a filled JSON object."""
+
+    def filled(path: str) -> Column:
+        text = F.get_json_object(metadata, path)
+        return F.when(F.size(F.json_object_keys(text)) > 0, text)
+
+    return F.coalesce(*[filled(f"$.{key}") for key in SHAPE_KEYS[stage]])
+
+
 def render_prompt(template: Column, values: Sequence[tuple[str, Column]]) -> Column:
     """Replace ``{name}`` by its value, one name after the other.
 

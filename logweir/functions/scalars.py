@@ -65,12 +65,6 @@ def non_negative(value: Column) -> Column:
     return F.greatest(F.coalesce(value.try_cast("long"), F.lit(0)), F.lit(0).cast("long"))
 
 
-def json_object_or_empty(text: Column) -> Column:
-    """The JSON text if it is an object, else ``{}``."""
-    is_object = F.json_object_keys(text).isNotNull()
-    return F.when(is_object, text).otherwise(F.lit("{}"))
-
-
 def json_value(json_text: Column, path: str) -> Column:
     """Value at ``path`` with its JSON type; null if absent or the text is no JSON."""
     return F.try_variant_get(F.try_parse_json(json_text), path, "variant")

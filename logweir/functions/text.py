@@ -74,7 +74,3 @@ def split_long(unit: Column, max_chars: int) -> Column:
 def split_long_units(units: Column, max_chars: int) -> Column:
     return F.flatten(F.transform(units, lambda unit: split_long(unit, max_chars)))
 
-
-def distinct_items(items: Column, limit: int = 12) -> Column:
-    """Order-preserving distinct list of at most ``limit`` items."""
-    return F.slice(F.array_distinct(items), 1, limit)

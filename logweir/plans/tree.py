@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from logweir.functions import prompts
 from logweir.functions.ids import content_hash, node_id
+from logweir.functions.pretty import pretty_json
 from logweir.functions.scalars import json_positive_number, json_whole_number
+from logweir.functions.schemas import schema_of_examples
 from logweir.functions.summaries import reduce_tokens, summary_block, summary_body, summary_json, with_body
 from logweir.operators.latest import latest
 from logweir.operators.packing import forced_group, index_rows, pack_with_totals
@@ -48,22 +50,42 @@ def create_map_nodes(segments: DataFrame) -> DataFrame:
     )
 
 
-def with_job_settings(df: DataFrame, settings: DataFrame | None) -> DataFrame:
-    """Add the job's ``metadata`` JSON (null without settings)."""
+def job_settings(artifacts: DataFrame) -> DataFrame:
+    """Settings of each job: the metadata its newest INPUT artifact carries."""
+    inputs = artifacts.filter(F.col("artifact_type") == "INPUT")
+    newest = latest(inputs, ["job_id"], ["created_at", "artifact_id"], columns=["metadata"])
+    return newest.select("job_id", F.get_json_object("metadata", "$.metadata").alias("metadata"))
+
+
+def with_job_settings(df: DataFrame, settings: DataFrame | None, stage: str) -> DataFrame:
+    """Add the job's ``metadata`` JSON and the output ``shape`` it wants in a stage.
+
+    Shapes are worked out on the settings, one row per job, before the join.
+    """
     if settings is None:
-        return df.withColumn("metadata", F.lit(None).cast("string"))
-    return df.join(settings.select("job_id", "metadata"), "job_id", "left")
+        empty = F.lit(None).cast("string")
+        return df.withColumns({"metadata": empty, "shape": empty})
+    shaped = settings.select("job_id", "metadata", prompts.wanted_shape(F.col("metadata"), stage).alias("_wanted"))
+    shaped = schema_of_examples(shaped, "_wanted", "_schema").withColumn("shape", pretty_json("_schema"))
+    return df.join(shaped.select("job_id", "metadata", "shape"), "job_id", "left")
 
 
 def _system(stage: str, own: bool) -> Column:
     default = F.lit(prompts.SYSTEM_TEXT[stage])
-    return F.coalesce(prompts.prompt_override(F.col("metadata"), stage, "system"), default) if own else default
+    if not own:
+        return default
+    shaped = F.when(F.col("shape").isNotNull(), prompts.SHAPED_SYSTEM_TEXT[stage]).otherwise(default)
+    return F.coalesce(prompts.prompt_override(F.col("metadata"), stage, "system"), shaped)
 
 
 def _template(stage: str, own: bool) -> Column | None:
     return prompts.prompt_override(F.col("metadata"), stage, "user") if own else None
 
 
+def _shape(own: bool) -> Column | None:
+    return F.col("shape") if own else None
+
+
 def _outputs(results: DataFrame, *keep: str) -> DataFrame:
     """Stage results as artifacts: JSON content, its hash, and what the next level needs."""
     # The value's fields become columns first, so that none is computed twice.
@@ -85,7 +107,7 @@ def map_summarize(
 ) -> DataFrame:
     """One summariser call per MAP node."""
     own = settings is not None
-    asked = with_job_settings(nodes, settings).select(
+    asked = with_job_settings(nodes, settings, "map").select(
         "job_id",
         "node_id",
         "node_index",
@@ -94,7 +116,7 @@ def map_summarize(
         F.col("node_index").alias("seq_end"),
         F.lit("MAP").alias("stage"),
         _system("map", own).alias("system"),
-        prompts.map_user(F.col("chunk"), _template("map", own)).alias("user"),
+        prompts.map_user(F.col("chunk"), _template("map", own), _shape(own)).alias("user"),
     )
     return _outputs(summarizer(asked))
 
@@ -218,7 +240,7 @@ def reduce_summarize(
 ) -> DataFrame:
     """One summariser call per REDUCE node; the sequence range goes on."""
     own = settings is not None
-    asked = with_job_settings(nodes, settings).select(
+    asked = with_job_settings(nodes, settings, "reduce").select(
         "job_id",
         "node_id",
         "node_index",
@@ -228,7 +250,7 @@ def reduce_summarize(
         *REDUCE_FACTS,
         F.concat(F.lit("REDUCE_L"), F.col("level").cast("string")).alias("stage"),
         _system("reduce", own).alias("system"),
-        prompts.reduce_user(F.col("summaries"), _template("reduce", own)).alias("user"),
+        prompts.reduce_user(F.col("summaries"), _template("reduce", own), _shape(own)).alias("user"),
     )
     return _outputs(summarizer(asked), *REDUCE_FACTS)
 
@@ -280,10 +302,7 @@ def finalize(
 ) -> DataFrame:
     """The FINAL artifact of each job, with report format and own prompts merged in."""
     own = settings is not None
-    staged = with_job_settings(tops, settings).withColumn("_format", prompts.report_format(F.col("metadata")))
-    shape = F.coalesce(
-        *[F.get_json_object("metadata", f"$.{key}") for key in ("output_json_schema", "final_output_json_schema", "response_json_schema")]
-    )
+    staged = with_job_settings(tops, settings, "final").withColumn("_format", prompts.report_format(F.col("metadata")))
     asked = staged.select(
         "job_id",
         node_id(F.col("job_id"), "FINAL", F.lit(0), F.lit(0), content_hash(F.col("content"))).alias("node_id"),
@@ -297,7 +316,7 @@ def finalize(
         _system("final", own).alias("system"),
         (
             prompts.final_user(
-                F.col("content"), F.col("_format.report_format_instruction"), _template("final", own), shape
+                F.col("content"), F.col("_format.report_format_instruction"), _template("final", own), _shape(own)
             )
             if own
             else prompts.final_user(F.col("content"))

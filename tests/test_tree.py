@@ -192,3 +192,39 @@ def test_salted_totals_give_the_same_groups(spark, monkeypatch):
     many = tree.group_reduce_inputs(outputs, tree.ORDER, 4, 600).select("job_id", "node_id", "group_index", "inputs_count", "grouping_strategy")
     assert sorted(map(tuple, many.collect())) == few
     outputs.unpersist()
+
+
+def test_output_shape_of_a_job_enters_its_prompts(spark):
+    metadata = {
+        "metadata": {
+            "intermediate_output_json_schema": {"finding": "string: what"},
+            "output_json_schema": json.dumps({"answer": "number"}),
+            "report_format": "markdown",
+        }
+    }
+    fields = "artifact_id string, job_id string, artifact_type string, metadata string, created_at string"
+    inputs = spark.createDataFrame([("1", "j", "INPUT", "{}", "a"), ("2", "j", "INPUT", json.dumps(metadata), "b")], fields)
+    asked = []
+
+    def watch(prompts_df):
+        asked.extend(prompts_df.select("job_id", "stage", "system", "user").collect())
+        return summarizers.dry_summarizer(prompts_df)
+
+    settings = tree.job_settings(inputs)
+    outputs = mapped(spark, [("j", 0, "a"), ("j", 1, "b"), ("k", 0, "c")], summarizer=watch, settings=settings)
+    tops, _ = tree.reduce_tree(outputs, watch, settings=settings)
+    tree.finalize(tops, watch, settings).collect()
+    said = {(row.job_id, row.stage): row for row in asked}
+    schema = {
+        "type": "object",
+        "properties": {"finding": {"type": "string", "description": "what"}},
+        "required": ["finding"],
+        "additionalProperties": False,
+    }
+    for stage, key in (("map", "MAP"), ("reduce", "REDUCE_L1")):
+        assert said["j", key].system == prompts.SHAPED_SYSTEM_TEXT[stage]
+        assert json.dumps(schema, indent=2) in said["j", key].user
+    assert said["k", "MAP"].system == prompts.SYSTEM_TEXT["map"] and "structure" not in said["k", "MAP"].user
+    final = said["j", "FINAL"]
+    assert final.system == prompts.SHAPED_SYSTEM_TEXT["final"] and '"answer"' in final.user
+    assert prompts.REPORT_FORMATS["markdown"] in final.user and said["k", "FINAL"].user.startswith("Create the final user-facing report")
