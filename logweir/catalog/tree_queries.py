@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from logweir.catalog import duck
 from logweir.catalog.fixtures import Tables
-from logweir.catalog.record_queries import BUDGET, SEGMENTS, log_segments
+from logweir.catalog.record_queries import SEGMENTS, log_segments
 from logweir.catalog.registry import query
 from logweir.functions import prompts
-from logweir.functions.summaries import reduce_tokens, summary_block, with_body
-from logweir.operators.packing import forced_group, index_rows
+from logweir.functions.summaries import summary_block, with_body
+from logweir.operators.packing import forced_group, pack_rows
 from logweir.plans import tree
 
 # Small groups and budgets, so that the given tables make several reduce levels.
@@ -122,8 +122,6 @@ def m5(t: Tables):
     recursive=True,
 )
 def m6(t: Tables):
-    from logweir.operators.packing import pack_rows
-
     keyed, order = tree.reduce_order(t.map_outputs, node_index=None)
     packed = pack_rows(keyed, "job_id", order, F.col("estimate"), 1000, 8)
     return packed.select("job_id", "node_id", "row_index", "group_index")

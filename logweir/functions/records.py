@@ -24,7 +24,6 @@ FIELD_NAMES = {
     "pod_name": ["pod_name", "kubernetes_pod_name", "pod"],
 }
 
-RECORD_FIELDS = ["raw_line", *FIELD_NAMES, "attrs"]
 MISSING_COLUMN = "raw_line column not found"
 EMPTY_ROW = "row does not contain log text"
 

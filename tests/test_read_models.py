@@ -269,3 +269,46 @@ def test_appends_and_replays(spark, tmp_path):
     assert rows[0].payload == '{"a":"2","b":"1"}'
     segments = spark.createDataFrame([("j", i, "h", "text", 3) for i in range(5)], "job_id string, segment_index int, content_hash string, content string, rows_count int")
     assert sinks.append_segments(segments, root, F.lit(at(0))) == {"segments": 5, "rows": 15}
+
+
+def test_a_whole_run_from_files_to_tables(spark, tmp_path):
+    """Read, segment, summarise, store, judge: the parts fit together."""
+    from logweir.functions.records import accepted
+    from logweir.operators.calls import latest_calls
+    from logweir.operators.segments import segment_rows
+    from logweir.plans.tree import summarize_segments
+    from logweir.sources.files import read_logs
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.log", "b.log"):
+        (tmp_path / "in" / name).write_text("".join(f"{name} line {i} {'x' * 50}\n" for i in range(60)))
+    records = accepted(read_logs(spark, str(tmp_path / "in")))
+    segments = segment_rows(records, "source_id", ["block", "line"], 256).withColumnRenamed("source_id", "job_id")
+    final = summarize_segments(segments, max_group=3).collect()
+    assert len(final) == 2 and all(json.loads(row.content)["summary"].startswith("[FINAL]") for row in final)
+
+    root = str(tmp_path / "tables")
+    stored = spark.createDataFrame(
+        [(row.job_id, row.node_id, "FINAL_SUMMARY", "FINAL", 0, row.content, "{}") for row in final],
+        "job_id string, node_id string, artifact_type string, stage string, level int, content string, metadata string",
+    )
+    sinks.append_artifacts(stored, root, F.lit(at(0)))
+    assert artifacts.latest_artifacts(spark.read.parquet(f"{root}/artifacts")).count() == 2
+
+    calls = spark.createDataFrame(
+        [("1", "j", "n", at(0), "{}", ""), ("2", "j", "n", at(1), "", "x")],
+        "call_id string, job_id string, node_id string, created_at timestamp, request_json string, response_json string",
+    )
+    sinks.append_llm_calls(calls, root)
+    newest = latest_calls(spark.read.parquet(f"{root}/llm_calls")).first()
+    assert (newest.call_id, newest.request_hash, len(newest.response_hash)) == ("2", "", 64)
+
+
+def test_results_are_kept_or_discarded(spark):
+    events = job_events(spark, ("j", 0, "JOB_RUNNING", "RUNNING", "{}"))
+    states = node_events(spark, ("n1", 0, "RUNNING", "MAP", 0, 0, "{}"), ("n2", 0, "PAUSED", "MAP", 0, 1, "{}"))
+    given = spark.createDataFrame([("j", "n1"), ("j", "n2")], "job_id string, node_id string")
+    judged = artifacts.judge_results(given, events, states)
+    assert [row.node_id for row in artifacts.accepted_results(judged).collect()] == ["n1"]
+    assert [(row.node_id, row.discard_reason) for row in artifacts.discarded_results(judged).collect()] == [("n2", "node_status_changed")]
+    assert [row.node_id for row in nodes.list_nodes(states, "j").collect()] == ["n1", "n2"]
