@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import mixing, warc
+from logweir.llm import language_id, mixing, simhash, warc
 from logweir.session import configure
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op3_simhash")
+def op3(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_language_id")
+def op4(spark, folder):
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 @query("op8_mixing", mixing.checking_sql("documents"))
 def op8(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents"))
