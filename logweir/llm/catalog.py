@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import language_id, mixing, simhash, warc
+from logweir.llm import language_id, mixing, repeats, simhash, warc
 from logweir.session import configure
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op8(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
+@query("op9_suffix_repeats")
+def op9(spark, folder):
+    return repeats.repeated_bytes(table(spark, folder, "documents"))
+
+
 @query(
     "op10_warc",
     """WITH facts AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages)
