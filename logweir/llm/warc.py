@@ -79,14 +79,10 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     archive = Archive(new_folder(pages.sparkSession, "warc-payloads"), new_folder(pages.sparkSession, "warc-records"))
     records_of_pages(pages, page_id, url, html).write.option("compression", "zstd").parquet(archive.records)
 
-    # The first record of each payload brings the bytes; both keys spread hot payloads.
-    stored = pages.sparkSession.read.parquet(archive.records).where("record_type = 'response'")
-    keys = stored.select("digest", F.col("page_id").alias("_id")).distinct()
+    # Payloads of one digest are equal, so any of them serves; a task passes on one of each.
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    bodies = pages.select(F.col(page_id).alias("_page"), payload.alias("payload")).withColumn("_sha", F.sha2("payload", 256))
-    kept = bodies.join(keys, F.col("_page").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("digest")), "left_semi")
-    kept = kept.select(F.col("_sha").alias("digest"), "payload")
-    kept.write.option("compression", "zstd").parquet(archive.payloads)
+    bodies = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    bodies.groupBy("digest").agg(F.any_value("payload").alias("payload")).write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
 
@@ -101,9 +97,7 @@ def read_archive(spark, archive: Archive) -> DataFrame:
     checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.octet_length("payload").cast("long")).otherwise(
         F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("long")
     )
-    # A page repeated whole may have brought its payload twice.
     store = stored.select("digest", "payload", checked.alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    store = store.dropDuplicates(["digest"])
     head = F.decode("header", "UTF-8")
     field = lambda name: F.regexp_extract(head, rf"\n{name}: ([^\r\n]*)\r\n", 1)
     names = {
