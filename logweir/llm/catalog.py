@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import decontamination, html_text, language_id, mixing, repeats, simhash, warc
+from logweir.llm import decontamination, fingerprints, html_text, language_id, mixing, repeats, simhash, warc
 from logweir.session import configure
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op6(spark, folder):
     return html_text.extract(table(spark, folder, "pages"))
 
 
+@query("op7_fingerprints")
+def op7(spark, folder):
+    return fingerprints.version_fingerprints(table(spark, folder, "documents"))
+
+
 @query("op8_mixing", mixing.checking_sql("documents"))
 def op8(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents"))

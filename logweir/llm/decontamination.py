@@ -78,9 +78,10 @@ def short_grams(length: int) -> Column:
 def _marks(df: DataFrame, lengths: list[int]) -> Column:
     """All fingerprints of a row as ``(length, fp)``."""
     marks = [F.transform("_fps", lambda fp: F.struct(F.lit(WINDOW).alias("length"), fp.alias("fp")))]
-    for length in lengths:
-        marks.append(F.transform(F.array_distinct(short_grams(length)), lambda fp, n=length: F.struct(F.lit(n).alias("length"), fp.alias("fp"))))
-    return F.concat(*marks)
+    def short(length: int) -> Column:
+        return F.transform(F.array_distinct(short_grams(length)), lambda fp: F.struct(F.lit(length).alias("length"), fp.alias("fp")))
+
+    return F.concat(*marks, *[short(length) for length in lengths])
 
 
 def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -131,8 +132,11 @@ def contamination(
     around = F.transform(places("_gram", "_long"), lambda at: F.when(last >= 1, F.sequence(F.greatest(F.least(at, last) - (SPAN - 1), F.lit(1)), F.least(at, last))))
     starts = F.filter(F.array_distinct(F.flatten(F.filter(around, lambda x: x.isNotNull()))), lambda at: at.isNotNull())
     tries = [F.transform(starts, lambda at: F.struct(at.alias("at"), F.lit(WINDOW).alias("length")))]
-    for length in lengths:
-        tries.append(F.transform(places(f"_grams{length}", f"_short{length}"), lambda at, n=length: F.struct(at.alias("at"), F.lit(n).alias("length"))))
+
+    def short_tries(length: int) -> Column:
+        return F.transform(places(f"_grams{length}", f"_short{length}"), lambda at: F.struct(at.alias("at"), F.lit(length).alias("length")))
+
+    tries += [short_tries(length) for length in lengths]
     rows = rows.select(*key, "_words", F.explode_outer(F.concat(*tries)).alias("_try"))
     rows = rows.select(*key, F.col("_try.at").alias("at"), F.col("_try.length").alias("length"), F.slice("_words", F.col("_try.at"), F.col("_try.length")).alias("words"))
 
