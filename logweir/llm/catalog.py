@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import decontamination, fingerprints, html_text, language_id, mixing, repeats, simhash, warc
+from logweir.llm import decontamination, fingerprints, html_text, language_id, lm_scoring, mixing, repeats, simhash, warc
 from logweir.session import configure
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_lm_scoring")
+def op1(spark, folder):
+    return lm_scoring.pseudo_likelihood(table(spark, folder, "documents"))
+
+
 @query("op2_decontamination", decontamination.checking_sql("documents"))
 def op2(spark, folder):
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
