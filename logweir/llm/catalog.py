@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import decontamination, fingerprints, html_text, language_id, lm_scoring, mixing, repeats, simhash, warc
+import corpus_pipeline
+from logweir.llm import decontamination, fingerprints, html_text, language_id, licenses, lm_scoring, mixing, repeats, simhash, warc
 from logweir.session import configure
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,11 @@ def op4(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query("op5_license_scan")
+def op5(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op6_html_extraction")
 def op6(spark, folder):
     return html_text.extract(table(spark, folder, "pages"))
@@ -88,3 +94,8 @@ def op10(spark, folder):
         warc.page_number(F.col("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_number(F.col("refers_to_id")).cast("long").alias("refers_to"),
     )
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
