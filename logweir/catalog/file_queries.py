@@ -87,19 +87,22 @@ def s4(t: Tables):
     return shown(files.read_json_array(t.spark, folder).filter("raw_line <> 'head'"))
 
 
-STATE_COPY = "SELECT count(*) AS rows_written, count(DISTINCT event_id) AS ids FROM events"
+STATE_COPY = """ SELECT 'job' AS kind, job_id, '' AS node_id, event_type, '{"k":"' || CAST(json_extract(payload, '$.k') AS VARCHAR) || '"}' AS payload, count(*) AS rows_written, count(*) AS ids FROM job_events GROUP BY ALL
+  UNION ALL SELECT 'node', job_id, node_id, event_type, payload, count(*), count(*) FROM node_events GROUP BY ALL"""
 
 
-@query("k1_append_events", "", STATE_COPY)
+@query("k1_append_events", "job_events node_events", STATE_COPY)
 def k1(t: Tables):
     from logweir.sources.sinks import append_events
 
     folder = work_folder(t)
     events = t.job_events.withColumn("payload", F.from_json("payload", "map<string,string>")).drop("event_id")
     append_events(events, folder, "job_events")
-    append_events(t.node_events.limit(0), folder, "node_events")
-    written = t.spark.read.parquet(f"{folder}/job_events")
-    return written.agg(F.count("*").alias("rows_written"), F.count_distinct("event_id").alias("ids"))
+    append_events(t.node_events, folder, "node_events")
+    jobs = t.spark.read.parquet(f"{folder}/job_events").select(F.lit("job").alias("kind"), "job_id", F.lit("").alias("node_id"), "event_type", "payload", "event_id")
+    nodes = t.spark.read.parquet(f"{folder}/node_events").select(F.lit("node").alias("kind"), "job_id", "node_id", "event_type", "payload", "event_id")
+    keys = ["kind", "job_id", "node_id", "event_type", "payload"]
+    return jobs.unionByName(nodes).groupBy(*keys).agg(F.count("*").alias("rows_written"), F.count_distinct("event_id").alias("ids"))
 
 
 @query(

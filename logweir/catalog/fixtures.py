@@ -340,7 +340,7 @@ DERIVED: dict[str, Callable[[Tables], DataFrame]] = {
     "job_events": _select("events", *JOB_EVENTS),
     "node_events": _select("events", *NODE_EVENTS),
     "upload_events": _select("events", *UPLOAD_EVENTS),
-    "artifacts": lambda tables: tables.read("events").filter("event_type = 'purchase'").selectExpr(*_to_spark(ARTIFACTS)),
+    "artifacts": _select("events", *_to_spark(ARTIFACTS)),
     "segments": _select("events", *_to_spark(SEGMENTS)),
     "llm_calls": _select("events", *LLM_CALLS),
     "map_outputs": _spread_select("events", *_to_spark(MAP_OUTPUTS)),
@@ -354,6 +354,7 @@ _EVENT_SQL = {
     "job_events": JOB_EVENTS,
     "node_events": NODE_EVENTS,
     "upload_events": UPLOAD_EVENTS,
+    "artifacts": ARTIFACTS,
     "segments": SEGMENTS,
     "llm_calls": LLM_CALLS,
     "map_outputs": MAP_OUTPUTS,
@@ -361,7 +362,6 @@ _EVENT_SQL = {
 
 FIXTURE_SQL: dict[str, str] = {
     **{name: f"{name} AS (SELECT {_to_duck(columns)} FROM events)" for name, columns in _EVENT_SQL.items()},
-    "artifacts": f"artifacts AS (SELECT {_to_duck(ARTIFACTS)} FROM events WHERE event_type = 'purchase')",
     "profiles": f"profiles AS (SELECT {_to_duck(PROFILES)} FROM customer, (VALUES (1), (2)) v(version))",
     "schedules": f"schedules AS (SELECT {_to_duck(SCHEDULES)} FROM customer, (VALUES (1), (2)) v(version))",
     "runs": f"runs AS (SELECT {_to_duck(RUNS)} FROM orders, (VALUES (1), (2)) v(version) WHERE {RUN_VERSIONS})",

@@ -104,12 +104,12 @@ def n7(t: Tables):
 @query(
     "n8_safe_filename",
     "",
-    r"""WITH names AS (SELECT doc_id, left(text, 40) AS name FROM documents UNION ALL SELECT -page_id - 1, url FROM pages)
+    r"""WITH names AS (SELECT doc_id, text AS name FROM documents UNION ALL SELECT -page_id - 1, url FROM pages)
     , safe AS (SELECT doc_id, name, regexp_replace(regexp_replace(name, '[^\p{L}\p{N}._-]', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS s FROM names)
     SELECT doc_id AS name_id, CASE WHEN s = '' THEN 'upload' ELSE s END AS filename FROM safe""",
 )
 def n8(t: Tables):
-    docs = t.read("documents").select(F.col("doc_id").alias("name_id"), F.substring("text", 1, 40).alias("name"))
+    docs = t.read("documents").select(F.col("doc_id").alias("name_id"), F.col("text").alias("name"))
     urls = t.read("pages").select((-F.col("page_id") - 1).alias("name_id"), F.col("url").alias("name"))
     return docs.unionByName(urls).select("name_id", safe_filename(F.col("name")).alias("filename"))
 
@@ -188,12 +188,12 @@ def s5(t: Tables):
     "s6_read_query",
     "",
     """SELECT event_id, event_type || ' ' || props AS raw_line, strftime(ts, '%Y-%m-%d') AS timestamp, '{"value":"' || CAST(floor(value) AS BIGINT) || '"}' AS attrs
-    FROM events WHERE event_type <> 'view'""",
+    FROM events""",
 )
 def s6(t: Tables):
     t.read("events").createOrReplaceTempView("logweir_source_events")
     sql = """SELECT event_id, date_format(ts, 'yyyy-MM-dd') AS time, concat(event_type, ' ', props) AS log, CAST(floor(value) AS BIGINT) AS value
-        FROM logweir_source_events WHERE event_type <> 'view';"""
+        FROM logweir_source_events;"""
     found = read_query(t.spark, sql, keep=("event_id",))
     return records.accepted(found).select("event_id", "raw_line", "timestamp", F.to_json("attrs").alias("attrs"))
 

@@ -15,10 +15,10 @@ from logweir.operators.nodes import Timeouts
 from logweir.streaming import ingest, results, stale, state
 
 
-def events_stream(t: Tables, columns: list[str], keep: str = "true"):
+def events_stream(t: Tables, columns: list[str]):
     # A pattern, since a file stream takes a folder or a pattern but no single file.
     source = t.spark.readStream.schema(t.read("events").schema).parquet(f"{t.folder}/[e]vents.parquet")
-    return source.filter(keep).selectExpr(*columns)
+    return source.selectExpr(*columns)
 
 
 def finish(writer: DataStreamWriter, folder: str) -> None:
@@ -85,7 +85,7 @@ def st3(t: Tables):
 @query("st4_stream_dedupe", "artifacts", " SELECT DISTINCT job_id, node_id, content_hash FROM artifacts")
 def st4(t: Tables):
     folder = work_folder(t)
-    unique = results.stream_dedupe(events_stream(t, ARTIFACTS, "event_type = 'purchase'"), "40 days")
+    unique = results.stream_dedupe(events_stream(t, ARTIFACTS), "40 days")
     finish(unique.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/unique"), folder)
     return t.spark.read.parquet(f"{folder}/unique").select("job_id", "node_id", "content_hash")
 
@@ -102,7 +102,7 @@ def st4(t: Tables):
 )
 def st5(t: Tables):
     folder = work_folder(t)
-    stream = events_stream(t, ARTIFACTS, "event_type = 'purchase'")
+    stream = events_stream(t, ARTIFACTS)
     writer = results.stream_discard_late(stream, lambda: t.job_events, lambda: t.node_events, f"{folder}/judged")
     finish(writer, folder)
     judged = t.spark.read.option("basePath", f"{folder}/judged").parquet(f"{folder}/judged")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from logweir.functions.text import let, strip
 
-# Default prompt texts and report instructions. Summaries, token counts
-# and hashes depend on every character of them.
+# Default prompt texts and report instructions, and below them the keys and
+# limits (FORMAT_KEYS, INSTRUCTION_KEYS, SHAPE_KEYS, NO_INSTRUCTION and the lengths).
+# Summaries, token counts and hashes depend on every character of them.
 RESULT_SHAPE = (
     "Return exactly one JSON object with this schema and no alternate top-level keys: "
     '{"ok": true, "summary": "string", "key_points": ["string"], "warnings": ["string"], "source_count": 1}. '

@@ -24,8 +24,8 @@ FIELD_NAMES = {
     "pod_name": ["pod_name", "kubernetes_pod_name", "pod"],
 }
 
-MISSING_COLUMN = "raw_line column not found"
-EMPTY_ROW = "row does not contain log text"
+MISSING_COLUMN = "no column holds the log line"
+EMPTY_ROW = "no log text in this row"
 
 
 class MissingRawLineColumn(ValueError):

@@ -43,6 +43,7 @@ def classify_error(message: Column) -> Column:
                 hit = hit | text.contains(word)
             return hit
 
+        # The words and their order.
         return (
             F.when(has("context") & has("length", "too long", "maximum"), "context_too_long")
             .when(has("rate limit", "429"), "rate_limit")

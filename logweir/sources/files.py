@@ -32,7 +32,7 @@ PLACE = ["source_id", "block", "line"]
 BOM = "\ufeff"
 
 
-class InputParseError(ValueError):
+class UnreadableInput(ValueError):
     """A file does not have the shape of its format."""
 
 
@@ -117,10 +117,10 @@ def read_csv_logs(spark: SparkSession, paths: str | list[str], raw_line_column:
     dialects: dict[tuple, list] = {}
     for row in layouts.select("path", "delimiter", "quote", "skip_space", F.size("header").alias("width")).collect():
         if row["width"] == 0:
-            raise InputParseError(f"CSV header is empty: {row['path']}")
+            raise UnreadableInput(f"no header line in {row['path']}")
         dialects.setdefault((row["delimiter"], row["quote"], row["skip_space"]), []).append(row)
     if not dialects:
-        raise InputParseError("no CSV files found")
+        raise UnreadableInput("nothing to read: no such CSV file")
     parts = [_read_dialect(spark, *dialect, files, layouts, raw_line_column) for dialect, files in dialects.items()]
     return fold(DataFrame.unionByName, parts)
 
@@ -218,7 +218,7 @@ def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_co
     split = lined.withColumn("_cells", let(table_cells(F.col("value")), fitted)).filter(F.col("_cells").isNotNull())
     rows = split.withColumn("_row", F.map_from_arrays("_names", "_cells"))
     records = normalize_rows(rows, "_row", raw_line_column, [*PLACE, "_rows"])
-    error = F.when(F.col("_rows") < 2, "markdown table must contain a header and at least one data row")
+    error = F.when(F.col("_rows") < 2, "table without a data row")
     return records.withColumn("reject_reason", F.coalesce(error, "reject_reason")).drop("_rows")
 
 
@@ -233,8 +233,8 @@ def read_json_array(spark: SparkSession, paths: str | list[str], raw_line_column
     items = start.withColumn("_items", F.when(F.col("_array") != "", F.from_json("_array", "array<variant>"))).withColumn(
         "_texts", F.when(F.col("_items").isNotNull(), F.from_json("_array", "array<string>"))
     )
-    error = F.when(F.col("_array") == "", "JSON must be an array or an object containing an array").when(
-        F.col("_items").isNull(), "invalid JSON array"
+    error = F.when(F.col("_array") == "", "no array in the JSON text").when(
+        F.col("_items").isNull(), "the JSON array cannot be read"
     )
     failed = items.withColumn("_error", error).filter(F.col("_error").isNotNull())
     # A variant knows the type of each item but sorts the keys; the text keeps their order.
@@ -298,5 +298,5 @@ def read_logs(
         by_format.setdefault(row["kind"], []).append(row["path"])
     parts = [READERS[kind](spark, names, raw_line_column=raw_line_column) for kind, names in by_format.items()]
     if not parts:
-        raise InputParseError("no input files found")
+        raise UnreadableInput("nothing to read under this path")
     return fold(DataFrame.unionByName, parts)

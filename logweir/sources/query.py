@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,17 +12,24 @@ from logweir.functions.records import normalize_columns
 MAX_PREVIEW = 500
 
 
-class QuerySourceError(ValueError):
-    """The query is not a read query, or gives nothing to read."""
+class UnreadableQuery(ValueError):
+    """A statement that does more than read, or rows that are no log."""
+
 
+def read_only(spark: SparkSession, statement: str) -> DataFrame:
+    """The result of a statement that Spark's parser takes for a plain query.
 
-def checked_query(query: str) -> str:
-    text = query.strip().rstrip(";")
-    if not text:
-        raise QuerySourceError("query is empty")
-    if not text.lower().startswith(("select ", "with ")):
-        raise QuerySourceError("only SELECT/WITH read queries are allowed")
-    return text
+    Commands (writes, DDL, settings) have a plan of their own kind and are refused before they run.
+    """
+    text = statement.strip()
+    while text.endswith(";"):
+        text = text[:-1].rstrip()
+    if not re.match(r"(?i)(?:select|with|from|values|table)\b|\(", text):
+        raise UnreadableQuery(f"a query is wanted here, not: {text[:40]!r}")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    if plan.getClass().getSimpleName().startswith(("Insert", "Create", "Replace")) or "Command" in plan.getClass().getSimpleName():
+        raise UnreadableQuery(f"this statement changes something: {text[:40]!r}")
+    return spark.sql(text)
 
 
 def read_query(
@@ -31,15 +40,12 @@ def read_query(
     strict: bool = True,
 ) -> DataFrame:
     """Records of a query result. ``strict`` fails on an empty result, before any job exists."""
-    result = spark.sql(checked_query(query))
-    if not result.columns:
-        raise QuerySourceError("query result has no columns")
-    records = normalize_columns(result, raw_line_column, keep)
+    records = normalize_columns(read_only(spark, query), raw_line_column, keep)
     if strict and records.filter(F.col("reject_reason").isNull()).isEmpty():
-        raise QuerySourceError("query did not return parseable log rows")
+        raise UnreadableQuery("no row of the result has a log line")
     return records
 
 
 def preview(spark: SparkSession, query: str, limit: int = 100) -> DataFrame:
     """First rows of a read query; the limit is kept between 1 and 500."""
-    return spark.sql(checked_query(query)).limit(max(1, min(int(limit), MAX_PREVIEW)))
+    return read_only(spark, query).limit(max(1, min(int(limit), MAX_PREVIEW)))

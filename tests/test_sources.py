@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logweir.functions.records import accepted, rejected, rendered
 from logweir.sources import files
 from logweir.sources.formats import UnsupportedFormat, detect_format
-from logweir.sources.query import QuerySourceError, preview, read_query
+from logweir.sources.query import UnreadableQuery, preview, read_query
 
 
 def write(folder, name: str, text: str, encoding: str = "utf-8") -> str:
@@ -123,7 +123,7 @@ def test_unknown_columns_are_rendered(spark, tmp_path):
 def test_missing_raw_line_column_is_a_reject(spark, tmp_path):
     path = write(tmp_path, "a.csv", "timestamp,log\nt,x\n")
     reasons = [row.reject_reason for row in files.read_csv_logs(spark, path, "body").collect()]
-    assert reasons == ["raw_line column not found"]
+    assert reasons == ["no column holds the log line"]
 
 
 def test_read_logs_goes_by_file_name(spark, tmp_path):
@@ -163,9 +163,9 @@ def test_query_source(spark):
     row = read_query(spark, " SELECT * FROM source_rows; ").first()
     assert (row.raw_line, row.namespace, row.attrs) == ("boom", "ns", {"severity": "error"})
     for bad in ("", " ; ", "drop table x", "selectx"):
-        with pytest.raises(QuerySourceError):
+        with pytest.raises(UnreadableQuery):
             read_query(spark, bad)
-    with pytest.raises(QuerySourceError):
+    with pytest.raises(UnreadableQuery):
         read_query(spark, "select * from source_rows where false")
     assert preview(spark, "select * from range(1000)", 0).count() == 1
     assert preview(spark, "with a as (select * from range(1000)) select * from a", 900).count() == 500
