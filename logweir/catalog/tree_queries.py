@@ -227,6 +227,30 @@ def m12(t: Tables):
     return shown(tree.reduce_level(map_outputs(t), max_group=GROUP, budget=REDUCE_BUDGET))
 
 
+def _picky(prompts):
+    """The deterministic summariser, which has no answer for prompts that speak of purchases."""
+    from logweir.plans.summarizers import dry_summarizer
+
+    answered = dry_summarizer(prompts)
+    refused = F.col("user").contains("purchase")
+    return answered.withColumn("result", F.when(~refused, F.col("result"))).withColumn("failure", F.when(refused, "refused"))
+
+
+@query(
+    "m13_failed_jobs",
+    "segments",
+    """, judged AS (SELECT job_id, CAST(count_if(content LIKE 'purchase%') AS BIGINT) AS failed_nodes FROM segments GROUP BY job_id)
+    SELECT job_id, failed_nodes, failed_nodes = 0 AS finished, CASE WHEN failed_nodes > 0 THEN 'MAP: refused' END AS reason FROM judged""",
+)
+def m13_failed(t: Tables):
+    final, failed = tree.summarize_jobs(t.segments, _picky, max_group=GROUP, budget=REDUCE_BUDGET)
+    lost = failed.groupBy("job_id").agg(F.count("*").alias("failed_nodes"), F.max(F.concat_ws(": ", "stage", "reason")).alias("reason"))
+    done = final.select("job_id", F.lit(True).alias("finished"))
+    return lost.join(done, "job_id", "full").select(
+        "job_id", F.coalesce("failed_nodes", F.lit(0).cast("long")).alias("failed_nodes"), F.coalesce("finished", F.lit(False)).alias("finished"), "reason"
+    )
+
+
 @query("m13_reduce_tree", "log_records", TOPS + f" SELECT {SHOWN} FROM tops", recursive=True)
 def m13(t: Tables):
     tops, _ = tree.reduce_tree(map_outputs(t), max_group=GROUP, budget=REDUCE_BUDGET)
@@ -316,6 +340,30 @@ def m17(t: Tables):
     return attempts.select("node_id", "attempt", "status", kind.alias("error_class"))
 
 
+def _prose(stage: str, system: str, user: str) -> str:
+    return "no JSON in these words" if user.startswith(("error", "view")) else '{"summary": "fine"}'
+
+
+@query(
+    "m17_unparseable_retry",
+    "",
+    """SELECT CAST(event_id AS VARCHAR) AS node_id, CAST(a AS INT) AS attempt, CASE WHEN event_type IN ('error', 'view') THEN 'ERROR' ELSE 'OK' END AS status,
+      CASE WHEN event_type IN ('error', 'view') THEN 'schema_or_json' ELSE '' END AS error_class
+    FROM events, (VALUES (1), (2)) v(a) WHERE a = 1 OR event_type IN ('error', 'view')""",
+)
+def m17_unparseable(t: Tables):
+    from logweir.functions.scalars import classify_error
+    from logweir.plans.summarizers import retry_calls
+
+    asked = t.read("events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").cast("string").alias("node_id"),
+        F.lit("MAP").alias("stage"), F.lit("").alias("system"), F.concat_ws(" ", "event_type", "props").alias("user"),
+    )
+    tried = retry_calls(asked, _prose, retries=1, backoff_seconds=0.0)
+    error = F.when(F.col("status") == "ERROR", classify_error(F.col("error_message"))).otherwise("")
+    return tried.select("node_id", "attempt", "status", error.alias("error_class"))
+
+
 @query(
     "m18_schema_of_examples",
     "",

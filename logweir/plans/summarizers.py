@@ -1,13 +1,15 @@
 """Summarisers: functions from prompts to results, both DataFrames.
 
 Prompts have ``job_id, node_id, stage, system, user``; a summariser keeps all columns
-and adds ``result`` (see ``SUMMARY_TYPE``). The default is pure Spark SQL. Any Python
-callable can take its place; it is called in Arrow batches, at most ``max_calls`` at
-a time, and every attempt is recorded.
+and adds ``result`` (see ``SUMMARY_TYPE``), null for a prompt without a usable answer, and
+may add ``failure``, the reason. The default is pure Spark SQL. Any Python callable can take its
+place; it is called in Arrow batches, at most ``max_calls`` at a time, and every attempt is
+recorded. An answer without JSON is an attempt that failed, and is tried again.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -40,6 +42,29 @@ def dry_summarizer(prompts: DataFrame) -> DataFrame:
     return prompts.withColumn("result", dry_result(F.col("stage"), F.col("user")))
 
 
+class NoJson(ValueError):
+    """An answer in which no JSON value can be read."""
+
+
+def require_json(response: str) -> str:
+    """The answer, if a JSON value starts somewhere in it and can be read to its end."""
+    decoder, starts = json.JSONDecoder(), [response.find(mark) for mark in "{["]
+    text = response.strip()
+    try:
+        decoder.raw_decode(text)
+        return response
+    except (ValueError, RecursionError):
+        pass
+    first = min((start for start in starts if start >= 0), default=None)
+    if first is None:
+        raise NoJson("the answer holds no JSON")
+    try:
+        decoder.raw_decode(response, first)
+    except (ValueError, RecursionError) as error:
+        raise NoJson(f"the JSON of the answer cannot be read: {error}") from None
+    return response
+
+
 def _attempts(call: Callable[[str, str, str], str], retries: int, backoff_seconds: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -50,6 +75,7 @@ def _attempts(call: Callable[[str, str, str], str], retries: int, backoff_second
                     status, response, error = "OK", "", ""
                     try:
                         response = call(prompt.stage, prompt.system, prompt.user)
+                        require_json(response)
                     except Exception as failure:  # every failure of the callable is an attempt of its own
                         status, error = "ERROR", str(failure)
                     millis = int((time.monotonic() - started) * 1000)
@@ -118,16 +144,20 @@ def callable_summarizer(
 ) -> Summarizer:
     """A summariser around ``call(stage, system, user) -> response text``.
 
-    Prompts whose attempts all failed, or whose response holds no JSON, are left out
-    of the results. ``on_attempts`` gets (attempts, prompts), e.g. to append calls.
+    Prompts whose attempts all failed stay in the results, without a result and with the
+    last error as ``failure``. ``on_attempts`` gets (attempts, prompts), e.g. to append calls.
     """
 
     def summarize(prompts: DataFrame) -> DataFrame:
         attempts = retry_calls(prompts, call, max_calls, retries, backoff_seconds)
         if on_attempts is not None:
             on_attempts(attempts, prompts)
-        good = attempts.filter(F.col("status") == "OK").select("job_id", "node_id", "stage", "response")
-        answers = normalize_responses(good, "response").filter(F.col("result").isNotNull()).drop("response", "parse_error")
-        return prompts.join(answers, ["job_id", "node_id", "stage"])
+        keys = ["job_id", "node_id", "stage"]
+        good = attempts.filter(F.col("status") == "OK").select(*keys, "response")
+        answers = normalize_responses(good, "response").drop("response")
+        errors = attempts.filter(F.col("status") == "ERROR").groupBy(*keys).agg(F.max_by("error_message", "attempt").alias("_error"))
+        joined = prompts.join(answers, keys, "left").join(errors, keys, "left")
+        reason = F.when(F.col("result").isNull(), F.coalesce("parse_error", "_error", F.lit("no answer")))
+        return joined.withColumn("failure", reason).drop("parse_error", "_error")
 
     return summarize

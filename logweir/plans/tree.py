@@ -102,10 +102,37 @@ def _outputs(results: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def failed_nodes(results: DataFrame) -> DataFrame:
+    """Nodes of a stage without a result: job_id, node_id, stage, reason."""
+    reason = F.coalesce("failure", F.lit("no result")) if "failure" in results.columns else F.lit("no result")
+    return results.filter(F.col("result").isNull()).select("job_id", "node_id", "stage", reason.alias("reason"))
+
+
+def _answered(results: DataFrame, failed: list[DataFrame] | None) -> DataFrame:
+    """Results that are there; nodes without one go to ``failed``."""
+    if failed is not None:
+        failed.append(failed_nodes(results))
+    return results.filter(F.col("result").isNotNull())
+
+
+def without_failed(outputs: DataFrame, failed: list[DataFrame]) -> DataFrame:
+    """Outputs of the jobs of which no node has failed so far.
+
+    A summariser that cannot fail has no failed nodes in its plan, and Spark drops the join.
+    """
+    if not failed:
+        return outputs
+    jobs = fold(DataFrame.unionByName, failed).select("job_id").distinct()
+    return outputs.join(jobs, "job_id", "left_anti")
+
+
 def map_summarize(
-    nodes: DataFrame, summarizer: Summarizer = dry_summarizer, settings: DataFrame | None = None
+    nodes: DataFrame,
+    summarizer: Summarizer = dry_summarizer,
+    settings: DataFrame | None = None,
+    failed: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """One summariser call per MAP node."""
+    """One summariser call per MAP node. Nodes without a result are added to ``failed``."""
     own = settings is not None
     asked = with_job_settings(nodes, settings, "map").select(
         "job_id",
@@ -118,7 +145,7 @@ def map_summarize(
         _system("map", own).alias("system"),
         prompts.map_user(F.col("chunk"), _template("map", own), _shape(own)).alias("user"),
     )
-    return _outputs(summarizer(asked))
+    return _outputs(_answered(summarizer(asked), failed))
 
 
 def sequence_bounds(artifacts: DataFrame, node_index: str | None = "node_index") -> DataFrame:
@@ -236,7 +263,10 @@ REDUCE_FACTS = ["input_node_ids", "input_hash", "input_count", "input_estimated_
 
 
 def reduce_summarize(
-    nodes: DataFrame, summarizer: Summarizer = dry_summarizer, settings: DataFrame | None = None
+    nodes: DataFrame,
+    summarizer: Summarizer = dry_summarizer,
+    settings: DataFrame | None = None,
+    failed: list[DataFrame] | None = None,
 ) -> DataFrame:
     """One summariser call per REDUCE node; the sequence range goes on."""
     own = settings is not None
@@ -252,7 +282,7 @@ def reduce_summarize(
         _system("reduce", own).alias("system"),
         prompts.reduce_user(F.col("summaries"), _template("reduce", own), _shape(own)).alias("user"),
     )
-    return _outputs(summarizer(asked), *REDUCE_FACTS)
+    return _outputs(_answered(summarizer(asked), failed), *REDUCE_FACTS)
 
 
 def reduce_level(
@@ -262,11 +292,12 @@ def reduce_level(
     budget: int = REDUCE_TARGET_TOKENS,
     settings: DataFrame | None = None,
     jobs: int | None = None,
+    failed: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Outputs of the next level for jobs that have more than one output."""
     grouped = group_reduce_inputs(outputs, ORDER, max_group, budget, jobs)
     nodes = create_reduce_level(grouped.filter(F.col("inputs_count") > 1))
-    return reduce_summarize(nodes, summarizer, settings)
+    return reduce_summarize(nodes, summarizer, settings, failed)
 
 
 def reduce_tree(
@@ -275,14 +306,20 @@ def reduce_tree(
     max_group: int = REDUCE_GROUP_SIZE,
     budget: int = REDUCE_TARGET_TOKENS,
     settings: DataFrame | None = None,
+    failed: list[DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """The one output each job ends with, and all REDUCE outputs of all levels.
 
+    A job with a failed node leaves the loop without an output: it must not go on
+    over the members that are left. ``failed`` holds the nodes that failed before, and
+    gets those that fail here.
+
     Every level is written to the checkpoint folder once and read from there; a job
     that is down to one output leaves the loop. The driver only learns how many jobs
     there are and whether any goes on.
     """
-    current, tops, levels = cut(map_outputs), [], []
+    failed = [] if failed is None else failed
+    current, tops, levels = cut(without_failed(map_outputs, failed)), [], []
     while True:
         # One row per job and task survives the partial aggregate, whatever a job's size.
         row = F.first(F.struct(*[name for name in _OUTPUT if name != "job_id"]))
@@ -292,13 +329,19 @@ def reduce_tree(
         jobs, going_on = sizes.agg(F.count("*"), F.count_if(F.col("_outputs") > 1)).first()
         if not going_on:
             break
-        current = cut(reduce_level(current, summarizer, max_group, budget, settings, jobs))
+        lost: list[DataFrame] = []
+        reached = reduce_level(current, summarizer, max_group, budget, settings, jobs, lost)
+        current = cut(without_failed(reached, lost))
+        failed += lost
         levels.append(current)
     return fold(DataFrame.unionByName, tops), fold(DataFrame.unionByName, levels) if levels else None
 
 
 def finalize(
-    tops: DataFrame, summarizer: Summarizer = dry_summarizer, settings: DataFrame | None = None
+    tops: DataFrame,
+    summarizer: Summarizer = dry_summarizer,
+    settings: DataFrame | None = None,
+    failed: list[DataFrame] | None = None,
 ) -> DataFrame:
     """The FINAL artifact of each job, with report format and own prompts merged in."""
     own = settings is not None
@@ -322,7 +365,22 @@ def finalize(
             else prompts.final_user(F.col("content"))
         ).alias("user"),
     )
-    return _outputs(summarizer(asked), "input_node_ids", "report_format")
+    return _outputs(_answered(summarizer(asked), failed), "input_node_ids", "report_format")
+
+
+def summarize_jobs(
+    segments: DataFrame,
+    summarizer: Summarizer = dry_summarizer,
+    max_group: int = REDUCE_GROUP_SIZE,
+    budget: int = REDUCE_TARGET_TOKENS,
+    settings: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """One final artifact per finished job, and the failed nodes of all others with stage and reason."""
+    failed: list[DataFrame] = []
+    mapped = map_summarize(create_map_nodes(segments), summarizer, settings, failed)
+    tops, _ = reduce_tree(mapped, summarizer, max_group, budget, settings, failed)
+    final = finalize(tops, summarizer, settings, failed)
+    return final, fold(DataFrame.unionByName, failed)
 
 
 def summarize_segments(
@@ -332,10 +390,8 @@ def summarize_segments(
     budget: int = REDUCE_TARGET_TOKENS,
     settings: DataFrame | None = None,
 ) -> DataFrame:
-    """Segments to one final artifact per job."""
-    mapped = map_summarize(create_map_nodes(segments), summarizer, settings)
-    tops, _ = reduce_tree(mapped, summarizer, max_group, budget, settings)
-    return finalize(tops, summarizer, settings)
+    """Segments to one final artifact per job; jobs with a failed node have none."""
+    return summarize_jobs(segments, summarizer, max_group, budget, settings)[0]
 
 
 def load_reduce_inputs(nodes: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:

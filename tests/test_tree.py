@@ -97,6 +97,14 @@ def test_calls_are_retried_and_recorded(spark, tmp_path):
     )
     outputs = mapped(spark, [("j", 0, "a"), ("j", 1, "b"), ("j", 2, "never")], summarizer=summarize).collect()
     assert sorted(json.loads(row.content)["summary"] for row in outputs) == ["seen a", "seen b"]
+    # The job of the node that failed has no final report; its neighbour has.
+    segments = spark.createDataFrame(
+        [("j", 0, "a", "h0", 1), ("j", 1, "b", "h1", 1), ("j", 2, "never", "h2", 1), ("k", 0, "c", "h3", 1)],
+        "job_id string, segment_index int, content string, content_hash string, rows_count int",
+    )
+    final, failed = tree.summarize_jobs(segments, summarize)
+    assert [row.job_id for row in final.collect()] == ["k"]
+    assert [(row.job_id, row.stage, row.reason) for row in failed.collect()] == [("j", "MAP", "HTTP 429")]
     calls = summarizers.call_rows(*seen[0], "local", "m").collect()
     errors = sorted((row.node_id, row.attempt, row.error_class) for row in calls if row.status == "ERROR")
     assert sorted(kind for _, _, kind in errors) == ["rate_limit"] * 3 + ["timeout"] * 2
