@@ -292,21 +292,24 @@ RESPONSES = [
     "concat('```json\n{\"answer\": \"', event_type, '\", \"warnings\": \"one\"}\n```')",
     "concat('Here it is: {\"root_cause\": \"', event_type, '\", \"sourceCount\": 2} - done')",
     "concat('nothing but ', event_type)",
+    "concat('{\"summary\": {\"text\": \"', event_type, '\", \"key_points\": [{\"content\": \"p\"}, \"\", 7]}}')",
+    "concat('{\"result\": \"', event_type, '\", \"source_count\": 99999999999, \"warnings\": [\"a\", true]}')",
+    "concat('cut {\"summary\": \"', event_type, ' \\\\ud83d')",
 ]
 
 
 @query(
     "m4_normalize_responses",
     "",
-    """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_type WHEN event_id % 4 = 2 THEN 'Root cause: ' || event_type END AS summary,
-      CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN '' WHEN 2 THEN 'root cause: ' || event_type END AS key_points,
-      CASE event_id % 4 WHEN 1 THEN 'one' WHEN 3 THEN NULL ELSE '' END AS warnings,
-      CAST(CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS INT) AS source_count, event_id % 4 = 3 AS failed FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 4, 5) THEN event_type WHEN event_id % 7 = 2 THEN 'Root cause: ' || event_type END AS summary,
+      CASE event_id % 7 WHEN 0 THEN 'a' WHEN 1 THEN '' WHEN 2 THEN 'root cause: ' || event_type WHEN 4 THEN 'p|7' WHEN 5 THEN '' END AS key_points,
+      CASE WHEN event_id % 7 = 1 THEN 'one' WHEN event_id % 7 = 5 THEN 'a|true' WHEN event_id % 7 IN (0, 2, 4) THEN '' END AS warnings,
+      CAST(CASE event_id % 7 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 2147483647 END AS INT) AS source_count, event_id % 7 IN (3, 6) AS failed FROM events""",
 )
 def m4(t: Tables):
     from logweir.functions.responses import normalize_responses
 
-    given = F.get(F.array(*[F.expr(text) for text in RESPONSES]), (F.col("event_id") % 4).cast("int"))
+    given = F.get(F.array(*[F.expr(text) for text in RESPONSES]), (F.col("event_id") % len(RESPONSES)).cast("int"))
     found = normalize_responses(t.spread("events").withColumn("response", given), "response")
     return found.select(
         "event_id", "result.summary", F.array_join("result.key_points", "|").alias("key_points"),

@@ -92,6 +92,9 @@ def entry_table(weights: np.ndarray, limits: Limits) -> list[tuple[int, int, int
     """
     n = len(weights)
     sums = np.cumsum(weights)
+    if limits.budget >= NO_LIMIT and limits.max_rows >= NO_LIMIT:
+        # Nothing ever closes a group, so the run goes on with any that is open: one line.
+        return [(0, int(weights[0]), 1, n, int(sums[-1]))]
     before = sums - weights
     reachable = int(np.searchsorted(before, limits.budget, side="left"))
     reachable = max(1, min(reachable, limits.max_rows, n))

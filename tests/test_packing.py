@@ -132,3 +132,7 @@ def test_chunks_equal_a_sequential_join(spark):
         for label, piece in zip(fold([max(1, math.ceil(len(piece) / 2.2)) for piece in cut], 300, NO_LIMIT), cut):
             chunks.setdefault(label, []).append(piece)
         assert found.get(i, []) == ["\n\n".join(chunk) for chunk in chunks.values()]
+
+
+def test_a_row_number_needs_one_line_a_partition():
+    assert len(entry_table(np.ones(1_000_000, dtype=np.int64), Limits(NO_LIMIT))) == 1

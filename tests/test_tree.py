@@ -120,11 +120,11 @@ def test_calls_are_retried_and_recorded(spark, tmp_path):
         ('{"summary": {"text": "inner", "key_points": [{"content": "p"}, "q", ""]}}', (True, "inner", ["p", "q"], [], 1)),
         ('["a", {"b": 1}]', (True, '[\n  "a",\n  {\n    "b": 1\n  }\n]', [], [], 1)),
         (
-            '{"root_cause": "Deployment  v42", "impact": {"error_rate": "12%"}, "steps": ["x", 2]}',
+            '{"cause_of_it": "Disk  full", "seen_on": {"host_name": "h7", "tries": [2]}, "done": ["wait", 3, true]}',
             (
                 True,
-                "Root cause: Deployment v42\nImpact:\n- error rate: 12%\nSteps:\n- x\n- 2",
-                ["root cause: Deployment v42", 'impact: {"error_rate": "12%"}', 'steps: ["x", 2]'],
+                "Cause of it: Disk full\nSeen on:\n- host name: h7\n- tries: [2]\nDone:\n- wait\n- 3\n- True",
+                ["cause of it: Disk full", 'seen on: {"host_name": "h7", "tries": [2]}', 'done: ["wait", 3, true]'],
                 [],
                 1,
             ),
@@ -236,3 +236,22 @@ def test_output_shape_of_a_job_enters_its_prompts(spark):
     final = said["j", "FINAL"]
     assert final.system == prompts.SHAPED_SYSTEM_TEXT["final"] and '"answer"' in final.user
     assert prompts.REPORT_FORMATS["markdown"] in final.user and said["k", "FINAL"].user.startswith("Create the final user-facing report")
+
+
+@pytest.mark.parametrize(
+    ("response", "summary", "count"),
+    [
+        ('{"summary": "a", "source_count": 1e999}', "a", None),
+        ('{"summary": "a", "source_count": 99999999999}', "a", 2**31 - 1),
+        ('{"summary": "cut \\ud83d"}', "cut ?", 1),
+        ("[" * 100_000, None, None),
+        ('{"a":' * 100_000, None, None),
+        ('{"summary": "' + "x\\n" * 20_000 + '"}', "x\n" * 20_000, 1),
+        ("", None, None),
+    ],
+)
+def test_odd_responses_end_no_job(spark, response, summary, count):
+    row = normalize_responses(spark.createDataFrame([(response,), (None,)], "r string"), "r").filter("r is not null").first()
+    assert (row.result.summary if row.result else None) == summary
+    assert (row.parse_error is None) == (summary is not None)
+    assert count is None or row.result.source_count == count
