@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Callable
 from functools import reduce as fold
 
@@ -21,11 +22,15 @@ from pyspark.sql import types as T
 
 from logweir.functions.records import normalize_rows, plain_records
 from logweir.functions.text import is_blank, let, strip
+from logweir.session import cut
 from logweir.sources.formats import FORMATS, UnsupportedFormat, detect_format
 
 HEAD_BYTES = 65_536
 DELIMITERS = ",;\t"
 SPARE_CELLS = 16
+#: Cells a row may have at least, and characters a header cell.
+MOST_CELLS = 100_000
+LARGEST_CELL = 2**31 - 1
 # A header row is at most HEAD_BYTES long, in practice far shorter.
 BROADCAST_FILES = 2_000
 PLACE = ["source_id", "block", "line"]
@@ -70,7 +75,7 @@ HEAD = T.StructType(
 
 
 def _csv_head(path: str) -> tuple[str, str, bool, list[str]]:
-    """Dialect and header row of one file, from its first bytes only."""
+    """Dialect of one file, told from its first bytes, and its header row, read to its end however long."""
     filesystem, name = pyarrow.fs.FileSystem.from_uri(path)
     with filesystem.open_input_stream(name) as stream:
         text = stream.read(HEAD_BYTES).decode("utf-8-sig", errors="replace")
@@ -78,8 +83,10 @@ def _csv_head(path: str) -> tuple[str, str, bool, list[str]]:
         dialect = csv.Sniffer().sniff(text, delimiters=DELIMITERS)
     except csv.Error:
         dialect = csv.excel
-    rows = csv.reader(io.StringIO(text, newline=""), dialect)
-    header = next((row for row in rows if row), [])
+    csv.field_size_limit(LARGEST_CELL)
+    with filesystem.open_input_stream(name) as stream:
+        rows = csv.reader(io.TextIOWrapper(stream, "utf-8-sig", "replace", newline=""), dialect)
+        header = next((row for row in rows if any(cell.strip() for cell in row)), [])
     return dialect.delimiter, dialect.quotechar or '"', bool(dialect.skipinitialspace), header
 
 
@@ -111,20 +118,43 @@ def read_csv_logs(spark: SparkSession, paths: str | list[str], raw_line_column:
     """Records of CSV or TSV files with a header row, quoted cells over several lines.
 
     Files of one dialect are read together. The driver holds the file names, as it
-    does for any file scan, never their rows.
+    does for any file scan, never their rows. A file without a header line, empty or
+    blank, gives one rejected row.
     """
-    layouts = csv_layouts(spark, paths).persist()
+    layouts = cut(csv_layouts(spark, paths))
     dialects: dict[tuple, list] = {}
-    for row in layouts.select("path", "delimiter", "quote", "skip_space", F.size("header").alias("width")).collect():
+    blank, seen = [], set()
+    for row in layouts.select("path", "source_id", "delimiter", "quote", "skip_space", F.size("header").alias("width")).collect():
+        seen.add(row["source_id"])
         if row["width"] == 0:
-            raise UnreadableInput(f"no header line in {row['path']}")
+            blank.append(row["source_id"])
+            continue
         dialects.setdefault((row["delimiter"], row["quote"], row["skip_space"]), []).append(row)
-    if not dialects:
+    # A scan leaves out files of no bytes; the listing has them.
+    listed = spark.read.format("binaryFile").load(paths).inputFiles()
+    blank += sorted(name for name in map(_like_metadata, listed) if name not in {_like_metadata(one) for one in seen})
+    if not dialects and not blank:
         raise UnreadableInput("nothing to read: no such CSV file")
     parts = [_read_dialect(spark, *dialect, files, layouts, raw_line_column) for dialect, files in dialects.items()]
+    if blank:
+        parts.append(_without_header(spark, blank))
     return fold(DataFrame.unionByName, parts)
 
 
+def _like_metadata(name: str) -> str:
+    """A listed file name as ``_metadata.file_path`` writes it."""
+    return re.sub(r"^file:/+", "file:/", name)
+
+
+def _without_header(spark: SparkSession, files: list[str]) -> DataFrame:
+    """One rejected row for each of the files."""
+    rows = spark.createDataFrame([(name,) for name in files], "source_id string").select(
+        "source_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line"),
+        F.create_map().cast("map<string,string>").alias("_row"),
+    )
+    return normalize_rows(rows, "_row", None, PLACE).withColumn("reject_reason", F.lit("no header line"))
+
+
 def _read_dialect(
     spark: SparkSession, delimiter: str, quote: str, skip_space: bool, files: list, layouts: DataFrame, raw_line_column: str | None
 ) -> DataFrame:
@@ -141,6 +171,7 @@ def _read_dialect(
         .option("ignoreLeadingWhiteSpace", skip_space)
         .option("columnNameOfCorruptRecord", "_record")
         .option("maxCharsPerColumn", -1)
+        .option("maxColumns", max(2 * width, MOST_CELLS))
         .csv([row["path"] for row in files])
         .select(
             F.col("_metadata.file_path").alias("source_id"),

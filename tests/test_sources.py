@@ -169,3 +169,17 @@ def test_query_source(spark):
         read_query(spark, "select * from source_rows where false")
     assert preview(spark, "select * from range(1000)", 0).count() == 1
     assert preview(spark, "with a as (select * from range(1000)) select * from a", 900).count() == 500
+
+
+def test_csv_headers_of_any_width_and_files_without_one(spark, tmp_path):
+    from logweir.sources.files import read_csv_logs
+
+    names = [f"column_with_a_rather_long_name_{n}" for n in range(2_500)]
+    (tmp_path / "wide.csv").write_text(",".join([*names, "raw_line"]) + "\n" + ",".join(["v"] * 2_500 + ["the line"]) + "\n")
+    (tmp_path / "blank.csv").write_text("\n  \n\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "small.csv").write_text("timestamp,raw_line\n2024-01-01,hello\n")
+    rows = {row.source_id.rsplit("/", 1)[1]: row for row in read_csv_logs(spark, str(tmp_path)).collect()}
+    assert rows["wide.csv"].raw_line == "the line" and len(rows["wide.csv"].attrs) == 2_500
+    assert rows["small.csv"].raw_line == "hello" and rows["small.csv"].reject_reason is None
+    assert rows["blank.csv"].reject_reason == rows["none.csv"].reject_reason == "no header line"
