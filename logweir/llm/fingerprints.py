@@ -6,10 +6,10 @@ cell of each row, which keeps a count, the exclusive-or of digests and that of t
 checks. Sketches of two versions are subtracted cell by cell, what is in both cancels out.
 Peeling then takes digests from cells that hold one alone, out of their other cells too,
 until nothing is left: the digests in which the versions differ. Where something is
-left, the pair is tried again with larger sketches, the first time of the size
-of the sets, then twice as large each time.
+left, the pair is tried again with larger sketches, twice as large each time.
 
-The fingerprint of a text is its smallest sketch. Likeness is the share of common digests
+The fingerprint of a text is its smallest sketch. Pairs whose smallest sketches cancel out
+do not differ; for the others the first size follows from the sizes of the sets. Likeness is the share of common digests
 among all; two empty texts are alike.
 
 Nulls: a null text is empty, a null id comes last. Rows that repeat an id, or a
@@ -31,12 +31,16 @@ PIECE = 96
 ROWS = 3
 #: Cells a row of the smallest sketch.
 SMALLEST = 4
+#: Cells a row, at first, for each digest of the largest version.
+ROOM = 2
 #: Passes over the rows of cells until a pair counts as failed.
-CYCLES = 5
+CYCLES = 2
 CHECK = 99
 #: Documents in a bucket of the digest table, about.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 2_000
 EDITED, NEXT = 0, 1
+#: A cell's number holds its pair, row and slot.
+ROW_BITS, PAIR_BITS = 40, 44
 
 
 def digests(text: Column) -> Column:
@@ -92,66 +96,78 @@ def versions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     following = placed.select(
         F.col("_place._prior_row").alias("_for_row"), F.col("_place._prior").alias("_for"),
         F.substring("text", F.lit(1), taken).alias("_start"), digests(F.col("text")).alias("next"),
+        # Both sides need all columns of the texts, so Spark shuffles them once for both.
+        F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"),
     ).repartition(parts, "_for_row")
-    joined = placed.join(following, (F.col("_row") == F.col("_for_row")) & (F.col(f"_place.{RANK}") == F.col("_for")))
+    # Only the row's hash is a join key, as the texts are dealt by it; equal rows are few and told apart after.
+    joined = placed.join(following, (F.col("_row") == F.col("_for_row")) & (F.col(f"_place.{RANK}") - F.col("_for") == 0))
     left = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     edited = F.concat(F.substring("text", F.lit(1), left.cast("int")), "_start")
     return joined.select(
-        "_row", F.col(f"_place.{RANK}").alias("_number"), "doc_id", "n_chars", edited.alias("edited_text"),
+        "_row", F.col(f"_place.{RANK}").alias("_number"), "doc_id", "n_chars", "next_id", "next_chars", edited.alias("edited_text"),
         digests(F.col("text")).alias("own"), "next",
     ).withColumn("edited", digests(F.col("edited_text")))
 
 
 def sketches(rows: DataFrame, attempt: int) -> DataFrame:
-    """Subtracted sketches of the pairs of ``rows`` (``_row, _number, _tries`` and the digest arrays): the cells that are not empty."""
-    def signed(keys: str, pair: int, sign: int) -> Column:
-        entries = F.transform(keys, lambda x: F.struct(F.lit(pair).alias("pair"), F.lit(sign).alias("n"), x.alias("x")))
-        return F.when(F.array_contains("_tries", pair), entries).otherwise(F.array().cast("array<struct<pair:int,n:int,x:bigint>>"))
-
-    entries = F.concat(signed("own", EDITED, 1), signed("edited", EDITED, -1), signed("own", NEXT, 1), signed("next", NEXT, -1))
-    width = lambda other: F.ceil(F.greatest(F.size("own"), F.size(other)) * 1.5).cast("int") + 8
-    widths = F.array(width("edited"), width("next")) if attempt else F.array(F.lit(SMALLEST), F.lit(SMALLEST))
-    rows = rows.select("_row", "_number", widths.alias("_widths"), F.explode_outer(entries).alias("e")).where("e is not null")
-    wide = F.element_at("_widths", F.col("e.pair") + 1) * (1 << max(0, attempt - 1))
-    rows = rows.select("_row", "_number", F.col("e.pair").alias("pair"), wide.alias("width"), F.col("e.n").alias("n"), F.col("e.x").alias("x"))
-    places = F.array(*[F.struct(F.lit(row).alias("row"), slot(F.col("x"), attempt, row, F.col("width")).alias("slot")) for row in range(ROWS)])
-    cells = rows.select("*", F.explode_outer(places).alias("at"))
-    cells = cells.select("_row", "_number", "pair", "width", F.col("at.row").alias("row"), F.col("at.slot").alias("slot"), F.lit(None).cast("long").alias("found"), "n", "x", check(F.col("x")).alias("c"))
-    return summed(cells)
-
-
-def summed(cells: DataFrame) -> DataFrame:
-    """Contributions added up by cell; empty cells go. The rows of a document stay in its partition."""
-    got = cells.groupBy("_row", "_number", "pair", "width", "row", "slot", "found").agg(
-        F.sum("n").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")
-    )
-    return got.where("n <> 0 or x <> 0 or c <> 0")
+    """Subtracted sketches of the pairs of ``rows`` (``_row, _number, _tries`` and the digest arrays): the cells that are not empty.
+
+    Each version is added to cells once; its share in either pair is a sign.
+    """
+    def version(keys: str, edited: int, following: int) -> Column:
+        return F.transform(keys, lambda x: F.struct(F.lit(edited).alias("e"), F.lit(following).alias("f"), x.alias("x")))
+
+    entries = F.concat(version("own", 1, 1), version("edited", -1, 0), version("next", 0, -1))
+    largest = F.greatest(F.size("own"), F.size("edited"), F.size("next"))
+    width = (largest * ROOM + 2 * SMALLEST) * F.lit(1 << attempt)
+    rows = rows.select("_row", "_number", width.cast("int").alias("width"), "_tries", F.explode_outer(entries).alias("v")).where("v is not null")
+    rows = rows.select("_row", "_number", "width", "_tries", "v.e", "v.f", "v.x", check(F.col("v.x")).alias("c"))
+    places = F.array(*[place(row, slot(F.col("x"), attempt, row, F.col("width"))) for row in range(ROWS)])
+    cells = rows.select("*", F.explode_outer(places).alias("cell"))
+    none = F.lit(0).cast("long")
+    sums = []
+    for pair, sign in ((EDITED, "e"), (NEXT, "f")):
+        own = F.col(sign) != 0
+        sums += [F.sum(sign).cast("int").alias(f"n{pair}"), F.bit_xor(F.when(own, F.col("x")).otherwise(none)).alias(f"x{pair}"), F.bit_xor(F.when(own, F.col("c")).otherwise(none)).alias(f"c{pair}")]
+    added = cells.groupBy("_row", "_number", "width", "_tries", "cell").agg(*sums)
+    pairs = F.array(*[F.struct(F.lit(pair).alias("pair"), F.col(f"n{pair}").alias("n"), F.col(f"x{pair}").alias("x"), F.col(f"c{pair}").alias("c")) for pair in (EDITED, NEXT)])
+    opened = added.select("_row", "_number", "width", "_tries", "cell", F.explode_outer(pairs).alias("p"))
+    opened = opened.where("(p.n <> 0 or p.x <> 0 or p.c <> 0) and (_tries = 2 or _tries = p.pair)")
+    numbered = F.col("cell") + F.shiftleft(F.col("p.pair").cast("long"), PAIR_BITS)
+    return opened.select("_row", "_number", "width", numbered.alias("cell"), F.lit(None).cast("long").alias("found"), "p.n", "p.x", "p.c")
+
+
+def place(row: int, slot_of: Column) -> Column:
+    return slot_of.cast("long") + F.lit(row << ROW_BITS)
 
 
 def peeled(cells: DataFrame, attempt: int, cycles: int = CYCLES) -> DataFrame:
     """Cells after peeling: what is left, and rows with ``found``, the recovered digests (``n`` is their side).
 
     A step peels one row of cells; a digest stands in one cell of it only, so none is
-    taken out twice.
+    taken out twice. All rows of a document stay in its partition.
     """
-    columns = ["row", "slot", "found", "n", "x", "c"]
+    columns = ["cell", "found", "n", "x", "c"]
+    part = lambda *values: F.struct(*[value.alias(name) for name, value in zip(columns, values)])
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    pair = F.shiftright("cell", PAIR_BITS)
+    base = F.shiftleft(pair, PAIR_BITS)
     for step in range(cycles * ROWS):
         row = step % ROWS
-        pure = (
-            (F.col("row") == row) & F.col("found").isNull() & (F.abs("n") == 1) & (F.col("c") == check(F.col("x")))
-            & (F.col("slot") == slot(F.col("x"), attempt, row, F.col("width")))
-        )
-        part = lambda *values: F.struct(*[value.alias(name) for name, value in zip(columns, values)])
-        none = F.lit(None).cast("long")
-        zero = F.lit(0).cast("long")
-        out = [part(F.lit(-1), F.lit(0), F.col("x"), F.col("n"), zero, zero)]
+        alone = F.col("found").isNull() & (F.abs("n") == 1) & (F.col("cell") - base == place(row, slot(F.col("x"), attempt, row, F.col("width"))))
+        pure = alone & (F.col("c") == check(F.col("x")))
+        # A recovered digest is a row of its own, beyond all cells.
+        out = [part(base + F.lit(ROWS << ROW_BITS), F.col("x"), F.col("n"), zero, zero)]
         for other in range(ROWS):
             if other != row:
-                out.append(part(F.lit(other), slot(F.col("x"), attempt, other, F.col("width")), none, -F.col("n"), F.col("x"), F.col("c")))
+                out.append(part(base + place(other, slot(F.col("x"), attempt, other, F.col("width"))), none, -F.col("n"), F.col("x"), F.col("c")))
         same = part(*[F.col(name) for name in columns])
-        cells = cells.select("_row", "_number", "pair", "width", F.explode_outer(F.when(pure, F.array(*out)).otherwise(F.array(same))).alias("e"))
-        cells = summed(cells.select("_row", "_number", "pair", "width", *[F.col(f"e.{name}").alias(name) for name in columns]))
-    return cells
+        moved = cells.select("_row", "_number", "width", F.explode_outer(F.when(pure, F.array(*out)).otherwise(F.array(same))).alias("e"))
+        moved = moved.select("_row", "_number", "width", *[F.col(f"e.{name}").alias(name) for name in columns])
+        cells = moved.groupBy("_row", "_number", "width", "cell", "found").agg(
+            F.sum("n").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")
+        ).where("n <> 0 or x <> 0 or c <> 0")
+    return cells.withColumn("pair", pair.cast("int"))
 
 
 def differences(rows: DataFrame, attempt: int, with_digests: bool = False) -> DataFrame:
@@ -168,15 +184,21 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_d
     spark = docs.sparkSession
     rows = versions(docs, doc_id, text)
     rows = rows.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
-    rows = rows.withColumn("fingerprint", fingerprint("own")).withColumn("edited_fingerprint", fingerprint("edited"))
+    for keys, name in (("own", "fingerprint"), ("edited", "edited_fingerprint"), ("next", "next_fingerprint")):
+        rows = rows.withColumn(name, fingerprint(keys))
     # Bucketed by row, so that attempts find the digests of a document in one partition without a shuffle.
     name = f"versions_{uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(docs.count() / BUCKET_ROWS), 1)
     rows.write.option("compression", "zstd").option("path", new_folder(spark, "versions")).bucketBy(buckets, "_row").saveAsTable(name)
     stored = spark.table(name)
 
-    arrays = stored.select("_row", "_number", "own", "edited", "next")
-    open_pairs = arrays.withColumn("_tries", F.array(F.lit(EDITED), F.lit(NEXT)))
+    # Versions with the same smallest sketch cancel out at once; 2 stands for both pairs.
+    arrays = stored.select("_row", "_number", "own", "edited", "next", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    differ = [F.col("fingerprint") != F.col(other) for other in ("edited_fingerprint", "next_fingerprint")]
+    tries = F.when(differ[0] & differ[1], 2).when(differ[0], EDITED).when(differ[1], NEXT)
+    arrays = arrays.withColumn("_tries", tries).drop("fingerprint", "edited_fingerprint", "next_fingerprint")
+    open_pairs = arrays.where("_tries is not null")
+    arrays = arrays.drop("_tries")
     attempt, results = 0, None
     while True:
         found = written(differences(open_pairs, attempt, with_digests), "differences")
@@ -185,7 +207,7 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_d
         failed = found.where("failed")
         if not failed.take(1):
             return stored, results
-        tries = failed.groupBy("_row", "_number").agg(F.collect_set("pair").alias("_tries"))
+        tries = failed.groupBy("_row", "_number").agg(F.when(F.count("*") == 2, 2).otherwise(F.max("pair")).alias("_tries"))
         open_pairs = arrays.join(tries, ["_row", "_number"])
         attempt += 1
 
