@@ -13,8 +13,9 @@ def _indent(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return json.dumps(json.loads(text), ensure_ascii=False, indent=2)
-    except ValueError:
+        # A lone surrogate, usual in text that was cut off, cannot be passed on as text.
+        return json.dumps(json.loads(text), ensure_ascii=False, indent=2).encode("utf-8", "replace").decode()
+    except (ValueError, RecursionError):
         return None
 
 

@@ -37,7 +37,7 @@ def stream_files(spark: SparkSession, folder: str, max_files: int = 1000) -> Dat
 
 def _job_events(jobs: DataFrame, event_type: str, message, payload) -> DataFrame:
     return jobs.select(
-        # The same step of the same file has the same id, so a replay changes nothing.
+        # The same step of the same file has the same id, so a replay can tell what is there.
         short_hash(F.concat_ws("|", "job_id", F.lit(event_type)), 32).alias("event_id"),
         "job_id",
         F.current_timestamp().alias("event_time"),
@@ -49,39 +49,61 @@ def _job_events(jobs: DataFrame, event_type: str, message, payload) -> DataFrame
     )
 
 
+def _append_new(rows: DataFrame, root: str, table: str, jobs: list[str], keys: list[str]) -> None:
+    """Append rows that a first run of the same batch has not written; only the batch's jobs are looked up."""
+    stored = read_table(rows.sparkSession, root, table)
+    if stored is not None:
+        there = stored.filter(F.col("job_id").isin(jobs)).select(*keys).distinct()
+        rows = rows.join(there, keys, "left_anti")
+    sinks.append(rows, root, table) if table in sinks.SORT_KEYS else rows.write.mode("append").parquet(f"{root}/{table}")
+
+
+def _append_events(events: DataFrame, root: str, jobs: list[str]) -> None:
+    _append_new(events, root, "job_events", jobs, ["event_id"])
+
+
 def ingest_batch(batch: DataFrame, root: str, budget: int = DEFAULT_CHUNK_TOKENS) -> None:
     """Read, normalise, pack and append the files of one batch, one job per file."""
     spark = batch.sparkSession
     listed = batch.withColumn("source_format", detect_format(F.col("path"), F.lit("")))
     found = {}
-    for row in listed.select("path", "source_format").collect():
+    jobs = []
+    for row in listed.select("path", "source_format", "job_id").collect():
         found.setdefault(row["source_format"], []).append(row["path"])
+        jobs.append(row["job_id"])
     if not found:
         return
     source = F.to_json(F.struct(F.struct(F.col("path").alias("filename"), F.col("source_format").alias("format")).alias("source")))
-    sinks.append_events(_job_events(listed, "JOB_CREATED", F.col("path"), source), root, "job_events")
-    sinks.append_events(_job_events(listed, "INPUT_INGEST_STARTED", F.lit(""), F.lit("{}")), root, "job_events")
+    _append_events(_job_events(listed, "JOB_CREATED", F.col("path"), source), root, jobs)
+    _append_events(_job_events(listed, "INPUT_INGEST_STARTED", F.lit(""), F.lit("{}")), root, jobs)
 
     ready = []
     for kind, paths in found.items():
-        records = accepted(files.READERS[kind](spark, paths))
+        rows = files.READERS[kind](spark, paths)
+        records = accepted(rows)
         # Readers name a file by its URI; the job id comes from the listed path.
         path = F.regexp_replace(F.url_decode(F.replace(F.col("source_id"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
-        keyed = records.withColumn("job_id", F.concat(F.lit("job_"), short_hash(path, 32)))
+        job_id = F.concat(F.lit("job_"), short_hash(path, 32))
+        keyed = records.withColumn("job_id", job_id)
+        rejects = rows.filter(F.col("reject_reason").isNotNull()).withColumn("job_id", job_id)
+        rejects = rejects.groupBy("job_id", "reject_reason").agg(F.count("*").alias("rows_count"), F.min(F.struct("block", "line")).alias("first_place"))
+        _append_new(rejects, root, "input_rejects", jobs, ["job_id", "reject_reason"])
         segments = cut(segment_rows(keyed, "job_id", ["block", "line"], budget, "upload", kind))
         stored = read_table(spark, root, "input_segments")
-        fresh = segments if stored is None else resume_ingest(segments, stored)
+        fresh = segments if stored is None else resume_ingest(segments, stored.filter(F.col("job_id").isin(jobs)))
         sinks.append_segments(fresh.drop("first_timestamp", "last_timestamp"), root, F.current_timestamp())
         inputs = manifest(segments, f"{kind} upload")
-        sinks.append_artifacts(inputs, root, F.current_timestamp())
+        kept = read_table(spark, root, "artifacts")
+        there = kept.filter(F.col("job_id").isin(jobs) & (F.col("artifact_type") == "INPUT")).select("job_id").distinct() if kept is not None else None
+        sinks.append_artifacts(inputs if there is None else inputs.join(there, "job_id", "left_anti"), root, F.current_timestamp())
         ready.append(inputs.select("job_id", "content", "metadata"))
     for done in ready:
-        sinks.append_events(_job_events(done, "INPUT_READY", F.col("content"), F.col("metadata")), root, "job_events")
+        _append_events(_job_events(done, "INPUT_READY", F.col("content"), F.col("metadata")), root, jobs)
     stored = read_table(spark, root, "input_segments")
-    counted = count_segments(stored)
+    counted = count_segments(stored.filter(F.col("job_id").isin(jobs)))
     empty = listed.join(counted, "job_id", "left_anti")
-    reason = F.lit("uploaded file does not contain parseable log rows")
-    sinks.append_events(_job_events(empty, "JOB_FAILED", reason, F.lit("{}")), root, "job_events")
+    reason = F.lit("no log row could be read from this file")
+    _append_events(_job_events(empty, "JOB_FAILED", reason, F.lit("{}")), root, jobs)
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:

@@ -157,7 +157,10 @@ def test_ingest_of_arriving_files(spark, tmp_path):
         assert text == "\n".join(f"line {i} {'x' * 60}" for i in range(40))
 
     check()
-    # A replay of the same files adds no segment.
+    tables = ("job_events", "input_segments", "artifacts", "input_rejects")
+    before = {table: spark.read.parquet(f"{root}/{table}").count() for table in tables}
+    # A replay of the same files adds nothing.
     ingest.ingest_batch(spark.read.format("binaryFile").load(str(folder)).select("path").withColumn(
         "job_id", F.concat(F.lit("job_"), F.substring(F.sha2("path", 256), 1, 32))), root, 256)
     check()
+    assert before == {table: spark.read.parquet(f"{root}/{table}").count() for table in tables}

@@ -255,3 +255,11 @@ def test_odd_responses_end_no_job(spark, response, summary, count):
     assert (row.result.summary if row.result else None) == summary
     assert (row.parse_error is None) == (summary is not None)
     assert count is None or row.result.source_count == count
+
+
+def test_given_schemas_keep_the_order_of_their_keys(spark):
+    given = '{"properties": {"a": "string"}}'
+    row = schema_of_examples(spark.createDataFrame([(given,)], "e string"), "e").first()
+    assert row.json_schema == (
+        '{"properties": {"a": {"type": "string"}}, "type": "object", "required": ["a"], "additionalProperties": false}'
+    )
