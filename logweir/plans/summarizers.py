@@ -154,7 +154,8 @@ def callable_summarizer(
             on_attempts(attempts, prompts)
         keys = ["job_id", "node_id", "stage"]
         good = attempts.filter(F.col("status") == "OK").select(*keys, "response")
-        answers = normalize_responses(good, "response").drop("response")
+        # Read once: results and failed nodes are both taken from the answers.
+        answers = cut(normalize_responses(good, "response").drop("response"))
         errors = attempts.filter(F.col("status") == "ERROR").groupBy(*keys).agg(F.max_by("error_message", "attempt").alias("_error"))
         joined = prompts.join(answers, keys, "left").join(errors, keys, "left")
         reason = F.when(F.col("result").isNull(), F.coalesce("parse_error", "_error", F.lit("no answer")))
