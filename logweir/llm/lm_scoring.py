@@ -2,13 +2,17 @@
 
 The network sees ``REACH`` words on either side of a word, never the word itself, and
 predicts it; the score of a document is the sum of the conditional log-probabilities of all
-its words. A word is one of ``VOCABULARY`` classes: the most frequent words of all documents
-have their own, all others share ``SHARED`` classes by hash. A class is predicted in two
-steps, its group and its place in the group, so a word costs two small softmaxes.
+its words. The network predicts the class of a word: the most frequent words of all documents
+have their own, the more the more different words there are, all others share ``SHARED``
+classes by hash. A class is predicted in two steps, its group and its place in the group, so
+a word costs two small softmaxes. A word of a shared class then has its share of the class,
+count(word) / count(class) over all documents; a word counted once, or in no document, has
+1 / count(class). The most frequent of them are looked up while scoring, the rest is joined.
 
 Training is plain numpy inside tasks: every partition trains on all its words from the
 same start, and the parameters are averaged by number of words, ``ROUNDS`` times. What is
 gathered grows with the input: counts of all words, and one set of parameters a partition.
+Scores and words still to be looked up are written once under ``spark.checkpoint.dir``.
 
 Nulls and texts without a word have 0 words, score 0 and a null mean. Texts of any length are
 read whole, in blocks that see the words around them. Repeated rows and null ids are passed
@@ -17,22 +21,32 @@ on. An empty table trains nothing and gives an empty result. Other columns are n
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweir.llm.store import written
+
 REACH = 2
 WIDTH = 16
+#: Groups of classes, and classes in a group, for up to ``FEW_WORDS`` different words; ``MORE_GROUPS`` more each time they double.
 GROUPS = 32
+MORE_GROUPS = 2
+FEW_WORDS = 1 << 16
 VOCABULARY = GROUPS * GROUPS
 SHARED = 64
-EDGE = VOCABULARY
+#: Words of shared classes at most whose counts travel with the scoring tasks; the counts of all others are joined.
+LISTED = 1 << 16
+#: Steps of counts within a power of e, by which the words to list are told.
+COUNT_STEPS = 64
 ROUNDS = 1
 RATE = 0.15
 SEED = 1
@@ -46,10 +60,35 @@ SALTS = 256
 WORD = re.compile(r"[^\W_]+")
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
-SHAPES = {
-    "near": (len(OFFSETS), VOCABULARY + 1, WIDTH), "shift": (WIDTH,), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,),
-    "gate": (GROUPS, WIDTH), "place": (WIDTH, GROUPS), "place_bias": (GROUPS, GROUPS),
-}
+def groups_for(words: int) -> int:
+    """Groups of classes for so many different words."""
+    return GROUPS + MORE_GROUPS * max(0, math.floor(math.log2(max(words, 1) / FEW_WORDS)))
+
+
+def shapes(groups: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "near": (len(OFFSETS), groups * groups + 1, WIDTH), "shift": (WIDTH,), "group": (WIDTH, groups), "group_bias": (groups,),
+        "gate": (groups, WIDTH), "place": (WIDTH, groups), "place_bias": (groups, groups),
+    }
+
+
+class Vocabulary(dict):
+    """Class numbers of the words with a class of their own."""
+
+    def __init__(self, words=(), groups: int = GROUPS):
+        super().__init__(words)
+        self.groups = groups
+
+    def __reduce__(self):
+        return type(self), (dict(self), self.groups)
+
+
+@dataclass
+class Shares:
+    """Log-shares of the ``listed`` words in their shared class, and of a word counted once by class."""
+
+    listed: dict[str, float]
+    once: list[float]
 
 
 @dataclass
@@ -59,21 +98,25 @@ class Network:
     parts: dict[str, np.ndarray]
 
     @staticmethod
-    def start(seed: int = SEED) -> Network:
+    def start(seed: int = SEED, groups: int = GROUPS) -> Network:
         draw = np.random.default_rng(seed)
-        parts = {name: (draw.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in SHAPES.items()}
+        parts = {name: (draw.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in shapes(groups).items()}
         for name in ("shift", "group_bias", "place_bias"):
             parts[name][:] = 0
         parts["gate"] += 1
         return Network(parts)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.parts[name].ravel() for name in SHAPES])
+        return np.concatenate([self.parts[name].ravel() for name in shapes(self.groups)])
+
+    @property
+    def groups(self) -> int:
+        return len(self.parts["group_bias"])
 
     @staticmethod
-    def of(values: np.ndarray) -> Network:
+    def of(values: np.ndarray, groups: int = GROUPS) -> Network:
         parts, at = {}, 0
-        for name, shape in SHAPES.items():
+        for name, shape in shapes(groups).items():
             size = int(np.prod(shape))
             parts[name] = values[at : at + size].reshape(shape).astype(np.float32)
             at += size
@@ -93,13 +136,13 @@ class Network:
 
     def log_probabilities(self, words: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Log-probability of each word given those ``around`` it (a row for each offset)."""
-        group, place, rows = words // GROUPS, words % GROUPS, np.arange(len(words))
+        group, place, rows = words // self.groups, words % self.groups, np.arange(len(words))
         first, _, second = self._predict(self._hidden(around), group)
         return first[rows, group].astype(np.float64) + second[rows, place]
 
     def gradients(self, words: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean negative log-probability."""
-        group, place, rows = words // GROUPS, words % GROUPS, np.arange(len(words))
+        group, place, rows = words // self.groups, words % self.groups, np.arange(len(words))
         hidden = self._hidden(around)
         first, gated, second = self._predict(hidden, group)
         d_first, d_second = np.exp(first), np.exp(second)
@@ -112,9 +155,9 @@ class Network:
         d_total = d_hidden * (1 - hidden * hidden)
         d_gate = d_gated * hidden
         return {
-            "near": np.stack([summed_rows(some, d_total, VOCABULARY + 1) for some in around]),
+            "near": np.stack([summed_rows(some, d_total, self.groups**2 + 1) for some in around]),
             "shift": d_total.sum(axis=0), "group": hidden.T @ d_first, "group_bias": d_first.sum(axis=0),
-            "gate": summed_rows(group, d_gate, GROUPS), "place": gated.T @ d_second, "place_bias": summed_rows(group, d_second, GROUPS),
+            "gate": summed_rows(group, d_gate, self.groups), "place": gated.T @ d_second, "place_bias": summed_rows(group, d_second, self.groups),
         }
 
 
@@ -141,36 +184,50 @@ class Steps:
             self.network.parts[name] -= (RATE * gradient / np.sqrt(self.seen[name])).astype(np.float32)
 
 
-def classes(text: str | None, known: dict[str, int]) -> list[int]:
-    """Class numbers of the words of a text."""
-    own, first = known.get, VOCABULARY - SHARED
+def classes(text: str | None, known: Vocabulary, others: list[str] | None = None) -> list[int]:
+    """Class numbers of the words of a text; words of shared classes are added to ``others``."""
+    own, first = known.get, known.groups**2 - SHARED
     found = []
     for word in WORD.findall((text or "").lower()):
         number = own(word)
-        found.append(first + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED if number is None else number)
+        if number is None:
+            number = first + shared_class(word)
+            if others is not None:
+                others.append(word)
+        found.append(number)
     return found
 
 
-def windows(texts: Iterator[str | None], known: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """Word numbers of many texts, the words around each, and how many words each text has."""
-    edge = [EDGE] * REACH
+def shared_class(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
+
+
+def windows(texts: Iterator[str | None], known: Vocabulary, others: list[list[str]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Word numbers of many texts, the words around each, and how many words each text has.
+
+    ``others`` gets a list of the words of shared classes for each text.
+    """
+    outside = known.groups**2
+    edge = [outside] * REACH
     stream, sizes, total = list(edge), [], 0
     for text in texts:
-        found = classes(text, known)
+        if others is not None:
+            others.append([])
+        found = classes(text, known, others[-1] if others is not None else None)
         sizes.append(len(found))
         total += len(found)
         stream += found
         stream += edge
         if total >= BATCH:
-            yield _windows(stream, sizes)
+            yield _windows(stream, sizes, outside)
             stream, sizes, total = list(edge), [], 0
     if sizes:
-        yield _windows(stream, sizes)
+        yield _windows(stream, sizes, outside)
 
 
-def _windows(stream: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def _windows(stream: list[int], sizes: list[int], outside: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     numbers = np.array(stream, dtype=np.int64)
-    places = np.flatnonzero(numbers != EDGE)
+    places = np.flatnonzero(numbers != outside)
     return numbers[places], np.stack([numbers[places + offset] for offset in OFFSETS]), sizes
 
 
@@ -180,23 +237,61 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str | Non
             yield from batch.column(column).slice(start, 256).to_pylist()
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """The words with a class of their own, most frequent first; counted over all documents."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word, count`` of every word of all documents."""
     words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    counts = docs.select(words.alias("word")).groupBy("word").count()
-    rows = counts.orderBy(F.desc("count"), "word").limit(VOCABULARY - SHARED).collect()
-    return {row["word"]: number for number, row in enumerate(rows)}
+    return docs.select(words.alias("word")).groupBy("word").count()
+
+
+def _step() -> Column:
+    return F.floor(F.log("count") * COUNT_STEPS)
+
+
+def frequent(counts: DataFrame) -> tuple[Vocabulary, list, list, int]:
+    """The vocabulary, the rows of its words and of frequent words without a class of their own, and the count step below which words are not listed."""
+    steps = sorted(((row["step"], row["n"]) for row in counts.groupBy(_step().alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    groups = groups_for(sum(n for _, n in steps))
+    own = groups * groups - SHARED
+    least, total = steps[0][0] + 1 if steps else 0, 0
+    for step, n in steps:
+        total += n
+        if total > own + LISTED:
+            break
+        least = step
+    rows = counts.where(_step() >= least).collect()
+    rows.sort(key=lambda row: (-row["count"], row["word"]))
+    if len(rows) < own:
+        # More words of one count than are listed: only those with a class of their own are, all others are joined.
+        rows, least = counts.orderBy(F.desc("count"), "word").limit(own).collect(), steps[0][0] + 1 if steps else 0
+    return Vocabulary({row["word"]: number for number, row in enumerate(rows[:own])}, groups), rows[:own], rows[own:], least
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """The words with a class of their own, most frequent first; counted over all documents."""
+    return frequent(word_counts(docs, text))[0]
+
 
+def shares(counts: DataFrame, own: list, listed: list) -> Shares:
+    """Shares of words in their shared class, from the counts of all words."""
+    of_class = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(SHARED)).alias("class")
+    totals = [0] * SHARED
+    for row in counts.groupBy(of_class).agg(F.sum("count").alias("n")).collect():
+        totals[row["class"]] = row["n"]
+    for row in own:
+        totals[shared_class(row["word"])] -= row["count"]
+    once = [-math.log(max(total, 1)) for total in totals]
+    return Shares({row["word"]: math.log(row["count"]) + once[shared_class(row["word"])] for row in listed}, once)
 
-def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS, text: str = "text") -> Network:
+
+def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, text: str = "text") -> Network:
     """Average the networks that the partitions of ``docs`` train; one set of parameters comes to the driver."""
-    network = Network.start()
+    network, groups = Network.start(groups=known.groups), known.groups
     texts = docs.select(F.spark_partition_id().alias("part"), F.col(text).alias("text"))
     for _ in range(rounds):
         start = network.flat()
 
         def fit(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            steps, total, part = Steps(Network.of(start)), 0, None
+            steps, total, part = Steps(Network.of(start, groups)), 0, None
 
             def numbered(batches):
                 nonlocal part
@@ -241,36 +336,75 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS, text: st
         if not rows:
             return network
         rows.sort(key=lambda row: row["piece"])
-        network = Network.of(np.concatenate([np.array(row["weighted"]) / row["words"] for row in rows]))
+        network = Network.of(np.concatenate([np.array(row["weighted"]) / row["words"] for row in rows]), groups)
     return network
 
 
-def score(docs: DataFrame, network: Network, known: dict[str, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, log_likelihood, mean``: one pass without a shuffle."""
-    values = network.flat()
+def score(docs: DataFrame, network: Network, known: Vocabulary, doc_id: str = "doc_id", text: str = "text", within: Shares | None = None) -> DataFrame:
+    """``doc_id, n_words, log_likelihood, mean`` of the classes of the words: one pass without a shuffle.
+
+    Given ``within``, the shares of words in shared classes are added; words that are not listed there
+    count as seen once and follow as ``rest``, each with its number in the text.
+    """
+    values, groups = network.flat(), network.groups
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    fields = "n_words long, log_likelihood double, mean double"
+    pairs = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network.of(values)
+        own = Network.of(values, groups)
         for batch in batches:
-            sums, counts = [], []
-            for words, around, sizes in windows(_texts(iter([batch]), 1), known):
+            sums, counts, rest = [], [], []
+            others = None if within is None else []
+            for words, around, sizes in windows(_texts(iter([batch]), 1), known, others):
                 found = [own.log_probabilities(words[at : at + BLOCK], around[:, at : at + BLOCK]) for at in range(0, len(words), BLOCK)]
                 found = np.concatenate([[0.0], np.cumsum(np.concatenate(found))]) if found else np.zeros(1)
                 ends = np.cumsum(sizes)
                 sums.append(found[ends] - found[ends - np.array(sizes)])
                 counts += sizes
+                if within is not None:
+                    added = [_added(some, within) for some in others]
+                    sums[-1] += np.array([value for value, _ in added])
+                    rest += [left for _, left in added]
+                    others.clear()
             total = np.concatenate(sums) if sums else np.zeros(0)
             mean = [value / n if n else None for value, n in zip(total.tolist(), counts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())],
-                names=["doc_id", "n_words", "log_likelihood", "mean"],
-            )
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())]
+            names = ["doc_id", "n_words", "log_likelihood", "mean"]
+            if within is not None:
+                columns, names = [*columns, pa.array(rest, pairs)], [*names, "rest"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    if within is not None:
+        fields += ", rest array<struct<word: string, n: int>>"
+    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}")
+
 
-    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, log_likelihood double, mean double")
+def _added(words: list[str], within: Shares) -> tuple[float, list[dict]]:
+    """Log-shares of the words of a text, and the words that are not listed with their numbers."""
+    total, left = 0.0, []
+    for word in words:
+        share = within.listed.get(word)
+        if share is None:
+            share = within.once[shared_class(word)]
+            left.append(word)
+        total += share
+    return total, [{"word": word, "n": n} for word, n in Counter(left).items()]
 
 
 def pseudo_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on all documents and score all: doc_id, n_words, log_likelihood, mean."""
-    known = vocabulary(docs, text)
-    return score(docs, train(docs, known, text=text), known, doc_id, text)
+    """Train on all documents and score all words of all: doc_id, n_words, log_likelihood, mean."""
+    counts = written(word_counts(docs, text), "words")
+    known, own, listed, least = frequent(counts)
+    network = train(docs, known, text=text)
+    part = score(docs, network, known, doc_id, text, shares(counts, own, listed))
+    # The number of a row is written with it, so both sides of the join agree on it.
+    part = written(part.withColumn("_row", F.monotonically_increasing_id()), "scores")
+    # Listed and own words are none of the rest; a word counted once adds nothing.
+    rare = counts.where((_step() < least) & (F.col("count") > 1))
+    pairs = part.select("_row", F.explode("rest").alias("pair")).select("_row", "pair.word", "pair.n")
+    gain = pairs.join(rare, "word").groupBy("_row").agg(F.sum(F.col("n") * F.log("count")).alias("_gain"))
+    total = F.col("log_likelihood") + F.coalesce("_gain", F.lit(0.0))
+    whole = part.join(gain, "_row", "left").withColumn("log_likelihood", total)
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return whole.select("doc_id", "n_words", "log_likelihood", mean.alias("mean"))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,3 +74,39 @@ def test_prose_scores_above_shuffled_prose(spark):
     own = total(lm_scoring.score(docs, network, known))
     other = total(lm_scoring.score(spark.createDataFrame(mixed, "doc_id long, text string"), network, known))
     assert own > other and own > -np.log(VOCABULARY)
+
+
+@pytest.mark.parametrize("listed", [0, 40, 1 << 16])
+def test_every_word_has_its_share_of_a_shared_class(spark, monkeypatch, listed):
+    draw = random.Random(7)
+    monkeypatch.setattr(lm_scoring, "LISTED", listed)
+    common = [f"often{n}" for n in range(VOCABULARY)]
+    rare = {f"rare{n}": draw.choice([1, 1, 2, 3, 7]) for n in range(300)}
+    words = common * 9 + [word for word, n in rare.items() for _ in range(n)]
+    draw.shuffle(words)
+    texts = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
+    rows = [(n % 90 if n % 7 else None, text) for n, text in enumerate([*texts, texts[0], "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = lm_scoring.vocabulary(docs)
+    plain = lm_scoring.score(docs, lm_scoring.train(docs, known), known).collect()
+    counts = Counter(word for _, text in rows for word in (text or "").split())
+    totals = Counter()
+    for word, n in counts.items():
+        totals[lm_scoring.shared_class(word)] += 0 if word in known else n
+    want = []
+    for row, (_, text) in zip(plain, rows):
+        shares = [math.log(counts[word] / totals[lm_scoring.shared_class(word)]) for word in (text or "").split() if word not in known]
+        want.append((str(row.doc_id), row.n_words, round(row.log_likelihood + sum(shares), 3)))
+    assert any(counts[word] > 1 for word in counts if word not in known)
+    got = [(str(row.doc_id), row.n_words, round(row.log_likelihood, 3)) for row in lm_scoring.pseudo_likelihood(docs).collect()]
+    for one, other in zip(sorted(got), sorted(want)):
+        assert one[:2] == other[:2] and one[2] == pytest.approx(other[2], abs=0.01)
+    assert len(got) == len(want)
+
+
+def test_more_words_have_more_classes():
+    assert lm_scoring.groups_for(1000) == lm_scoring.groups_for(1 << 16) == GROUPS < lm_scoring.groups_for(1 << 20) < lm_scoring.groups_for(1 << 26)
+    larger = Network.start(groups=lm_scoring.groups_for(1 << 20))
+    again = Network.of(larger.flat(), larger.groups)
+    around = np.repeat(np.array([[3], [900], [5], [larger.groups**2]]), larger.groups**2, axis=1)
+    assert np.exp(again.log_probabilities(np.arange(larger.groups**2), around)).sum() == pytest.approx(1, abs=1e-4)
