@@ -10,7 +10,9 @@ count(word) / count(class) over all documents; a word counted once, or in no doc
 1 / count(class). The most frequent of them are looked up while scoring, the rest is joined.
 
 Training is plain numpy inside tasks: every partition trains on all its words from the
-same start, and the parameters are averaged by number of words, ``ROUNDS`` times. What is
+same start, and the parameters are averaged by number of words, ``ROUNDS`` times. Steps are
+small at first, and small partitions are passed over again, so that each makes ``LEAST_STEPS``
+at least, however the input is split. What is
 gathered grows with the input: counts of all words, and one set of parameters a partition.
 Scores and words still to be looked up are written once under ``spark.checkpoint.dir``.
 
@@ -50,8 +52,12 @@ COUNT_STEPS = 64
 ROUNDS = 1
 RATE = 0.15
 SEED = 1
-#: Words in a training step and in a block of scoring.
+#: Words in a training step at most, and in a block of scoring.
 BLOCK = 1 << 14
+#: Words in the first training steps of a partition. A step grows with the words before it; a partition is passed
+#: over until it has made ``LEAST_STEPS``.
+LEAST_BLOCK = 1 << 10
+LEAST_STEPS = 64
 #: Words gathered before a task trains or scores them.
 BATCH = 1 << 18
 #: Parameters in one row of the averaging, and groups of partitions that are added up first.
@@ -291,7 +297,7 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, text: str =
         start = network.flat()
 
         def fit(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            steps, total, part = Steps(Network.of(start, groups)), 0, None
+            steps, total, made, part = Steps(Network.of(start, groups)), 0, 0, None
 
             def numbered(batches):
                 nonlocal part
@@ -301,9 +307,18 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, text: str =
                     yield batch
 
             for words, around, _ in windows(_texts(numbered(batches), 1), known):
-                for at in range(0, len(words), BLOCK):
-                    steps.step(words[at : at + BLOCK], around[:, at : at + BLOCK])
+                at = 0
+                while at < len(words):
+                    size = min(BLOCK, max(LEAST_BLOCK, (total + at) // LEAST_STEPS))
+                    steps.step(words[at : at + size], around[:, at : at + size])
+                    at += size
+                    made += 1
                 total += len(words)
+            # So few steps were made in one batch, which is still at hand.
+            while total and made < LEAST_STEPS:
+                for at in range(0, total, LEAST_BLOCK):
+                    steps.step(words[at : at + LEAST_BLOCK], around[:, at : at + LEAST_BLOCK])
+                    made += 1
             if total:
                 values = steps.network.flat().astype(np.float64) * total
                 pieces = [values[at : at + PIECE] for at in range(0, len(values), PIECE)]

@@ -110,3 +110,21 @@ def test_more_words_have_more_classes():
     again = Network.of(larger.flat(), larger.groups)
     around = np.repeat(np.array([[3], [900], [5], [larger.groups**2]]), larger.groups**2, axis=1)
     assert np.exp(again.log_probabilities(np.arange(larger.groups**2), around)).sum() == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="given tables not found")
+@pytest.mark.parametrize("parts", [2, 100])
+def test_one_round_fits_however_the_input_is_split(spark, parts):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars > 400")
+    known = lm_scoring.vocabulary(docs)
+    network = lm_scoring.train(docs.repartition(parts), known)
+    draw = random.Random(1)
+    rows = docs.select("doc_id", "text").collect()
+    mixed = [(row.doc_id, " ".join(draw.sample(row.text.split(), len(row.text.split())))) for row in rows]
+    total = lambda df: df.agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
+    own = total(lm_scoring.score(docs, network, known))
+    other = total(lm_scoring.score(spark.createDataFrame(mixed, "doc_id long, text string"), network, known))
+    counts = np.array(list(Counter(n for row in rows for n in lm_scoring.classes(row.text, known)).values()))
+    # What the classes' own frequencies give.
+    alone = (counts * np.log(counts / counts.sum())).sum() / counts.sum()
+    assert own > other + 0.05 and own > alone - 0.15
