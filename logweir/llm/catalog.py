@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logweir.llm import decontamination, fingerprints, html_text, language_id, licenses, lm_scoring, mixing, repeats, simhash, warc
+from logweir.llm import (
+    decontamination,
+    fingerprints,
+    html_text,
+    language_id,
+    licenses,
+    lm_scoring,
+    mixing,
+    negatives,
+    neighbours,
+    repeats,
+    simhash,
+    warc,
+    whitening,
+)
 from logweir.session import configure
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +110,23 @@ def op10(spark, folder):
     )
 
 
+@query("op11_hard_negatives", negatives.checking_sql("embeddings"))
+def op11(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_nearest_neighbours", neighbours.checking_sql("embeddings"))
+def op12(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_whitening")
+def op13(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

@@ -23,4 +23,4 @@ def test_all_are_registered():
 
     names = set(queries())
     assert "pipeline" in names
-    assert all(any(name.startswith(f"op{number}_") for name in names) for number in range(1, 11))
+    assert all(any(name.startswith(f"op{number}_") for name in names) for number in range(1, 14))
