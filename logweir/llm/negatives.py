@@ -159,56 +159,60 @@ def feasible(bucket: Bucket, anchor: np.ndarray, length: float, bound: int) -> n
     return bucket.rows[met == len(focus)]
 
 
-def shard_search(sample: pa.Table, same_label: bool, most: int):
-    """What one task does: a block of anchors with their bands against a shard."""
-
-    def longs(table: pa.Table, width: int) -> np.ndarray:
-        lists = table["vector"]
-        offsets = [np.diff(np.asarray(chunk.offsets)) for chunk in lists.chunks]
-        sizes = np.concatenate(offsets) if offsets else np.zeros(0, np.int32)
-        values = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in lists.chunks]
-        found = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))), np.int64)
-        found[np.arange(found.shape[1]) < sizes[:, None]] = np.concatenate(values) if values else []
-        return found
-
-    def search(anchors: pa.Table, rows: pa.Table) -> pa.Table:
-        width = max(longs(table, 0).shape[1] for table in (anchors, rows, sample))
-        asked, given, known = exact(*(longs(table, width) for table in (anchors, rows, sample)))
-        own = vectors.ids(anchors["vec_id"])[0]
-        number, missing = vectors.ids(rows["vec_id"])
-        label, wants, other = (table["label"].to_numpy() for table in (rows, anchors, sample))
-        known_id = vectors.ids(sample["vec_id"])[0]
-        bands, shard, size = anchors["bands"].to_pylist(), buckets(given), lengths(asked)
-        first = scores(asked, known)
-        who, band, score, place = [], [], [], []
-        for k in range(len(asked)):
-            wanted = Wanted([b["low"] for b in bands[k]], [b["high"] for b in bands[k]], most)
-            wanted.raise_low(first[k][((other == wants[k]) == same_label) & (known_id != own[k])])
-            for bucket in shard:
-                near = feasible(bucket, asked[k], size[k], wanted.bound())
-                if near is None:
-                    # All further buckets are shorter.
-                    break
-                near = near[((label[near] == wants[k]) == same_label) & (number[near] != own[k])]
-                if len(near):
-                    wanted.add(scores(given[near], asked[k][None, :])[:, 0], number, near)
-            for b, rows_of in enumerate(wanted.rows):
-                who.append(np.full(len(rows_of), k))
-                band.append(np.full(len(rows_of), bands[k][b]["band"]))
-                score.append(wanted.found[b])
-                place.append(rows_of)
-        join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        who, place = join(who), join(place)
-        return pa.table(
-            {
-                ROW: anchors[ROW].to_numpy()[who],
-                "band": pa.array(join(band).astype(np.int32)),
-                "found_id": vectors.restored(number[place], missing[place]),
-                "score": pa.array(join(score)),
-            }
-        )
-
-    return search
+def longs(table: pa.Table, width: int) -> np.ndarray:
+    """The vectors of whole numbers of a table, filled up with zeros."""
+    found, at = np.zeros((table.num_rows, width), np.int64), 0
+    for chunk in table["vector"].chunks:
+        sizes = np.diff(np.asarray(chunk.offsets))
+        part = found[at : at + len(sizes)]
+        part[np.arange(width) < sizes[:, None]] = chunk.flatten().to_numpy(zero_copy_only=False)
+        at += len(sizes)
+    return found
+
+
+def shard_search(sample: pa.Table, same_label: bool, most: int) -> vectors.Prepare:
+    """What one task does: blocks of anchors with their bands against a shard."""
+
+    def prepare(rows: pa.Table, width: int):
+        given, known = longs(rows, width), longs(sample, width)
+        shard, label, other = buckets(given), rows["label"].to_numpy(), sample["label"].to_numpy()
+        (number, missing), known_id = vectors.ids(rows["vec_id"]), vectors.ids(sample["vec_id"])[0]
+
+        def answer(anchors: pa.Table) -> pa.Table:
+            asked, mine, first = exact(longs(anchors, width), given, known)
+            own, wants = vectors.ids(anchors["vec_id"])[0], anchors["label"].to_numpy()
+            bands, size, first = anchors["bands"].to_pylist(), lengths(asked.astype(np.float64)), scores(asked, first)
+            who, band, score, place = [], [], [], []
+            for k in range(len(asked)):
+                wanted = Wanted([b["low"] for b in bands[k]], [b["high"] for b in bands[k]], most)
+                wanted.raise_low(first[k][((other == wants[k]) == same_label) & (known_id != own[k])])
+                for bucket in shard:
+                    near = feasible(bucket, asked[k], size[k], wanted.bound())
+                    if near is None:
+                        # All further buckets are shorter.
+                        break
+                    near = near[((label[near] == wants[k]) == same_label) & (number[near] != own[k])]
+                    if len(near):
+                        wanted.add(scores(mine[near], asked[k][None, :])[:, 0], number, near)
+                for b, rows_of in enumerate(wanted.rows):
+                    who.append(np.full(len(rows_of), k))
+                    band.append(np.full(len(rows_of), bands[k][b]["band"]))
+                    score.append(wanted.found[b])
+                    place.append(rows_of)
+            join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+            who, place = join(who), join(place)
+            return pa.table(
+                {
+                    ROW: anchors[ROW].to_numpy()[who],
+                    "band": pa.array(join(band).astype(np.int32)),
+                    "found_id": vectors.restored(number[place], missing[place]),
+                    "score": pa.array(join(score)),
+                }
+            )
+
+        return answer
+
+    return prepare
 
 
 def best(anchors: DataFrame, rows: DataFrame, sample: pa.Table, same_label: bool, most: int) -> DataFrame:

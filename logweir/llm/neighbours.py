@@ -161,51 +161,53 @@ def first_rows(group: np.ndarray, order: tuple[np.ndarray, ...], most: int) -> n
     return place[rank < most]
 
 
-def shard_search(sample: pa.Table, neighbours: int, factor: float, names: tuple[str, str]):
-    """What one task does: a block of queries against the tree of a shard."""
-    name, vector = names
-
-    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        width = max(vectors.matrix(table[vector]).shape[1] for table in (queries, rows, sample))
-        asked, given, known = (vectors.matrix(table[vector], width) for table in (queries, rows, sample))
-        own, _ = vectors.ids(queries[name])
-        number, missing = vectors.ids(rows[name])
-        alike = np.unique(np.ascontiguousarray(given + 0.0).view(f"V{8 * width}").ravel(), return_inverse=True)[1] if len(given) and width else np.zeros(len(given), int)
+def shard_search(sample: pa.Table, neighbours: int, factor: float) -> vectors.Prepare:
+    """What one task does: blocks of queries against the tree of a shard."""
+
+    def prepare(rows: pa.Table, width: int):
+        given, known = vectors.matrix(rows["vector"], width), vectors.matrix(sample["vector"], width)
+        number, missing = vectors.ids(rows["vec_id"])
+        # Adding zero makes a negative zero a plain one, so that equal vectors are the same bytes.
+        alike = np.unique((given + 0.0).view(f"V{8 * width}").ravel(), return_inverse=True)[1] if given.size else np.zeros(len(given), int)
         # Of equal vectors, those that an answer can need: one more than asked for, as one may be the query.
         members = first_rows(alike, (number,), neighbours + 1)
         entry = alike[members]
         heads = np.flatnonzero(np.concatenate([[True], np.diff(entry) != 0]))[: len(members)]
         sizes = np.diff(np.append(heads, len(members)))
-        points, asking = unit(given[members[heads]]), unit(asked)
-
-        bound = np.full(len(asked), np.inf)
-        if len(known) >= neighbours:
-            away = distances(asking, unit(known))
-            away[own[:, None] == vectors.ids(sample[name])[0][None, :]] = np.inf
-            bound = np.partition(away, neighbours - 1, axis=1)[:, neighbours - 1]
-        run = Search(points, tree(points, np.arange(len(points)), np.random.default_rng(0)), asking, bound, neighbours + 1, factor)
-        run.run()
-
-        who, place = np.nonzero(run.entry >= 0)
-        hit = run.entry[who, place]
-        who = np.repeat(who, sizes[hit])
-        inside = np.arange(len(who)) - np.repeat(np.cumsum(sizes[hit]) - sizes[hit], sizes[hit])
-        row = members[np.repeat(heads[hit], sizes[hit]) + inside]
-        other = number[row] != own[who]
-        who, row = who[other], row[other]
-        score = cosines(asked[who], given[row])
-        kept = first_rows(who, (-score, number[row]), neighbours)
-        who, row = who[kept], row[kept]
-        return pa.table(
-            {
-                ROW: queries[ROW].to_numpy()[who],
-                "query_id": pa.array(own[who]),
-                "vec_id": vectors.restored(number[row], missing[row]),
-                "score": pa.array(score[kept]),
-            }
-        )
-
-    return search
+        points, near, known_id = unit(given[members[heads]]), unit(known), vectors.ids(sample["vec_id"])[0]
+        root = tree(points, np.arange(len(points)), np.random.default_rng(0))
+
+        def answer(queries: pa.Table) -> pa.Table:
+            asked, own = vectors.matrix(queries["vector"], width), vectors.ids(queries["vec_id"])[0]
+            asking, bound = unit(asked), np.full(len(asked), np.inf)
+            if len(near) >= neighbours:
+                away = distances(asking, near)
+                away[own[:, None] == known_id[None, :]] = np.inf
+                bound = np.partition(away, neighbours - 1, axis=1)[:, neighbours - 1]
+            run = Search(points, root, asking, bound, neighbours + 1, factor)
+            run.run()
+            who, place = np.nonzero(run.entry >= 0)
+            hit = run.entry[who, place]
+            who = np.repeat(who, sizes[hit])
+            inside = np.arange(len(who)) - np.repeat(np.cumsum(sizes[hit]) - sizes[hit], sizes[hit])
+            row = members[np.repeat(heads[hit], sizes[hit]) + inside]
+            other = number[row] != own[who]
+            who, row = who[other], row[other]
+            score = cosines(asked[who], given[row])
+            kept = first_rows(who, (-score, number[row]), neighbours)
+            who, row = who[kept], row[kept]
+            return pa.table(
+                {
+                    ROW: queries[ROW].to_numpy()[who],
+                    "query_id": pa.array(own[who]),
+                    "vec_id": vectors.restored(number[row], missing[row]),
+                    "score": pa.array(score[kept]),
+                }
+            )
+
+        return answer
+
+    return prepare
 
 
 def nearest(
@@ -222,7 +224,7 @@ def nearest(
     usable = usable.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), asks.alias("_asks"))
     placed = vectors.numbered(usable, "vectors")
     given = placed.drop("_asks")
-    search = shard_search(vectors.sample(given), neighbours, factor, ("vec_id", "vector"))
+    search = shard_search(vectors.sample(given), neighbours, factor)
     found = vectors.met(placed.where("_asks").drop("_asks"), given, search, f"{ROW} long, query_id long, vec_id long, score double")
     best = Window.partitionBy(ROW).orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours)

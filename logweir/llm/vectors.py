@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from logweir.llm.store import written
 
 ROW = "_row"
-#: Rows of one shard at most, and rows below which a shard is not split for the sake of idle cores.
-SHARD, LEAST_SHARD = 1 << 16, 1 << 12
-#: Queries of one block.
-QUERIES = 1 << 11
+#: Components a shard of rows or a block of queries has at most, and below which a shard is not split for idle cores.
+SHARD, LEAST_SHARD = 1 << 22, 1 << 18
+#: Queries that a task looks up at once.
+STEP = 1 << 11
 #: Rows of the sample whose scores give first bounds. A bound only ever saves work.
 SAMPLE = 1 << 11
 
@@ -59,18 +59,29 @@ def sample(rows: DataFrame) -> pa.Table:
     return rows.orderBy(F.xxhash64(ROW)).limit(SAMPLE).toArrow()
 
 
-def met(queries: DataFrame, rows: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``work`` on every block of ``queries`` with every shard of ``rows``; both are numbered.
+#: From a shard and the width of all vectors to what answers a step of queries.
+Prepare = Callable[[pa.Table, int], Callable[[pa.Table], pa.Table]]
+
+
+def met(queries: DataFrame, rows: DataFrame, prepare: Prepare, schema: str) -> DataFrame:
+    """Every block of ``queries`` with every shard of ``rows``; both are numbered and have a ``vector``.
 
     Rows and queries are dealt by the hash of their number, so copies spread like any
-    other rows. A task holds one shard and one block, however large the tables are.
+    other rows. A task holds one shard and one block of about the same size, however large
+    the tables and the vectors are: with fewer rows in either, the other would be sent more often.
     """
-    count, asked = rows.count(), queries.count()
+    count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    asked, held = queries.count(), max(1, SHARD // max(1, width))
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, -(-count // SHARD), min(cores, count // LEAST_SHARD))
-    blocks = max(1, -(-asked // QUERIES))
+    shards = max(1, -(-count // held), min(cores, count * width // LEAST_SHARD))
+    blocks = max(1, -(-asked // held))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n: F.pmod(F.xxhash64(ROW), F.lit(n)).cast("int")
+
+    def work(block: pa.Table, shard: pa.Table) -> pa.Table:
+        answer = prepare(shard, width)
+        return pa.concat_tables([answer(block.slice(at, STEP)) for at in range(0, max(1, block.num_rows), STEP)])
+
     left = queries.withColumn("_block", dealt(blocks)).withColumn("_shard", every(shards))
     right = rows.withColumn("_shard", dealt(shards)).withColumn("_block", every(blocks))
     return left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(work, schema)

@@ -54,10 +54,10 @@ def some_rows(seed: int, count: int, size: int = 6):
     return rows
 
 
-@pytest.mark.parametrize("seed, shard", [(1, 1 << 16), (2, 50)])
+@pytest.mark.parametrize("seed, shard", [(1, 1 << 22), (2, 300)])
 def test_same_as_all_pairs(spark, seed, shard, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", shard)
-    monkeypatch.setattr(vectors, "QUERIES", 16)
+    monkeypatch.setattr(vectors, "STEP", 16)
     monkeypatch.setattr(vectors, "SAMPLE", 20)
     rows = some_rows(seed, 300)
     got, key = result(negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 10 == 0))

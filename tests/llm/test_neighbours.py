@@ -44,10 +44,10 @@ def some_rows(seed: int):
     return rows
 
 
-@pytest.mark.parametrize("seed, shard, leaf", [(1, 1 << 16, 64), (2, 100, 8)])
+@pytest.mark.parametrize("seed, shard, leaf", [(1, 1 << 22, 64), (2, 800, 8)])
 def test_factor_one_is_exact(spark, seed, shard, leaf, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", shard)
-    monkeypatch.setattr(vectors, "QUERIES", 5)
+    monkeypatch.setattr(vectors, "STEP", 5)
     monkeypatch.setattr(vectors, "SAMPLE", 30)
     monkeypatch.setattr(neighbours, "LEAF", leaf)
     rows = some_rows(seed)
