@@ -11,10 +11,13 @@ would, but a key may hold a large share of all rows. So:
    the state at its end. Only a partition lying wholly inside one key depends on
    its entry state at all, and then only through which of its first rows opens the
    next group: a short table with one line per distinct outcome;
-3. those rows, one per partition, are folded in order;
+3. two such rows that follow each other make one row of the same kind, so the rows are
+   composed in blocks over the executors, round by round, until a few are left. From the
+   states before those, the states before their members are found on the way back;
 4. each partition labels its rows, starting from its true entry state.
 
-No task ever holds more than its own partition.
+No task ever holds more than its own partition or one block of such rows. The driver sees
+the last few rows and one state a partition.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from pyspark.sql import types as T
 from logweir.session import cut
 
 NO_LIMIT = 2**62
-COLLECT_LIMIT = 10_000
+#: Pieces that are composed at once, and that are left to the driver at the end.
+FAN = 32
 
 PART = "_part"
 WEIGHT = "_weight"
@@ -54,6 +58,10 @@ class Limits:
     budget: int
     max_rows: int = NO_LIMIT
 
+    @property
+    def endless(self) -> bool:
+        return self.budget >= NO_LIMIT and self.max_rows >= NO_LIMIT
+
     def end_of_group(self, sums: np.ndarray, start: int, rows: int = 0, tokens: int = 0) -> int:
         """First row from ``start`` that no longer fits a group with rows and tokens in it."""
         base = sums[start - 1] if start else 0
@@ -82,19 +90,19 @@ def label_run(weights: np.ndarray, entry: Open | None, limits: Limits) -> tuple[
     return labels, Open(group, rows, tokens, seen + n)
 
 
-def entry_table(weights: np.ndarray, limits: Limits) -> list[tuple[int, int, int, int, int]]:
+def entry_table(weights: np.ndarray, limits: Limits) -> np.ndarray:
     """How a run answers to every possible entry state.
 
     One line ``(row, sum, groups, rows, tokens)`` per distinct outcome: if the first
     row that does not fit the open group is at most ``row`` (whose running token sum
     is ``sum``), the run opens ``groups`` more groups and leaves ``rows`` rows with
-    ``tokens`` tokens in the last one.
+    ``tokens`` tokens in the last one. Where no line applies, the whole run fits.
     """
     n = len(weights)
     sums = np.cumsum(weights)
-    if limits.budget >= NO_LIMIT and limits.max_rows >= NO_LIMIT:
+    if limits.endless:
         # Nothing ever closes a group, so the run goes on with any that is open: one line.
-        return [(0, int(weights[0]), 1, n, int(sums[-1]))]
+        return np.array([(0, int(weights[0]), 1, n, int(sums[-1]))], dtype=np.int64)
     before = sums - weights
     reachable = int(np.searchsorted(before, limits.budget, side="left"))
     reachable = max(1, min(reachable, limits.max_rows, n))
@@ -113,23 +121,82 @@ def entry_table(weights: np.ndarray, limits: Limits) -> list[tuple[int, int, int
             else:
                 after = (after[0] + 1, after[1], after[2])
             outcome[start] = after
-        line = (first, int(sums[first]), *outcome[first])
-        if table and table[-1][2:] == line[2:]:
-            table[-1] = line
-        else:
-            table.append(line)
-    return table
+        table.append((first, int(sums[first]), *outcome[first]))
+    return pruned(np.array(table, dtype=np.int64), limits)
+
+
+def pruned(table: np.ndarray, limits: Limits) -> np.ndarray:
+    """A table without the lines that no open group reaches, and one line per run of equal outcomes."""
+    if limits.endless:
+        return table[:1]
+    # An open group has one row and one token at least, so this line applies to every one.
+    always = (table[:, 0] + 1 >= limits.max_rows) | (table[:, 1] + 1 > limits.budget)
+    if always.any():
+        table = table[: int(always.argmax()) + 1]
+    last = np.append((table[1:, 2:] != table[:-1, 2:]).any(axis=1), True)
+    return table[last]
+
+
+class Piece(NamedTuple):
+    """How rows that follow each other map the state before them to the state after them.
+
+    Rows of one key have a ``table``. With more keys the state after them is that of the
+    last key, ``tail``, whatever came before.
+    """
+
+    head_key: object
+    tail_key: object
+    rows: int
+    total: int
+    table: np.ndarray | None
+    tail: Open | None
 
 
-def enter(table: Sequence[Sequence[int]], n: int, total: int, entry: Open | None, limits: Limits) -> Open:
-    """State after a run that lies wholly inside one key."""
+def after(piece: Piece, entry: Open | None, limits: Limits) -> Open:
+    """State after a piece whose first key is open with ``entry``, or begins with it."""
+    if piece.table is None:
+        return piece.tail
     if entry is None:
-        _, _, groups, rows, tokens = table[0]
-        return Open(groups - 1, rows, tokens, n)
-    for row, row_sum, groups, rows, tokens in table:
-        if entry.rows + row >= limits.max_rows or entry.tokens + row_sum > limits.budget:
-            return Open(entry.group + groups, rows, tokens, entry.seen + n)
-    return Open(entry.group, entry.rows + n, entry.tokens + total, entry.seen + n)
+        _, _, groups, rows, tokens = piece.table[0].tolist()
+        return Open(groups - 1, rows, tokens, piece.rows)
+    moved = _through(piece, np.array([[0, entry.rows, entry.tokens]], dtype=np.int64), limits)[0].tolist()
+    return Open(entry.group + moved[0], moved[1], moved[2], entry.seen + piece.rows)
+
+
+def _through(piece: Piece, states: np.ndarray, limits: Limits) -> np.ndarray:
+    """States ``(groups, rows, tokens)`` after a piece of one key, one for each state before it."""
+    table = piece.table
+    groups, rows, tokens = states.T
+    # Rows and sums rise from line to line, so the first line that applies is found by bisection.
+    line = np.minimum(
+        np.searchsorted(table[:, 0], limits.max_rows - rows, side="left"),
+        np.searchsorted(table[:, 1], limits.budget - tokens, side="right"),
+    )
+    fits = line == len(table)
+    found = table[np.minimum(line, len(table) - 1)]
+    return np.stack(
+        [
+            np.where(fits, groups, groups + found[:, 2]),
+            np.where(fits, rows + piece.rows, found[:, 3]),
+            np.where(fits, tokens + piece.total, found[:, 4]),
+        ],
+        axis=1,
+    )
+
+
+def composed(first: Piece, second: Piece, limits: Limits) -> Piece:
+    """Two pieces that follow each other as one; this is associative."""
+    rows, total = first.rows + second.rows, first.total + second.total
+    goes_on = first.tail_key == second.head_key
+    if second.table is None or first.table is None or not goes_on:
+        before = after(first, None, limits) if goes_on and second.table is not None else None
+        return Piece(first.head_key, second.tail_key, rows, total, None, after(second, before, limits))
+    moved = _through(second, first.table[:, 2:], limits)
+    later = second.table.copy()
+    later[:, 0] += first.rows
+    later[:, 1] += first.total
+    table = np.concatenate([np.concatenate([first.table[:, :2], moved], axis=1), later])
+    return Piece(first.head_key, second.tail_key, rows, total, pruned(table, limits), None)
 
 
 def key_runs(keys: pa.Array) -> np.ndarray:
@@ -137,41 +204,44 @@ def key_runs(keys: pa.Array) -> np.ndarray:
     n = len(keys)
     if n < 2:
         return np.array([0, n])
-    same = pc.equal(keys.slice(1), keys.slice(0, n - 1)).fill_null(False)
-    return np.concatenate(([0], np.flatnonzero(~np.asarray(same)) + 1, [n]))
+    later, former = keys.slice(1), keys.slice(0, n - 1)
+    same = np.asarray(pc.equal(later, former).fill_null(False)) | np.asarray(pc.and_(later.is_null(), former.is_null()))
+    return np.concatenate(([0], np.flatnonzero(~same) + 1, [n]))
 
 
-SUMMARY_TABLE = T.ArrayType(T.ArrayType(T.LongType()))
+def _piece_schema(key: str) -> str:
+    return f"part int, head_key {key}, tail_key {key}, rows long, total long, tail array<long>, lines array<long>"
 
 
-def _summary_schema(key_type: T.DataType) -> T.StructType:
-    return T.StructType(
+def _pieces_table(parts: list[int], pieces: list[Piece], arrow_key: pa.DataType) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays(
         [
-            T.StructField("part", T.IntegerType()),
-            T.StructField("head_key", key_type),
-            T.StructField("tail_key", key_type),
-            T.StructField("rows", T.LongType()),
-            T.StructField("total", T.LongType()),
-            T.StructField("tail", T.ArrayType(T.LongType())),
-            T.StructField("table", SUMMARY_TABLE),
-        ]
+            pa.array(parts, pa.int32()),
+            pa.array([piece.head_key for piece in pieces], arrow_key),
+            pa.array([piece.tail_key for piece in pieces], arrow_key),
+            pa.array([piece.rows for piece in pieces], pa.int64()),
+            pa.array([piece.total for piece in pieces], pa.int64()),
+            pa.array([None if piece.tail is None else list(piece.tail) for piece in pieces], longs),
+            pa.array([None if piece.table is None else piece.table.ravel() for piece in pieces], longs),
+        ],
+        names=["part", "head_key", "tail_key", "rows", "total", "tail", "lines"],
     )
 
 
-def _summarise_partition(limits: Limits, key: str, arrow_key: pa.DataType):
-    """One row per partition; ``table`` is set only if it holds a single key."""
+def _pieces(rows: pa.Table | pa.RecordBatch) -> tuple[list[int], list[Piece]]:
+    """Pieces in order, and their numbers."""
+    found = []
+    for row in rows.to_pylist():
+        table = None if row["lines"] is None else np.array(row["lines"], dtype=np.int64).reshape(-1, 5)
+        tail = None if row["tail"] is None else Open(*row["tail"])
+        found.append((row["part"], Piece(row["head_key"], row["tail_key"], row["rows"], row["total"], table, tail)))
+    found.sort(key=lambda pair: pair[0])
+    return [part for part, _ in found], [piece for _, piece in found]
 
-    out = pa.schema(
-        [
-            ("part", pa.int32()),
-            ("head_key", arrow_key),
-            ("tail_key", arrow_key),
-            ("rows", pa.int64()),
-            ("total", pa.int64()),
-            ("tail", pa.list_(pa.int64())),
-            ("table", pa.list_(pa.list_(pa.int64()))),
-        ]
-    )
+
+def _summarise_partition(limits: Limits, key: str, arrow_key: pa.DataType):
+    """One piece per partition."""
 
     def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = head = tail = None
@@ -195,36 +265,71 @@ def _summarise_partition(limits: Limits, key: str, arrow_key: pa.DataType):
             return
         run = np.concatenate(weights)
         table = entry_table(run, limits) if single else None
-        after = None if single else list(label_run(run, None, limits)[1])
-        row = [part, head, tail, len(run), int(run.sum()), after, table]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([value], type=field.type) for value, field in zip(row, out)], schema=out
-        )
+        left = None if single else label_run(run, None, limits)[1]
+        yield _pieces_table([part], [Piece(head, tail, len(run), int(run.sum()), table, left)], arrow_key)
 
     return summarise
 
 
-def _entry_states(summaries: DataFrame, partitions: int, limits: Limits) -> dict[int, tuple]:
+#: The state before a piece and the key it belongs to; plain, as a task gets it without the classes of this package.
+Before = tuple[tuple | None, object]
+
+
+def states_before(pieces: list[Piece], before: Before, limits: Limits) -> list[Before]:
+    """The state before each of the pieces, from the one before the first."""
+    found, (state, key) = [], before
+    for piece in pieces:
+        entry = Open(*state) if state is not None and piece.head_key == key else None
+        found.append((None if entry is None else tuple(entry), key))
+        state, key = tuple(after(piece, entry, limits)), piece.tail_key
+    return found
+
+
+def _downwards(known: Broadcast, limits: Limits, arrow_key: pa.DataType):
+    """The states before the members of each block."""
+
+    def downwards(block: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        numbers, found = _pieces(rows)
+        states = states_before(found, known.value[block[0].as_py()], limits)
+        return pa.table(
+            {
+                "part": pa.array(numbers, pa.int32()),
+                "state": pa.array([None if state is None else list(state) for state, _ in states], pa.list_(pa.int64())),
+                "key": pa.array([key for _, key in states], arrow_key),
+            }
+        )
+
+    return downwards
+
+
+def _entry_states(pieces: DataFrame, partitions: int, limits: Limits, arrow_key: pa.DataType) -> dict[int, tuple]:
     """Entry state of each partition that starts inside a key begun earlier.
 
-    Plain tuples: a broadcast is unpickled without the classes of this package.
+    A parallel prefix: upwards, blocks of pieces become one piece each; downwards, the
+    state before a block gives those before its members.
     """
-    if partitions <= COLLECT_LIMIT:
-        rows: Iterable = sorted(summaries.collect(), key=lambda row: row["part"])
-    else:
-        rows = cut(summaries).orderBy("part").toLocalIterator(prefetchPartitions=True)
-    entries: dict[int, tuple] = {}
-    key, state = None, None
-    for row in rows:
-        entry = state if state is not None and row["head_key"] == key else None
-        if entry is not None:
-            entries[row["part"]] = tuple(entry)
-        if row["table"] is not None:
-            state = enter(row["table"], row["rows"], row["total"], entry, limits)
-        else:
-            state = Open(*row["tail"])
-        key = row["tail_key"]
-    return entries
+    levels, width = [cut(pieces)], partitions
+    by_block = F.floor(F.col("part") / FAN).cast("int").alias("block")
+
+    def upwards(block: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        _, found = _pieces(rows)
+        whole = found[0]
+        for piece in found[1:]:
+            whole = composed(whole, piece, limits)
+        return pa.Table.from_batches([_pieces_table([block[0].as_py()], [whole], arrow_key)])
+
+    while width > FAN:
+        levels.append(cut(levels[-1].groupBy(by_block).applyInArrow(upwards, levels[0].schema)))
+        width = -(-width // FAN)
+    parts, top = _pieces(levels.pop().toArrow())
+    entries = dict(zip(parts, states_before(top, (None, None), limits)))
+    out = T.StructType.fromDDL("part int, state array<long>").add("key", levels[0].schema["head_key"].dataType) if levels else None
+
+    for level in reversed(levels):
+        down = _downwards(level.sparkSession.sparkContext.broadcast(entries), limits, arrow_key)
+        states = level.groupBy(by_block).applyInArrow(down, out).collect()
+        entries = {row["part"]: (None if row["state"] is None else tuple(row["state"]), row["key"]) for row in states}
+    return {part: state for part, (state, _) in entries.items() if state is not None}
 
 
 @dataclass(frozen=True)
@@ -297,8 +402,8 @@ def prepare(
     if arrow_key == pa.int64():
         key_type = T.LongType()
         slim = slim.withColumn(key, F.col(key).cast("long"))
-    summaries = slim.mapInArrow(_summarise_partition(limits, key, arrow_key), _summary_schema(key_type))
-    entries = _entry_states(summaries, rows.rdd.getNumPartitions(), limits)
+    pieces = slim.mapInArrow(_summarise_partition(limits, key, arrow_key), _piece_schema(key_type.simpleString()))
+    entries = _entry_states(pieces, rows.rdd.getNumPartitions(), limits, arrow_key)
     return Packed(rows, Labeller(key, limits, spark.sparkContext.broadcast(entries)))
 
 

@@ -12,15 +12,19 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logweir.operators import packing
 from logweir.operators.packing import (
     NO_LIMIT,
     Limits,
-    enter,
+    Piece,
+    after,
+    composed,
     entry_table,
     forced_group,
     index_rows,
     label_run,
     pack_rows,
+    states_before,
 )
 from logweir.operators.segments import build_chunks, segment_rows
 
@@ -47,14 +51,75 @@ def test_labels_and_tables_across_cuts(weights, budget, max_rows, cuts):
     bounds = [0, *sorted(cut for cut in cuts if cut < len(weights)), len(weights)]
     for start, end in zip(bounds[:-1], bounds[1:]):
         part = np.array(weights[start:end])
-        found, after = label_run(part, state, limits)
+        found, left = label_run(part, state, limits)
         # The small table of a partition gives the same exit state as its rows.
-        assert enter(entry_table(part, limits), len(part), int(part.sum()), state, limits) == after
+        assert after(piece("k", part, limits), state, limits) == left
         labels.extend(found.tolist())
-        state = after
+        state = left
     assert labels == fold(weights, budget, max_rows)
 
 
+def piece(key, weights, limits):
+    return Piece(key, key, len(weights), int(weights.sum()), entry_table(weights, limits), None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    runs=st.lists(st.tuples(st.sampled_from("aab"), st.lists(st.integers(1, 12), min_size=1, max_size=9)), min_size=2, max_size=9),
+    budget=st.sampled_from([1, 5, 17, 30, NO_LIMIT]),
+    max_rows=st.sampled_from([NO_LIMIT, 2, 3, 8]),
+    draw=st.randoms(use_true_random=False),
+)
+def test_composition_is_the_fold_in_any_order(runs, budget, max_rows, draw):
+    limits, key = Limits(budget, max_rows), None
+    pieces = [piece(name, np.array(weights), limits) for name, weights in runs]
+    state, before = None, []
+    for name, weights in runs:
+        state = state if name == key else None
+        before.append(None if state is None else tuple(state))
+        _, state = label_run(np.array(weights), state, limits)
+        key = name
+    assert [entry for entry, _ in states_before(pieces, (None, None), limits)] == before
+    # Any two neighbours may be put together first.
+    while len(pieces) > 1:
+        at = draw.randrange(len(pieces) - 1)
+        pieces[at : at + 2] = [composed(pieces[at], pieces[at + 1], limits)]
+        assert pieces[at].table is None or len(pieces[at].table) <= 2 * min(budget, max_rows)
+    assert after(pieces[0], None, limits) == state
+
+
+def test_tables_of_two_thousand_partitions_of_one_key_stay_small():
+    draw, limits, whole, state = np.random.default_rng(0), Limits(6000), None, None
+    for _ in range(2000):
+        weights = draw.integers(1, 400, 300)
+        one = piece("hot", weights, limits)
+        whole = one if whole is None else composed(whole, one, limits)
+        _, state = label_run(weights, state, limits)
+        # What a block of pieces sends on is never more than the lines a single partition may have.
+        assert len(whole.table) <= 6000
+    assert after(whole, None, limits) == state
+    # Groups begun at different rows have fallen into step long since.
+    assert len(whole.table) < 300
+
+
+@pytest.mark.parametrize(("fan", "partitions"), [(2, 41), (3, 200)])
+def test_prefix_over_many_partitions(spark, fan, partitions, monkeypatch):
+    """One key holds nearly all partitions; whatever is composed where, it is the sequential fold."""
+    monkeypatch.setattr(packing, "FAN", fan)
+    seen = []
+    states = packing.states_before
+    monkeypatch.setattr(packing, "states_before", lambda pieces, *rest: seen.append(len(pieces)) or states(pieces, *rest))
+    rng = random.Random(fan)
+    rows = [("hot" if i < 2900 else "z" if i < 2950 else None, i, rng.choice([1, 5, 60, 120, 400])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, pos long, t long").repartition(5)
+    got = {row.pos: (row.group_index, row.row_index) for row in pack_rows(df, "k", ["pos"], F.col("t"), 256, NO_LIMIT, partitions).collect()}
+    for start, end in [(0, 2900), (2900, 2950), (2950, 3000)]:
+        labels = fold([row[2] for row in rows[start:end]], 256, NO_LIMIT)
+        assert [got[start + i] for i in range(end - start)] == [(label, i) for i, label in enumerate(labels)]
+    # The driver folds no more pieces than one block has.
+    assert seen == [seen[0]] and seen[0] <= fan
+
+
 @pytest.mark.parametrize(("partitions", "max_rows"), [(1, NO_LIMIT), (7, NO_LIMIT), (13, 8), (60, 3)])
 def test_pack_rows_with_a_hot_key(spark, partitions, max_rows):
     rng = random.Random(partitions)
