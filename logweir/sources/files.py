@@ -1,21 +1,20 @@
 """Readers for exported log files: plain text, CSV, Markdown tables, JSON arrays.
 
 All give records of one shape: ``source_id`` (the file), ``block`` and ``line`` (the
-order inside it), the record fields and ``reject_reason``. Plain text and Markdown
-are split by lines, so even one huge file is read by many tasks. CSV and JSON are one
-task per file, for quoting and nesting reach across lines; many files are the scale.
+order inside it), the record fields and ``reject_reason``. Even one huge file is read by
+many tasks: plain text and Markdown by lines, CSV and JSON by splits that are read from
+their true state (:mod:`logweir.sources.splits`).
 """
 
 from __future__ import annotations
 
 import csv
-import io
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce as fold
 
 import pandas as pd
-import pyarrow.fs
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,34 +23,19 @@ from logweir.functions.records import normalize_rows, plain_records
 from logweir.functions.text import is_blank, let, strip
 from logweir.session import cut
 from logweir.sources.formats import FORMATS, UnsupportedFormat, detect_format
+from logweir.sources.splits import CsvLines, JsonItems, Splits, lines_of, may_split, read_splits
 
 HEAD_BYTES = 65_536
 DELIMITERS = ",;\t"
-SPARE_CELLS = 16
-#: Cells a row may have at least, and characters a header cell.
-MOST_CELLS = 100_000
-LARGEST_CELL = 2**31 - 1
 # A header row is at most HEAD_BYTES long, in practice far shorter.
 BROADCAST_FILES = 2_000
 PLACE = ["source_id", "block", "line"]
-BOM = "\ufeff"
 
 
 class UnreadableInput(ValueError):
     """A file does not have the shape of its format."""
 
 
-def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of text files with their place; the byte order mark is dropped."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("source_id"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
-    return lines.withColumn("value", F.regexp_replace("value", "^" + BOM, ""))
-
-
 def _per_file(table: DataFrame, files_count: int) -> DataFrame:
     """A one-row-per-file table for a join; broadcast if the files are few enough."""
     return F.broadcast(table) if files_count <= BROADCAST_FILES else table
@@ -59,83 +43,74 @@ def _per_file(table: DataFrame, files_count: int) -> DataFrame:
 
 def read_plain_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One record per non-blank line; leading blanks are kept."""
-    lines = _lines(spark, paths).filter(~is_blank(F.col("value")))
+    lines = lines_of(spark, paths).filter(~is_blank(F.col("value")))
     return plain_records(lines, F.col("value"), PLACE)
 
 
 # ---------------------------------------------------------------------- CSV
-HEAD = T.StructType(
-    [
-        T.StructField("delimiter", T.StringType()),
-        T.StructField("quote", T.StringType()),
-        T.StructField("skip_space", T.BooleanType()),
-        T.StructField("header", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-def _csv_head(path: str) -> tuple[str, str, bool, list[str]]:
-    """Dialect of one file, told from its first bytes, and its header row, read to its end however long."""
-    filesystem, name = pyarrow.fs.FileSystem.from_uri(path)
-    with filesystem.open_input_stream(name) as stream:
-        text = stream.read(HEAD_BYTES).decode("utf-8-sig", errors="replace")
-    try:
-        dialect = csv.Sniffer().sniff(text, delimiters=DELIMITERS)
-    except csv.Error:
-        dialect = csv.excel
-    csv.field_size_limit(LARGEST_CELL)
-    with filesystem.open_input_stream(name) as stream:
-        rows = csv.reader(io.TextIOWrapper(stream, "utf-8-sig", "replace", newline=""), dialect)
-        header = next((row for row in rows if any(cell.strip() for cell in row)), [])
-    return dialect.delimiter, dialect.quotechar or '"', bool(dialect.skipinitialspace), header
-
-
-@F.pandas_udf(HEAD)
-def _csv_heads(paths: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_csv_head(path) for path in paths], columns=[field.name for field in HEAD])
+def _csv_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dialect of each file, told from its first lines, and its header row."""
+    for source, _, _, lines in Splits(batches):
+        kept, size = [], 0
+        for _, line in lines:
+            kept.append(line)
+            size += len(line) + 1
+            if size >= HEAD_BYTES:
+                break
+        try:
+            dialect = csv.Sniffer().sniff("\n".join(kept)[:HEAD_BYTES], delimiters=DELIMITERS)
+        except csv.Error:
+            dialect = csv.excel
+        form = CsvLines(dialect.delimiter, dialect.quotechar or '"', bool(dialect.skipinitialspace))
+
+        def all_lines(kept=kept, lines=lines) -> Iterator[str]:
+            for line in kept:
+                yield line + "\n"
+            for _, line in lines:
+                yield line + "\n"
+
+        header = next((row for row in form.rows(all_lines()) if any(cell.strip() for cell in row)), [])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([source]), pa.array([form.delimiter]), pa.array([form.quote]), pa.array([form.skip_space]), pa.array([header], pa.list_(pa.string()))],
+            names=["source_id", "delimiter", "quote", "skip_space", "header"],
+        )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split_record(records: pd.Series, delimiters: pd.Series, quotes: pd.Series) -> pd.Series:
-    """Cells of single CSV records that are wider than the schema they were read with."""
+HEAD = "source_id string, delimiter string, quote string, skip_space boolean, header array<string>"
 
-    def cells(record: str | None, delimiter: str, quote: str) -> list[str] | None:
-        if record is None:
-            return None
-        return next(csv.reader(io.StringIO(record, newline=""), delimiter=delimiter, quotechar=quote), [])
 
-    return pd.Series([cells(*row) for row in zip(records, delimiters, quotes)])
+def csv_layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Dialect and header of each file, by its first split, in which the header ends."""
+    return lines_of(spark, paths).where("block = 0").mapInArrow(_csv_heads, HEAD)
 
 
-def csv_layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Path, dialect and header of each file. Only the head of a file is read."""
-    listing = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("source_id"))
-    heads = listing.repartition("path").withColumn("_head", _csv_heads("source_id"))
-    return heads.select("path", "source_id", "_head.*")
+def listing(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``path, source_id, length`` of each file; contents are not read."""
+    return spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("source_id"), "length")
 
 
 def read_csv_logs(spark: SparkSession, paths: str | list[str], raw_line_column: str | None = None) -> DataFrame:
     """Records of CSV or TSV files with a header row, quoted cells over several lines.
 
-    Files of one dialect are read together. The driver holds the file names, as it
-    does for any file scan, never their rows. A file without a header line, empty or
-    blank, gives one rejected row.
+    Files of one dialect are read together, and a large file by many tasks. The driver
+    holds the file names, as it does for any file scan, never their rows. A file without a
+    header line, empty or blank, gives one rejected row.
     """
+    listed = listing(spark, paths)
     layouts = cut(csv_layouts(spark, paths))
+    known = {row["source_id"]: row for row in listed.collect()}
     dialects: dict[tuple, list] = {}
-    blank, seen = [], set()
-    for row in layouts.select("path", "source_id", "delimiter", "quote", "skip_space", F.size("header").alias("width")).collect():
-        seen.add(row["source_id"])
+    blank = []
+    for row in layouts.select("source_id", "delimiter", "quote", "skip_space", F.size("header").alias("width")).collect():
         if row["width"] == 0:
             blank.append(row["source_id"])
             continue
-        dialects.setdefault((row["delimiter"], row["quote"], row["skip_space"]), []).append(row)
+        dialects.setdefault((row["delimiter"], row["quote"], row["skip_space"]), []).append(known[row["source_id"]])
     # A scan leaves out files of no bytes; the listing has them.
-    listed = spark.read.format("binaryFile").load(paths).inputFiles()
-    blank += sorted(name for name in map(_like_metadata, listed) if name not in {_like_metadata(one) for one in seen})
+    blank += sorted(name for name in map(_like_metadata, listed.inputFiles()) if name not in set(map(_like_metadata, known)))
     if not dialects and not blank:
         raise UnreadableInput("nothing to read: no such CSV file")
-    parts = [_read_dialect(spark, *dialect, files, layouts, raw_line_column) for dialect, files in dialects.items()]
+    parts = [_read_dialect(spark, CsvLines(*dialect), files, layouts, raw_line_column) for dialect, files in dialects.items()]
     if blank:
         parts.append(_without_header(spark, blank))
     return fold(DataFrame.unionByName, parts)
@@ -155,38 +130,15 @@ def _without_header(spark: SparkSession, files: list[str]) -> DataFrame:
     return normalize_rows(rows, "_row", None, PLACE).withColumn("reject_reason", F.lit("no header line"))
 
 
-def _read_dialect(
-    spark: SparkSession, delimiter: str, quote: str, skip_space: bool, files: list, layouts: DataFrame, raw_line_column: str | None
-) -> DataFrame:
-    width = max(row["width"] for row in files) + SPARE_CELLS
-    names = [f"c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "_record"]])
-    cells = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("sep", delimiter)
-        .option("quote", quote)
-        .option("escape", quote)
-        .option("ignoreLeadingWhiteSpace", skip_space)
-        .option("columnNameOfCorruptRecord", "_record")
-        .option("maxCharsPerColumn", -1)
-        .option("maxColumns", max(2 * width, MOST_CELLS))
-        .csv([row["path"] for row in files])
-        .select(
-            F.col("_metadata.file_path").alias("source_id"),
-            F.lit(0).cast("long").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            "_record",
-            F.array(*[F.col(name) for name in names]).alias("_cells"),
-        )
-    )
-    # Only a row that fills the last spare cell can have lost further ones.
-    overfull = F.when(F.col("_cells")[width - 1].isNotNull(), F.col("_record"))
-    wide = cells.withColumn(
-        "_cells", F.coalesce(_split_record(overfull, F.lit(delimiter), F.lit(quote)), F.col("_cells"))
-    ).drop("_record")
-    filled = wide.filter(F.exists("_cells", lambda cell: ~is_blank(F.coalesce(cell, F.lit("")))))
+def _read_dialect(spark: SparkSession, form: CsvLines, files: list, layouts: DataFrame, raw_line_column: str | None) -> DataFrame:
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cells_of(records: pd.Series) -> pd.Series:
+        return records.map(lambda record: next(form.rows(line + "\n" for line in record.split("\n")), []))
+
+    lines = lines_of(spark, [row["path"] for row in files])
+    cells = read_splits(lines, form, may_split(spark, max(row["length"] for row in files)), cells_of)
+    cells = cells.drop("error").withColumnRenamed("cells", "_cells")
+    filled = cells.filter(F.exists("_cells", lambda cell: ~is_blank(F.coalesce(cell, F.lit("")))))
     headers = _per_file(layouts.select("source_id", "header"), len(files))
     rows = filled.join(headers, "source_id").withColumn("_row", _row_map(F.col("header"), F.col("_cells")))
     return normalize_rows(rows, "_row", raw_line_column, PLACE)
@@ -220,7 +172,7 @@ def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_co
     The header is the first table line of its file: a one-row-per-file aggregate
     joined back, so a file needs no task of its own.
     """
-    read = _lines(spark, paths)
+    read = lines_of(spark, paths)
     lines = read.withColumn("value", strip(F.col("value"))).filter(F.col("value").startswith("|"))
     place = F.struct("block", "line")
     headers = (
@@ -254,27 +206,27 @@ def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_co
 
 
 # --------------------------------------------------------------------- JSON
-FIRST_ARRAY = r'(?s)^(?:[^"\[]++|"(?:[^"\\]++|\\.)*+")*+(\[.*)$'
-
-
 def read_json_array(spark: SparkSession, paths: str | list[str], raw_line_column: str | None = None) -> DataFrame:
-    """Records of the first array of each file; objects are normalised, scalars are raw lines."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_id"), "value")
-    start = whole.withColumn("_array", F.regexp_extract("value", FIRST_ARRAY, 1)).drop("value")
-    items = start.withColumn("_items", F.when(F.col("_array") != "", F.from_json("_array", "array<variant>"))).withColumn(
-        "_texts", F.when(F.col("_items").isNotNull(), F.from_json("_array", "array<string>"))
-    )
-    error = F.when(F.col("_array") == "", "no array in the JSON text").when(
-        F.col("_items").isNull(), "the JSON array cannot be read"
-    )
-    failed = items.withColumn("_error", error).filter(F.col("_error").isNotNull())
+    """Records of the first array of each file; objects are normalised, scalars are raw lines.
+
+    The text is cut at its commas, so that a file of one line is read by many tasks as well. A
+    file with an item that cannot be read, or without a closed array, gives one rejected row
+    and nothing else.
+    """
+    listed = listing(spark, paths)
+    largest = listed.agg(F.max("length")).first()[0] or 0
+    whole = lambda text: F.when(~is_blank(text), F.array(text))
+    read = read_splits(lines_of(spark, paths, separator=","), JsonItems(), may_split(spark, largest), whole)
     # A variant knows the type of each item but sorts the keys; the text keeps their order.
-    pairs = F.arrays_zip(F.col("_items").alias("item"), F.col("_texts").alias("text"))
-    exploded = items.select("source_id", F.lit(0).cast("long").alias("block"), F.posexplode(pairs).alias("line", "_pair"))
-    exploded = exploded.select(
-        "source_id", "block", F.col("line").cast("long").alias("line"), F.col("_pair.item").alias("_item"), F.col("_pair.text").alias("_text")
-    ).withColumn("_kind", F.coalesce(F.schema_of_variant("_item"), F.lit("VOID")))
-    objects = exploded.filter(F.col("_kind").startswith("OBJECT"))
+    items = read.select("source_id", "block", "line", "error", F.col("cells")[0].alias("_text")).withColumn("_item", F.try_parse_json("_text"))
+    unread = F.when(F.col("_item").isNull(), "the JSON array cannot be read")
+    failed = items.groupBy("source_id").agg(F.coalesce(F.min("error"), F.min(unread)).alias("_error")).where(F.col("_error").isNotNull())
+    empty = sorted(set(map(_like_metadata, listed.inputFiles())) - {_like_metadata(row["source_id"]) for row in listed.select("source_id").collect()})
+    if empty:
+        # A scan leaves out files of no bytes; the listing has them.
+        failed = failed.unionByName(spark.createDataFrame([(name, JsonItems().trouble(JsonItems.start)) for name in empty], failed.schema))
+    good = items.drop("error").join(failed.select("source_id"), "source_id", "left_anti").withColumn("_kind", F.schema_of_variant("_item"))
+    objects = good.filter(F.col("_kind").startswith("OBJECT"))
     values = F.try_variant_get("_item", "$", "map<string,variant>")
     cells = F.map_from_entries(
         F.transform(
@@ -283,7 +235,7 @@ def read_json_array(spark: SparkSession, paths: str | list[str], raw_line_column
         )
     )
     records = normalize_rows(objects.withColumn("_values", values).withColumn("_row", cells), "_row", raw_line_column, PLACE)
-    scalars = exploded.filter(~F.col("_kind").startswith("OBJECT"))
+    scalars = good.filter(~F.col("_kind").startswith("OBJECT"))
     plain = plain_records(scalars, F.coalesce(variant_text(F.col("_item")), F.lit("")), PLACE)
     broken = failed.select(
         "source_id",

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logweir.functions.records import accepted, rejected, rendered
-from logweir.sources import files
+from logweir.sources import files, splits
 from logweir.sources.formats import UnsupportedFormat, detect_format
 from logweir.sources.query import UnreadableQuery, preview, read_query
 
@@ -183,3 +187,114 @@ def test_csv_headers_of_any_width_and_files_without_one(spark, tmp_path):
     assert rows["wide.csv"].raw_line == "the line" and len(rows["wide.csv"].attrs) == 2_500
     assert rows["small.csv"].raw_line == "hello" and rows["small.csv"].reject_reason is None
     assert rows["blank.csv"].reject_reason == rows["none.csv"].reject_reason == "no header line"
+
+
+@settings(max_examples=600, deadline=None)
+@given(lines=st.lists(st.text(alphabet='a",; ', max_size=8), min_size=1, max_size=6), skip_space=st.booleans())
+def test_csv_states_are_those_of_the_csv_module(lines, skip_space):
+    """A line begins inside a cell where the csv module has not ended the record of the lines before."""
+    form = splits.CsvLines(",", '"', skip_space)
+    step, state, begins = form.stepper(), 0, []
+    for at, line in enumerate(lines):
+        if not state:
+            begins.append(at)
+        state = step(line, state)
+    reader = csv.reader((line + "\n" for line in lines), skipinitialspace=skip_space)
+    ends = [0] + [reader.line_num for _ in reader]
+    assert begins == ends[:-1]
+    for cut in range(len(lines) + 1):
+        told = form.applied(form.effect(lines[cut:]), form.applied(form.effect(lines[:cut]), form.start))
+        assert told == (state,)
+
+
+JSON_PARTS = st.lists(st.sampled_from(['"', "[", "]", "{", "}", ",", "a", " ", '"x,]"', '\\"', ":"]), max_size=24).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(text=JSON_PARTS, cuts=st.sets(st.integers(1, 12), max_size=3))
+def test_json_effects_compose_to_the_state_of_a_plain_reading(text, cuts):
+    form = splits.JsonItems()
+    lines = text.split(",")
+    where, inside, depth = form.start
+    for line in lines:
+        inside, found = form.brackets(line, inside)
+        for _, kind in found:
+            if where == splits.BEFORE and kind == 2:
+                where, depth = splits.WITHIN, 1
+            elif where == splits.WITHIN:
+                depth += -1 if kind < 0 else 1
+                where, depth = (splits.BEYOND, 0) if depth == 0 else (where, depth)
+    want = (where, 0, 0) if where == splits.BEYOND else (where, inside, depth)
+    bounds = [0, *sorted(cut for cut in cuts if cut < len(lines)), len(lines)]
+    state = form.start
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        state = form.applied(form.effect(lines[start:end]), state)
+    assert state == want
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files above a few hundred bytes are split."""
+    sizes = {"spark.sql.files.maxPartitionBytes": "2000b", "spark.sql.files.openCostInBytes": "1b"}
+    old = {name: spark.conf.get(name) for name in sizes}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+def splits_read(spark, path: str) -> int:
+    return splits.lines_of(spark, path).select("source_id", "block").distinct().count()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_csv_file_over_many_splits(spark, tmp_path, small_splits, seed):
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice('ab,"\n é') for _ in range(draw.choice([1, 3, 30, 30, 200])))
+    body = [[f"t{n}", word(), word()] for n in range(80)] + [["t80", "x" * 3_000 + '"\n,' + "y" * 3_000, "long"]] + [[f"t{n}", "z", word()] for n in range(81, 100)]
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as out:
+        csv.writer(out, lineterminator="\n").writerows([["timestamp", "raw_line", "other"], *body])
+    assert splits_read(spark, str(tmp_path)) > 4
+    found = rows(files.read_csv_logs(spark, str(tmp_path)))
+    assert [row.timestamp for row in found] == [row[0] for row in body]
+    for row, (_, line, other) in zip(found, body):
+        assert row.raw_line == (line.strip() or f"{row.timestamp} {other.strip()}".strip())
+        assert row.attrs.get("other", "") == other.strip()
+
+
+def test_a_csv_file_that_ends_inside_a_cell(spark, tmp_path, small_splits):
+    lines = [f"t{n},line {n}" for n in range(300)] + ['t300,"never closed', *[f"more {n}" for n in range(100)]]
+    path = write(tmp_path, "a.csv", "timestamp,raw_line\n" + "\n".join(lines) + "\n")
+    found = rows(files.read_csv_logs(spark, path))
+    assert len(found) == 301
+    assert found[-1].raw_line == "\n".join(["never closed", *[f"more {n}" for n in range(100)]])
+
+
+@pytest.mark.parametrize(("seed", "indent"), [(1, None), (2, 2)])
+def test_one_json_file_over_many_splits(spark, tmp_path, small_splits, seed, indent):
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice('ab,"\\[]{} é') for _ in range(draw.choice([1, 3, 30, 30, 200])))
+    items = [{"timestamp": f"t{n}", "raw_line": f"{n} {word()}|", "deep": {"a": [n, word()]}} for n in range(60)]
+    items += [{"timestamp": "t60", "raw_line": "x" * 3_000 + ',"],' + "y" * 3_000}, "plain, text", 7, [1, 2]]
+    path = write(tmp_path, "a.json", json.dumps({"SELECT [1]": "no, [", "rows": items, "other": [word()] * 50}, indent=indent))
+    assert splits.lines_of(spark, path, ",").select("block").distinct().count() > 4
+    found = rows(files.read_json_array(spark, path))
+    want = [(item["timestamp"], item["raw_line"]) for item in items if isinstance(item, dict)] + [("", "plain, text"), ("", "7"), ("", "[1,2]")]
+    assert [(row.timestamp, row.raw_line) for row in sorted(found, key=lambda row: (row.block, row.line))] == want
+
+
+@pytest.mark.parametrize("end", ["", ', {"a": }]', ']'])
+def test_a_large_json_file_is_taken_whole_or_not(spark, tmp_path, small_splits, end):
+    path = write(tmp_path, "a.json", '{"rows": [' + ", ".join(f'{{"raw_line": "line {n}"}}' for n in range(200)) + end)
+    records = files.read_json_array(spark, path)
+    good = 200 if end == "]" else 0
+    assert (accepted(records).count(), rejected(records).count()) == (good, 0 if good else 1)
+
+
+def test_empty_json_files_and_arrays(spark, tmp_path):
+    write(tmp_path, "none.json", "")
+    write(tmp_path, "array.json", " [ ] ")
+    write(tmp_path, "text.json", '"[1]"')
+    reasons = {row.source_id.rsplit("/", 1)[1]: row.reject_reason for row in files.read_json_array(spark, str(tmp_path)).collect()}
+    assert reasons == {"none.json": "no array in the JSON text", "text.json": "no array in the JSON text"}

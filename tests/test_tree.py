@@ -263,3 +263,70 @@ def test_given_schemas_keep_the_order_of_their_keys(spark):
     assert row.json_schema == (
         '{"properties": {"a": {"type": "string"}}, "type": "object", "required": ["a"], "additionalProperties": false}'
     )
+
+
+SHAPES = [
+    # A nested example: names are trimmed, empty ones dropped, lists go by their first item, empty ones are of texts.
+    (
+        {" a ": {"b": [{"c": "Integer - how many"}], "d": []}, " ": 1, "e": [[True]], "f": None, "g": "stringy", "h": 1.5},
+        {
+            "a": {
+                "b": {"type": "array", "items": {"c": {"type": "integer", "description": "how many"}}},
+                "d": {"type": "array", "items": {"type": "string"}},
+            },
+            "e": {"type": "array", "items": {"type": "array", "items": {"type": "boolean"}}},
+            "f": {"type": "string"},
+            "g": {"type": "string", "description": "y"},
+            "h": {"type": "number"},
+        },
+    ),
+]
+
+
+def strict(shape):
+    """Objects of a shape written out with all that is filled in."""
+    if isinstance(shape, dict) and not isinstance(shape.get("type"), str):
+        inner = {key: strict(value) for key, value in shape.items()}
+        return {"type": "object", "properties": inner, "required": list(inner), "additionalProperties": False}
+    return {**shape, "items": strict(shape["items"])} if "items" in shape else shape
+
+
+@pytest.mark.parametrize(
+    ("example", "wanted"),
+    [(example, json.dumps(strict(shape))) for example, shape in SHAPES]
+    + [
+        # What a schema gives stays as it is and where it is.
+        (
+            {"$schema": "x", "title": 'a "b": c, d', "properties": {"p": {"type": "array", "minItems": 1}, " ": 1, "q": ["boolean: yes"]}, "required": ["p"], "z": [1, {"y": None}]},
+            '{"title": "a \\"b\\": c, d", "properties": {"p": {"type": "array", "minItems": 1, "items": {"type": "string"}}, '
+            '"q": {"type": "array", "items": {"type": "boolean", "description": "yes"}}}, "required": ["p"], "z": [1, {"y": null}], "type": "object", "additionalProperties": false}',
+        ),
+        ({"type": "string", "enum": ["a", "b"]}, '{"type": "object", "properties": {"value": {"type": "string", "enum": ["a", "b"]}}, "required": ["value"], "additionalProperties": false}'),
+        ({"$schema": "x"}, '{"type": "object", "additionalProperties": false}'),
+        ({"type": "object"}, '{"type": "object", "additionalProperties": false}'),
+        ({"properties": 3}, '{"properties": 3, "type": "object", "additionalProperties": false}'),
+        (
+            {"type": "array", "items": {"k": "v"}, "x": 1},
+            json.dumps({"type": "object", "properties": {"value": {"type": "array", "items": strict({"k": {"type": "string", "description": "v"}}), "x": 1}}, "required": ["value"], "additionalProperties": False}),
+        ),
+        ({"type": "object", "properties": {"p": {"type": "integer"}, "q": {"properties": {}}, "r": {"$schema": "only"}}}, None),
+    ],
+)
+def test_schemas_of_nested_examples(spark, example, wanted):
+    if wanted is None:
+        wanted = (
+            '{"type": "object", "properties": {"p": {"type": "integer"}, "q": {"properties": {}, "type": "object", "required": [], "additionalProperties": false}, '
+            '"r": {}}, "required": ["p", "q", "r"], "additionalProperties": false}'
+        )
+    df = spark.createDataFrame([(json.dumps(example),)] * 2 + [("[1]",), ("{}",)], "e string")
+    found = [row.json_schema for row in schema_of_examples(df, "e").collect()]
+    assert sorted(filter(None, found)) == [wanted] * 2 and len(found) == 4
+
+
+def test_schemas_of_deep_examples(spark):
+    deep, wanted = "integer", {"type": "integer"}
+    for _ in range(12):
+        deep, wanted = {"k": [deep]}, strict({"k": {"type": "array", "items": wanted}}) if "properties" not in wanted else {
+            "type": "object", "properties": {"k": {"type": "array", "items": wanted}}, "required": ["k"], "additionalProperties": False
+        }
+    assert schema_of_examples(spark.createDataFrame([(json.dumps(deep),)], "e string"), "e").first().json_schema == json.dumps(wanted)
