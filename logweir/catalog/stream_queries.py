@@ -102,13 +102,28 @@ def st4(t: Tables):
 )
 def st5(t: Tables):
     folder = work_folder(t)
-    stream = events_stream(t, ARTIFACTS)
-    writer = results.stream_discard_late(stream, lambda: t.job_events, lambda: t.node_events, f"{folder}/judged")
+    finish(state.stream_current_state(events_stream(t, JOB_EVENTS), f"{folder}/jobs"), folder)
+    nodes = state.stream_current_state(events_stream(t, NODE_EVENTS), f"{folder}/nodes", state.NODE_KEYS, state.NODE_VALUES)
+    finish(nodes, folder)
+    writer = results.stream_discard_late_by_state(events_stream(t, ARTIFACTS), f"{folder}/jobs", f"{folder}/nodes", f"{folder}/judged")
     finish(writer, folder)
     judged = t.spark.read.option("basePath", f"{folder}/judged").parquet(f"{folder}/judged")
     return judged.select("artifact_id", "job_status", "node_status", "discard_reason")
 
 
+@query(
+    "st4_stream_changed",
+    "job_events",
+    """, hashed AS (SELECT *, sha256(job_status) AS snapshot_hash,
+        lag(sha256(job_status)) OVER (PARTITION BY job_id ORDER BY event_time, event_id) AS previous_hash FROM job_events)
+    SELECT * FROM hashed WHERE previous_hash IS NULL OR previous_hash <> snapshot_hash""",
+)
+def st4_changed(t: Tables):
+    folder = work_folder(t)
+    finish(results.stream_changed(events_stream(t, JOB_EVENTS), folder, "job_id", ["event_time", "event_id"], "job_status"), folder)
+    return results.read_changed(t.spark, folder)
+
+
 @query(
     "st6_stream_ingest",
     "",

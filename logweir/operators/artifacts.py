@@ -53,8 +53,13 @@ def judge_results(
     results: DataFrame, job_events: DataFrame, node_events: DataFrame, expected_status: str = "RUNNING"
 ) -> DataFrame:
     """Results with a ``discard_reason``; null where the result may be stored."""
-    jobs = job_current(job_events).select("job_id", "job_status")
-    nodes = node_current(node_events).select("job_id", "node_id", "node_status")
+    return judge_by_state(results, job_current(job_events), node_current(node_events), expected_status)
+
+
+def judge_by_state(results: DataFrame, job_state: DataFrame, node_state: DataFrame, expected_status: str = "RUNNING") -> DataFrame:
+    """:func:`judge_results` where the current state of jobs and nodes is at hand."""
+    jobs = job_state.select("job_id", "job_status")
+    nodes = node_state.select("job_id", "node_id", "node_status")
     reason = (
         F.when(F.col("job_status").isNull(), "job_missing")
         .when(F.col("job_status").isin(DISCARD_STATUSES), "job_not_runnable")

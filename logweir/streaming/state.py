@@ -1,10 +1,12 @@
 """Current state that follows the event logs.
 
-Each micro-batch is first reduced to one partial row per key (newest row, last time,
-number of events) and written as its own ``batch_id`` folder. Partials merge with the
-same aggregate, so reading them all gives the current state. Nothing is kept in a
-streaming state store, a replayed batch overwrites its own folder, and a hot job
-costs one row per batch.
+Each micro-batch is reduced to one partial row per key (newest row, last time, number of
+events) and merged with the partials of the keys that are still open. What comes out is one
+snapshot of open keys; a key whose newest status is an end leaves it and is written once
+to the closed rows. So a batch reads and writes the open keys only, however long the log
+is, and the snapshot shrinks as jobs end. Partials merge with the same aggregate: an event after
+the end opens the key anew, and a read merges its partials. A replayed batch
+overwrites its own folder, and a hot job is one row.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from logweir.operators.jobs import one_shape
+from logweir.operators.jobs import TERMINAL_STATUSES, one_shape
+from logweir.streaming import kept
+from logweir.streaming.kept import BATCH
 
-BATCH = "batch_id"
+CLOSED = "closed"
+OPEN_PART = f"/{CLOSED}=false"
 
 JOB_KEYS = ["job_id"]
 JOB_VALUES = ["job_status", "event_type"]
@@ -45,27 +50,45 @@ def merge_partials(partials: DataFrame, keys: Sequence[str], values: Sequence[st
     )
 
 
-def _write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={batch_id}")
+def ended(values: Sequence[str]):
+    """Whether the newest status of a key is an end."""
+    status = next(name for name in values if name.endswith("_status"))
+    return F.coalesce(F.upper(F.trim(F.col(status))).isin(TERMINAL_STATUSES), F.lit(False))
 
 
 def stream_current_state(
     events: DataFrame, folder: str, keys: Sequence[str] = JOB_KEYS, values: Sequence[str] = JOB_VALUES
 ) -> DataStreamWriter:
-    """A writer that keeps the partial states of a streaming event log in ``folder``."""
+    """A writer that keeps the state of a streaming event log in ``folder``."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(partial_state(batch, keys, values), folder, batch_id)
+        spark = batch.sparkSession
+        rows = partial_state(batch, keys, values)
+        before = kept.before(spark, folder, batch_id, OPEN_PART)
+        if before is not None:
+            rows = merge_partials(rows.unionByName(before), keys, values)
+        kept.write(rows.withColumn(CLOSED, ended(values)), folder, batch_id, CLOSED)
+        kept.forget(spark, folder, batch_id, OPEN_PART)
 
     return events.writeStream.foreachBatch(store)
 
 
+def read_partials(spark: SparkSession, folder: str, keys: Sequence[str], only: DataFrame | None = None) -> DataFrame:
+    """The open rows of the last snapshot and all closed rows, of the keys of ``only`` if given."""
+    stored = spark.read.option("basePath", folder).parquet(folder)
+    rows = stored.where(F.col(CLOSED).cast("boolean") | (F.col(BATCH) == kept.last_finished(spark, folder)))
+    return rows if only is None else rows.join(only.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def read_current_state(
-    spark: SparkSession, folder: str, keys: Sequence[str] = JOB_KEYS, values: Sequence[str] = JOB_VALUES
+    spark: SparkSession,
+    folder: str,
+    keys: Sequence[str] = JOB_KEYS,
+    values: Sequence[str] = JOB_VALUES,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Current state from the partials, in the shape of the batch read models."""
-    partials = spark.read.option("basePath", folder).parquet(folder)
-    merged = merge_partials(partials, keys, values)
+    merged = merge_partials(read_partials(spark, folder, keys, only), keys, values)
     shown = [name for name in values if name != "event_type"]
     return merged.select(
         *keys,
@@ -79,13 +102,12 @@ def read_current_state(
 def compact_state(
     spark: SparkSession, folder: str, target: str, keys: Sequence[str] = JOB_KEYS, values: Sequence[str] = JOB_VALUES
 ) -> None:
-    """Fold all partials of a stopped stream into one under ``target``.
+    """Fold all partials of a stopped stream into one snapshot under ``target``.
 
-    Batch numbers start at 0, so the folded partial takes number -1 and the stream can
-    go on writing to ``target``.
+    Batch numbers start at 0, so it takes number -1 and the stream can go on writing to ``target``.
     """
-    partials = spark.read.option("basePath", folder).parquet(folder).drop(BATCH)
-    _write_batch(merge_partials(partials, keys, values), target, -1)
+    merged = merge_partials(read_partials(spark, folder, keys).drop(BATCH, CLOSED), keys, values)
+    kept.write(merged.withColumn(CLOSED, ended(values)), target, -1, CLOSED)
 
 
 def stream_recent_events(job_events: DataFrame, node_events: DataFrame, folder: str, limit: int = 200) -> DataStreamWriter:
@@ -98,25 +120,16 @@ def stream_recent_events(job_events: DataFrame, node_events: DataFrame, folder:
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch
-        before = _latest_batch(spark, folder, batch_id)
+        before = kept.before(spark, folder, batch_id)
         if before is not None:
             rows = rows.unionByName(before)
         newest = rows.orderBy(F.desc("event_time"), F.desc("event_id"), F.desc("scope")).limit(limit)
-        _write_batch(newest, folder, batch_id)
+        kept.write(newest, folder, batch_id)
+        kept.forget(spark, folder, batch_id)
 
     return both.writeStream.foreachBatch(store)
 
 
-def _latest_batch(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
-    path = f"{folder}/{BATCH}={before - 1}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.parquet(path) if exists else None
-
-
 def read_recent_events(spark: SparkSession, folder: str) -> DataFrame:
     """The rows the last finished batch left."""
-    stored = spark.read.option("basePath", folder).parquet(folder)
-    last = stored.agg(F.max(BATCH).alias(BATCH))
-    return stored.join(F.broadcast(last), BATCH).drop(BATCH)
-
+    return spark.read.parquet(f"{folder}/{BATCH}={kept.last_finished(spark, folder)}")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.operators import jobs, nodes
-from logweir.streaming import ingest, results, stale, state
+from logweir.streaming import ingest, kept, results, stale, state
 
 START = datetime(2024, 1, 1)
 JOB_FIELDS = "event_id string, job_id string, event_time timestamp, event_type string, job_status string, actor string, message string, payload string"
@@ -56,6 +56,81 @@ def test_current_state_equals_the_batch_read(spark, logs):
     same(state.read_current_state(spark, str(logs / "compacted")), expected)
 
 
+def test_state_holds_open_jobs_only_and_replays_to_the_same(spark, tmp_path):
+    def batch(rows):
+        return spark.createDataFrame([(f"{i:03}", job, START + timedelta(seconds=i), "E", status, "a", "", "{}") for i, job, status in rows], JOB_FIELDS)
+
+    batches = [
+        [(1, "a", "RUNNING"), (2, "b", "RUNNING"), (3, "c", "RUNNING")],
+        [(4, "a", "DONE"), (5, "b", "PAUSED")],
+        [(6, "c", "FAILED"), (7, "b", "CANCELLED")],
+        # An event after the end, and one that came late.
+        [(8, "a", "RUNNING"), (0, "c", "CREATED")],
+    ]
+    out, seen, sizes = str(tmp_path / "state"), [], []
+    states = {}
+    for number, rows in enumerate(batches):
+        seen += rows
+        for _ in range(2):
+            # The second time is a replay of the same batch.
+            state.stream_current_state(stream_of(batch(rows), number, states), out)
+            states[number]()
+            same(state.read_current_state(spark, out), jobs.job_current(batch(seen)))
+        left = kept.before(spark, out, number + 1, state.OPEN_PART)
+        sizes.append(left.count() if left is not None else 0)
+    # The fourth batch opens "a" anew; a late event of "c" is one of a job that is not over yet, as far as it tells.
+    assert sizes == [3, 2, 0, 2]
+    assert sorted(name for name in kept.names(spark, out) if "=" in name and kept.exists(spark, f"{out}/{name}{state.OPEN_PART}")) == ["batch_id=3"]
+
+
+class stream_of:
+    """Stands for a stream of one batch: what is given to ``foreachBatch`` is kept to be called."""
+
+    def __init__(self, batch, number, calls):
+        self.batch, self.number, self.calls, self.writeStream = batch, number, calls, self
+
+    def foreachBatch(self, store):
+        self.calls[self.number] = lambda: store(self.batch, self.number)
+
+
+def test_changed_snapshots_over_batches(spark, tmp_path):
+    fields = "job_id string, at long, content string"
+    batches = [
+        [("j", 1, "A"), ("j", 2, "A"), ("k", 1, "A")],
+        [("j", 3, "B"), ("j", 4, "A"), ("k", 2, "A"), ("j", 2, "late")],
+        [("j", 5, "A"), ("k", 3, "B"), (None, 1, "A")],
+        [("j", 6, None), ("j", 7, None), (None, 2, "A")],
+    ]
+    calls = {}
+    for number, rows in enumerate(batches):
+        results.stream_changed(stream_of(spark.createDataFrame(rows, fields), number, calls), str(tmp_path), "job_id", ["at"], "content")
+        for _ in range(2):
+            calls[number]()
+    found = sorted((row.job_id or "", row.at, row.content or "") for row in results.read_changed(spark, str(tmp_path)).collect())
+    assert [row for row in found if row[0] == "j"][:3] == [("j", 1, "A"), ("j", 3, "B"), ("j", 4, "A")]
+    assert [row for row in found if row[0] == "k"] == [("k", 1, "A"), ("k", 3, "B")]
+
+
+def test_results_are_judged_by_the_kept_states(spark, tmp_path):
+    def event(i, job, status):
+        return (f"{i}", job, START + timedelta(seconds=i), "E", status, "a", "", "{}")
+
+    calls = {}
+    job_events = spark.createDataFrame([event(1, "go", "RUNNING"), event(2, "stop", "RUNNING"), event(3, "stop", "CANCELLED")], JOB_FIELDS)
+    node_rows = [("1", job, node, START, "E", status, "MAP", 0, 0, 0, "a", "", "{}") for job, node, status in [("go", "n1", "RUNNING"), ("go", "n2", "DONE"), ("stop", "n1", "RUNNING")]]
+    node_events = spark.createDataFrame(node_rows, NODE_FIELDS)
+    state.stream_current_state(stream_of(job_events, 0, calls), str(tmp_path / "jobs"))
+    calls[0]()
+    state.stream_current_state(stream_of(node_events, 0, calls), str(tmp_path / "nodes"), state.NODE_KEYS, state.NODE_VALUES)
+    calls[0]()
+    given = spark.createDataFrame([("go", "n1", "a"), ("go", "n2", "b"), ("go", "n9", "c"), ("stop", "n1", "d"), ("none", "n1", "e")], "job_id string, node_id string, content string")
+    results.stream_discard_late_by_state(stream_of(given, 0, calls), str(tmp_path / "jobs"), str(tmp_path / "nodes"), str(tmp_path / "out"))
+    calls[0]()
+    assert {(row.content, row.discard_reason) for row in spark.read.parquet(str(tmp_path / "out")).collect()} == {
+        ("a", None), ("b", "node_status_changed"), ("c", "node_missing"), ("d", "job_not_runnable"), ("e", "job_missing"),
+    }
+
+
 def test_node_state_equals_the_batch_read(spark, logs):
     out = str(logs / "node-state")
     source = stream(spark, logs / "nodes", NODE_FIELDS)
