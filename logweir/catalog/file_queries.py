@@ -97,8 +97,10 @@ def k1(t: Tables):
 
     folder = work_folder(t)
     events = t.job_events.withColumn("payload", F.from_json("payload", "map<string,string>")).drop("event_id")
-    append_events(events, folder, "job_events")
-    append_events(t.node_events, folder, "node_events")
+    for _ in range(2):
+        # The second time is a replay.
+        append_events(events, folder, "job_events", commit="first")
+        append_events(t.node_events, folder, "node_events", commit="first")
     jobs = t.spark.read.parquet(f"{folder}/job_events").select(F.lit("job").alias("kind"), "job_id", F.lit("").alias("node_id"), "event_type", "payload", "event_id")
     nodes = t.spark.read.parquet(f"{folder}/node_events").select(F.lit("node").alias("kind"), "job_id", "node_id", "event_type", "payload", "event_id")
     keys = ["kind", "job_id", "node_id", "event_type", "payload"]
@@ -114,7 +116,8 @@ def k3(t: Tables):
     from logweir.sources.sinks import append_segments
 
     folder = work_folder(t)
-    append_segments(t.segments.drop("created_at"), folder, F.lit("2024-01-01").cast("timestamp"))
+    for _ in range(2):
+        append_segments(t.segments.drop("created_at"), folder, F.lit("2024-01-01").cast("timestamp"), commit="first")
     written = t.spark.read.parquet(f"{folder}/input_segments")
     return written.groupBy("job_id", "segment_index", "content_hash").agg(F.count("*").alias("copies"))
 
@@ -125,5 +128,6 @@ def k5(t: Tables):
 
     folder = work_folder(t)
     append_snapshots(t.runs.filter("status = 'DONE'"), folder, "run")
-    append_snapshots(t.runs.filter("status <> 'DONE'"), folder, "run")
+    for _ in range(2):
+        append_snapshots(t.runs.filter("status <> 'DONE'"), folder, "run", commit="second")
     return t.spark.read.parquet(f"{folder}/monitoring_runs").select("run_id", "snapshot_id", "status")

@@ -283,13 +283,19 @@ def c1(t: Tables):
     "SELECT doc_id, sha256(text) AS content_hash, length(text) AS chars FROM documents",
 )
 def k2(t: Tables):
-    from logweir.sources.sinks import artifact_rows
+    from logweir.catalog.file_queries import work_folder
+    from logweir.sources.commits import read_table
+    from logweir.sources.sinks import append_artifacts
 
     docs = t.read("documents").select(
         "doc_id", F.lit("j").alias("job_id"), F.lit("n").alias("node_id"), F.lit("CHUNK").alias("artifact_type"),
         F.lit("CHUNK").alias("stage"), F.lit(0).alias("level"), F.col("text").alias("content"), F.lit("{}").alias("metadata"),
     )
-    rows = artifact_rows(docs, F.lit("2024-01-01").cast("timestamp"), "doc_id")
+    folder = work_folder(t)
+    for _ in range(2):
+        # The second time is a replay.
+        append_artifacts(docs, folder, F.lit("2024-01-01").cast("timestamp"), "doc_id", commit="first")
+    rows = read_table(t.spark, folder, "artifacts")
     return rows.select("doc_id", "content_hash", F.length("content").cast("long").alias("chars"))
 
 
@@ -299,13 +305,19 @@ def k2(t: Tables):
     """SELECT event_id, sha256(props) AS request_hash, CASE WHEN event_type = 'error' THEN '' ELSE sha256(event_type) END AS response_hash FROM events""",
 )
 def k4(t: Tables):
-    from logweir.sources.sinks import llm_call_rows
+    from logweir.catalog.file_queries import work_folder
+    from logweir.sources.commits import read_table
+    from logweir.sources.sinks import append_llm_calls
 
-    events = t.read("events").select(
-        "event_id", F.col("props").alias("request_json"),
+    calls = t.read("events").select(
+        "event_id", F.lit("j").alias("job_id"), F.lit("n").alias("node_id"), F.col("ts").alias("created_at"),
+        F.col("event_id").cast("string").alias("call_id"), F.col("props").alias("request_json"),
         F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("response_json"),
     )
-    return llm_call_rows(events).select("event_id", "request_hash", "response_hash")
+    folder = work_folder(t)
+    for _ in range(2):
+        append_llm_calls(calls, folder, commit="first")
+    return read_table(t.spark, folder, "llm_calls").select("event_id", "request_hash", "response_hash")
 
 
 @query(

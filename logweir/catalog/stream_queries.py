@@ -12,6 +12,7 @@ from logweir.catalog.file_queries import work_folder, write_lines
 from logweir.catalog.fixtures import ARTIFACTS, JOB_EVENTS, NODE_EVENTS, Tables
 from logweir.catalog.registry import query
 from logweir.operators.nodes import Timeouts
+from logweir.sources import commits
 from logweir.streaming import ingest, results, stale, state
 
 
@@ -124,19 +125,50 @@ def st4_changed(t: Tables):
     return results.read_changed(t.spark, folder)
 
 
+def ingested(t: Tables) -> str:
+    """Files of the events, one kind each, brought in by a stream; the folder of its tables is ``tables``."""
+    folder = work_folder(t)
+    lines = t.read("events").select(F.col("event_type").alias("kind"), F.concat_ws(" ", "event_type", "props").alias("value"))
+    write_lines(lines, f"{folder}/staged", "kind")
+    finish(ingest.stream_ingest(t.spark, f"{folder}/staged/*/*.txt", f"{folder}/tables", budget=256), folder)
+    return folder
+
+
 @query(
     "st6_stream_ingest",
     "",
     """SELECT event_type AS kind, count(*) AS rows_count, CAST(sum(length(event_type || ' ' || props)) AS BIGINT) AS text_chars FROM events GROUP BY event_type""",
 )
 def st6(t: Tables):
-    folder = work_folder(t)
-    lines = t.read("events").select(F.col("event_type").alias("kind"), F.concat_ws(" ", "event_type", "props").alias("value"))
-    write_lines(lines, f"{folder}/staged", "kind")
-    finish(ingest.stream_ingest(t.spark, f"{folder}/staged/*/*.txt", f"{folder}/tables", budget=256), folder)
+    folder = ingested(t)
     segments = t.spark.read.parquet(f"{folder}/tables/input_segments")
     kind = F.substring_index("content", " ", 1)
     return segments.groupBy(kind.alias("kind")).agg(
         F.sum("rows_count").alias("rows_count"),
         (F.sum("chars") - F.sum(F.col("rows_count") - 1)).alias("text_chars"),
     )
+
+
+@query(
+    "st6_ingest_progress",
+    "",
+    """SELECT event_type AS kind, count(*) AS rows_seen, true AS all_inserted, true AS in_order FROM events GROUP BY event_type""",
+)
+def st6_progress(t: Tables):
+    """The last progress of each ingest against the rows of its file, after the batch has been replayed."""
+    folder = ingested(t)
+    root = f"{folder}/tables"
+    again = t.spark.read.format("binaryFile").load(f"{folder}/staged/*/*.txt").select("path")
+    ingest.ingest_batch(again.withColumn("job_id", F.concat(F.lit("job_"), F.substring(F.sha2("path", 256), 1, 32))), root, 256)
+    events, segments = commits.read_table(t.spark, root, "job_events"), commits.read_table(t.spark, root, "input_segments")
+    told = F.from_json("payload", "segments_seen long, rows_seen long, inserted_segments long")
+    steps = events.where("event_type = 'INPUT_INGEST_PROGRESS'").select("job_id", "event_time", told.alias("p"))
+    last = steps.groupBy("job_id").agg(
+        F.max("p.rows_seen").alias("rows_seen"), F.max("p.inserted_segments").alias("inserted"),
+        (F.max_by("p.rows_seen", "event_time") == F.max("p.rows_seen")).alias("in_order"),
+    )
+    kinds = segments.groupBy("job_id").agg(F.min(F.substring_index("content", " ", 1)).alias("kind"), F.count("*").alias("segments"))
+    joined = last.join(kinds, "job_id")
+    return joined.groupBy("kind").agg(
+        F.sum("rows_seen").alias("rows_seen"), F.bool_and(F.col("inserted") == F.col("segments")).alias("all_inserted"), F.bool_and("in_order").alias("in_order")
+    )

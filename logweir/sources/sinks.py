@@ -1,7 +1,8 @@
 """Appending to the state tables.
 
 Events, artifacts and snapshots are only ever appended. A table folder is Parquet,
-rows sorted by its key inside each file, so that row-group statistics can skip.
+rows sorted by its key inside each file, so that row-group statistics can skip. An append with
+a ``commit`` key can be done again without adding anything (:mod:`logweir.sources.commits`).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions.ids import content_hash, hash_or_empty
 from logweir.functions.scalars import sorted_json
+from logweir.sources import commits
 
 # Sort keys and version columns of the state tables.
 SORT_KEYS = {
@@ -25,16 +27,16 @@ SORT_KEYS = {
 }
 
 
-def append(df: DataFrame, root: str, table: str) -> None:
+def append(df: DataFrame, root: str, table: str, commit: str | None = None) -> None:
     """Append rows to a state table under ``root``."""
-    df.sortWithinPartitions(*SORT_KEYS[table]).write.mode("append").parquet(f"{root}/{table}")
+    commits.put(df, root, table, SORT_KEYS[table], commit)
 
 
 def _row_hash(*columns: str | Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 32)
 
 
-def append_events(events: DataFrame, root: str, table: str) -> None:
+def append_events(events: DataFrame, root: str, table: str, commit: str | None = None) -> None:
     """Append job or node events; a map payload becomes JSON with sorted keys.
 
     Without an ``event_id`` one is derived from the row, so a replay writes the same id.
@@ -45,7 +47,7 @@ def append_events(events: DataFrame, root: str, table: str) -> None:
     events = events.withColumn("payload", F.coalesce("payload", F.lit("{}")))
     if "event_id" not in events.columns:
         events = events.withColumn("event_id", _row_hash(*events.columns))
-    append(events, root, table)
+    append(events, root, table, commit)
 
 
 def artifact_rows(artifacts: DataFrame, created_at: Column, *keep: str) -> DataFrame:
@@ -58,17 +60,17 @@ def artifact_rows(artifacts: DataFrame, created_at: Column, *keep: str) -> DataF
     )
 
 
-def append_artifacts(artifacts: DataFrame, root: str, created_at: Column) -> None:
-    append(artifact_rows(artifacts, created_at), root, "artifacts")
+def append_artifacts(artifacts: DataFrame, root: str, created_at: Column, *keep: str, commit: str | None = None) -> None:
+    append(artifact_rows(artifacts, created_at, *keep), root, "artifacts", commit)
 
 
-def append_segments(segments: DataFrame, root: str, created_at: Column) -> dict[str, int]:
+def append_segments(segments: DataFrame, root: str, created_at: Column, commit: str | None = None) -> dict[str, int]:
     """Append segments and return how many segments and rows were written."""
     totals = Observation("segments")
     rows = segments.withColumn("created_at", created_at).observe(
         totals, F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("rows_count"), F.lit(0)).alias("rows")
     )
-    append(rows, root, "input_segments")
+    append(rows, root, "input_segments", commit)
     return dict(totals.get)
 
 
@@ -82,15 +84,15 @@ def llm_call_rows(calls: DataFrame) -> DataFrame:
     )
 
 
-def append_llm_calls(calls: DataFrame, root: str) -> None:
-    append(llm_call_rows(calls), root, "llm_calls")
+def append_llm_calls(calls: DataFrame, root: str, commit: str | None = None) -> None:
+    append(llm_call_rows(calls), root, "llm_calls", commit)
 
 
 SNAPSHOT_TABLES = {"profile": "monitoring_profiles", "schedule": "monitoring_schedules", "run": "monitoring_runs"}
 
 
-def append_snapshots(snapshots: DataFrame, root: str, kind: str) -> None:
+def append_snapshots(snapshots: DataFrame, root: str, kind: str, commit: str | None = None) -> None:
     """Append new versions of profiles, schedules or runs."""
     if "snapshot_id" not in snapshots.columns:
         snapshots = snapshots.withColumn("snapshot_id", _row_hash(*snapshots.columns))
-    append(snapshots, root, SNAPSHOT_TABLES[kind])
+    append(snapshots, root, SNAPSHOT_TABLES[kind], commit)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.operators import jobs, nodes
+from logweir.sources import commits
 from logweir.streaming import ingest, kept, results, stale, state
 
 START = datetime(2024, 1, 1)
@@ -226,6 +227,7 @@ def test_ingest_of_arriving_files(spark, tmp_path):
         segments = spark.read.parquet(f"{root}/input_segments")
         assert segments.agg(F.sum("rows_count")).first()[0] == 70
         assert segments.select("job_id", "segment_index").distinct().count() == segments.count()
+        assert commits.read_table(spark, root, "input_segments").count() == segments.count()
         state_of = {row.last_event_type for row in jobs.job_current(spark.read.parquet(f"{root}/job_events")).collect()}
         assert state_of == {"INPUT_READY", "JOB_FAILED"}
         text = "\n".join(row.content for row in segments.filter("source_format = 'plain_text'").orderBy("segment_index").collect())
@@ -239,3 +241,55 @@ def test_ingest_of_arriving_files(spark, tmp_path):
         "job_id", F.concat(F.lit("job_"), F.substring(F.sha2("path", 256), 1, 32))), root, 256)
     check()
     assert before == {table: spark.read.parquet(f"{root}/{table}").count() for table in tables}
+
+
+def test_an_ingest_that_stops_between_two_tables_is_not_seen_and_replays_whole(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "staged"
+    folder.mkdir()
+    (folder / "a.log").write_text("".join(f"line {i} {'x' * 60}\n" for i in range(40)))
+    (folder / "b.json").write_text('[{"raw_line": "one"}, {}]')
+    (folder / "c.log").write_text("\n")
+    files = spark.read.format("binaryFile").load(str(folder)).select("path")
+    files = files.withColumn("job_id", F.concat(F.lit("job_"), F.substring(F.sha2("path", 256), 1, 32)))
+    tables = ("job_events", "input_segments", "artifacts", "input_rejects")
+
+    def told(root):
+        found = {}
+        for table in tables:
+            rows = commits.read_table(spark, root, table)
+            shown = [name for name in rows.columns if name not in ("event_time", "created_at", "artifact_id")]
+            found[table] = sorted(map(repr, rows.select(*shown).collect()))
+        return found
+
+    ingest.ingest_batch(files, str(tmp_path / "once"), 256)
+    want = told(str(tmp_path / "once"))
+    assert len(want["job_events"]) == 3 * 2 + 2 + 3
+    put, finish = commits.put, commits.finish
+    for stop_at in ("input_rejects", "input_segments", "artifacts", "job_events", "finish"):
+        root = str(tmp_path / stop_at)
+
+        def stopping(rows, where, table, *rest, stop_at=stop_at):
+            put(rows, where, table, *rest)
+            if table == stop_at:
+                raise RuntimeError("stopped")
+
+        def failing(*_):
+            raise RuntimeError("stopped")
+
+        monkeypatch.setattr(commits, "put", stopping)
+        monkeypatch.setattr(commits, "finish", failing)
+        with pytest.raises(RuntimeError):
+            ingest.ingest_batch(files, root, 256)
+        monkeypatch.setattr(commits, "put", put)
+        monkeypatch.setattr(commits, "finish", finish)
+        assert all(rows is None or not rows.count() for rows in (commits.read_table(spark, root, table) for table in tables))
+        ingest.ingest_batch(files, root, 256)
+        assert told(root) == want
+    ingest.ingest_batch(files, root, 256)
+    assert told(root) == want
+
+
+def test_progress_counts_up(spark):
+    rows = [("j", i, 3) for i in range(7)] + [("k", 0, 2)]
+    found = ingest.progress(spark.createDataFrame(rows, "job_id string, segment_index long, rows_count long"), 3).orderBy("job_id", "number").collect()
+    assert [tuple(row) for row in found] == [("j", 0, 3, 9, 3), ("j", 1, 6, 18, 6), ("j", 2, 7, 21, 7), ("k", 0, 1, 2, 1)]
