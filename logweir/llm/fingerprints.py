@@ -189,6 +189,8 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_d
     # Bucketed by row, so that attempts find the digests of a document in one partition without a shuffle.
     name = f"versions_{uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(docs.count() / BUCKET_ROWS), 1)
+    # Spark bounds the number of buckets; beyond that a bucket holds more documents.
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     rows.write.option("compression", "zstd").option("path", new_folder(spark, "versions")).bucketBy(buckets, "_row").saveAsTable(name)
     stored = spark.table(name)
 

@@ -230,9 +230,12 @@ def _stored(docs: DataFrame, doc_id: str, text: str, carried: Iterable[str]) ->
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.encode(F.col(text), "UTF-8").alias("_text"), F.struct(F.lit(1).alias("_"), *[F.col(name) for name in carried]).alias("_rest"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, ceil(total / BLOCK_BYTES))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
+    # By id and text, so that rows of one id, or of none, are dealt out like any others.
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)))
     name = f"repeats_{uuid4().hex}"
-    rows.repartition(blocks, "_block").write.option("compression", "zstd").option("path", new_folder(spark, "repeats")).bucketBy(blocks, "_block").saveAsTable(name)
+    # Spark bounds the number of buckets; beyond that a bucket holds several blocks, which tasks take one by one.
+    buckets = min(blocks, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    rows.repartition(buckets, "_block").write.option("compression", "zstd").option("path", new_folder(spark, "repeats")).bucketBy(buckets, "_block").saveAsTable(name)
     return name, max(1, ceil(total / 14 / BUCKET_ENTRIES))
 
 

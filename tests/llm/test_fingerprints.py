@@ -67,3 +67,16 @@ def test_repeated_rows_null_ids_and_small_tables(spark):
     one = fingerprints.version_fingerprints(spark.createDataFrame(rows[:1], SCHEMA)).collect()
     assert [(row.n_chars, row.near_next) for row in one] == [(5, 1.0)]
     assert fingerprints.version_fingerprints(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_more_buckets_asked_for_than_spark_allows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
+    old = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    rows = [(n, f"line {n}\nshared\nline {n // 2}", "", "") for n in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, fingerprints.version_fingerprints(docs).collect()))
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        assert sorted(map(tuple, fingerprints.version_fingerprints(docs).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", old)

@@ -49,3 +49,22 @@ def test_remaining_documents_keep_their_columns(spark):
 
 def test_empty_table(spark):
     assert repeats.repeated_bytes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_more_blocks_than_buckets_and_many_rows_without_an_id(spark, monkeypatch):
+    """Blocks beyond Spark's bound on buckets share them; rows of one id are spread over blocks."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1_500)
+    monkeypatch.setattr(repeats, "BUCKET_ENTRIES", 100)
+    old = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "5")
+    try:
+        rows = [(n % 90 if n % 3 else None, f"{n} " + "one passage that is long enough to be found again and again; " + f"end {n % 7}" * (n % 5)) for n in range(270)]
+        docs = spark.createDataFrame([(*row, "clash", 0, 1) for row in rows], SCHEMA)
+        blocks = spark.table(repeats._stored(docs, "doc_id", "text", ())[0]).where("_id is null").select("_block").distinct().count()
+        assert blocks > 10
+        got = repeats.repeated_bytes(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", old)
+    ids = [repeats.LAST_ID if n is None else n for n, _ in rows]
+    want = [(n, *row) for n, row in zip(ids, repeats.naive(ids, [text.encode() for _, text in rows]))]
+    assert sorted((repeats.LAST_ID if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == sorted(want)
