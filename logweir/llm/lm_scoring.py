@@ -26,9 +26,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,8 @@ BLOCK = 1 << 14
 #: over until it has made ``LEAST_STEPS``.
 LEAST_BLOCK = 1 << 10
 LEAST_STEPS = 64
+#: Words scored at once, so few that what is computed of them stays in a core's cache.
+PART = 1 << 12
 #: Words gathered before a task trains or scores them.
 BATCH = 1 << 18
 #: Parameters in one row of the averaging, and groups of partitions that are added up first.
@@ -206,68 +208,57 @@ class Steps:
             self.network.parts[name] -= (RATE * gradient / np.sqrt(self.seen[name])).astype(np.float32)
 
 
-@dataclass
-class Numbered:
-    """Texts as class numbers: those of all words one after the other, the number of words of each text, and the words of shared classes."""
-
-    classes: np.ndarray
-    sizes: np.ndarray
-    #: Text and word of each occurrence of a word without a class of its own; words as places in ``words``.
-    text: np.ndarray
-    word: np.ndarray
-    words: list[str]
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
-def classes(text: str | None, known: Vocabulary) -> list[int]:
-    """Class numbers of the words of a text."""
-    return numbered([words_of(text)], known).classes.tolist()
-
-
-def numbered(split: list[list[str]], known: Vocabulary) -> Numbered:
-    """Class numbers of the words of texts; each different word is looked up once."""
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    encoded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
-    words, first = encoded.dictionary.to_pylist(), known.groups**2 - SHARED
-    every = encoded.indices.to_numpy().astype(np.int64)
-    own = np.fromiter((known.get(word, -1) for word in words), np.int64, len(words))
-    shared = np.flatnonzero(own < 0)
-    new = np.full(len(words), -1)
-    new[shared] = np.arange(len(shared))
-    for at in shared.tolist():
-        own[at] = first + shared_class(words[at])
-    at = np.flatnonzero(new[every] >= 0) if len(words) else every
-    return Numbered(own[every], sizes, np.repeat(np.arange(len(sizes)), sizes)[at], new[every[at]], [words[k] for k in shared.tolist()])
+def classes(text: str | None, known: Vocabulary, others: list[str] | None = None) -> list[int]:
+    """Class numbers of the words of a text; words of shared classes are added to ``others``."""
+    own, first = known.get, known.groups**2 - SHARED
+    found = []
+    for word in WORD.findall((text or "").lower()):
+        number = own(word)
+        if number is None:
+            number = first + shared_class(word)
+            if others is not None:
+                others.append(word)
+        found.append(number)
+    return found
 
 
 def shared_class(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
 
 
-def windows(batches: Iterator[pa.RecordBatch], column: int, known: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, Numbered]]:
-    """Word numbers of many texts, the words around each, and the texts they are from."""
-    split, total = [], 0
+def windows(texts: Iterator[str | None], known: Vocabulary, others: list[list[str]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Word numbers of many texts, the words around each, and how many words each text has.
+
+    ``others`` gets a list of the words of shared classes for each text.
+    """
+    outside = known.groups**2
+    edge = [outside] * REACH
+    stream, sizes, total = list(edge), [], 0
+    for text in texts:
+        if others is not None:
+            others.append([])
+        found = classes(text, known, others[-1] if others is not None else None)
+        sizes.append(len(found))
+        total += len(found)
+        stream += found
+        stream += edge
+        if total >= BATCH:
+            yield _windows(stream, sizes, outside)
+            stream, sizes, total = list(edge), [], 0
+    if sizes:
+        yield _windows(stream, sizes, outside)
+
+
+def _windows(stream: list[int], sizes: list[int], outside: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    numbers = np.array(stream, dtype=np.int64)
+    places = np.flatnonzero(numbers != outside)
+    return numbers[places], np.stack([numbers[places + offset] for offset in OFFSETS]), sizes
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str | None]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
-            for text in batch.column(column).slice(start, 256).to_pylist():
-                split.append(words_of(text))
-                total += len(split[-1])
-                if total >= BATCH:
-                    yield _windows(numbered(split, known), known.groups**2)
-                    split, total = [], 0
-    if split:
-        yield _windows(numbered(split, known), known.groups**2)
-
-
-def _windows(found: Numbered, outside: int) -> tuple[np.ndarray, np.ndarray, Numbered]:
-    # Texts lie one after the other with as many words outside between them as a window reaches.
-    places = np.arange(len(found.classes)) + REACH * (1 + np.repeat(np.arange(len(found.sizes)), found.sizes))
-    stream = np.full(len(found.classes) + REACH * (len(found.sizes) + 1), outside)
-    stream[places] = found.classes
-    return found.classes, np.stack([stream[places + offset] for offset in OFFSETS]), found
+            yield from batch.column(column).slice(start, 256).to_pylist()
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -326,14 +317,14 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, text: str =
         def fit(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             steps, total, made, part = Steps(Network.of(start, groups)), 0, 0, None
 
-            def placed(batches):
+            def numbered(batches):
                 nonlocal part
                 for batch in batches:
                     if part is None and batch.num_rows:
                         part = batch.column(0)[0].as_py()
                     yield batch
 
-            for words, around, _ in windows(placed(batches), 1, known):
+            for words, around, _ in windows(_texts(numbered(batches), 1), known):
                 at = 0
                 while at < len(words):
                     size = min(BLOCK, max(LEAST_BLOCK, (total + at) // LEAST_STEPS))
@@ -397,16 +388,18 @@ def score(docs: DataFrame, network: Network, known: Vocabulary, doc_id: str = "d
         own = Network.of(values, groups)
         for batch in batches:
             sums, counts, rest = [], [], []
-            for words, around, texts in windows(iter([batch]), 1, known):
-                found = [own.log_probabilities(words[at : at + BLOCK], around[:, at : at + BLOCK]) for at in range(0, len(words), BLOCK)]
+            others = None if within is None else []
+            for words, around, sizes in windows(_texts(iter([batch]), 1), known, others):
+                found = [own.log_probabilities(words[at : at + PART], around[:, at : at + PART]) for at in range(0, len(words), PART)]
                 found = np.concatenate([[0.0], np.cumsum(np.concatenate(found))]) if found else np.zeros(1)
-                ends = np.cumsum(texts.sizes)
-                sums.append(found[ends] - found[ends - texts.sizes])
-                counts += texts.sizes.tolist()
+                ends = np.cumsum(sizes)
+                sums.append(found[ends] - found[ends - np.array(sizes)])
+                counts += sizes
                 if within is not None:
-                    added, left = _added(texts, within)
-                    sums[-1] += added
-                    rest += left
+                    added = [_added(some, within) for some in others]
+                    sums[-1] += np.array([value for value, _ in added])
+                    rest += [left for _, left in added]
+                    others.clear()
             total = np.concatenate(sums) if sums else np.zeros(0)
             mean = [value / n if n else None for value, n in zip(total.tolist(), counts)]
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())]
@@ -420,20 +413,16 @@ def score(docs: DataFrame, network: Network, known: Vocabulary, doc_id: str = "d
     return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}")
 
 
-def _added(texts: Numbered, within: Shares) -> tuple[np.ndarray, list[list[dict]]]:
-    """For each text the sum of the log-shares of its words, and the words that are not listed with their numbers."""
-    listed = [within.listed.get(word) for word in texts.words]
-    share = np.array([within.once[shared_class(word)] if value is None else value for word, value in zip(texts.words, listed)])
-    count = len(texts.sizes)
-    total = np.bincount(texts.text, share[texts.word], count) if len(texts.text) else np.zeros(count)
-    unlisted = np.array([value is None for value in listed], bool)
-    at = np.flatnonzero(unlisted[texts.word]) if len(texts.text) else texts.text
-    pairs, numbers = np.unique(texts.text[at] * max(1, len(texts.words)) + texts.word[at], return_counts=True)
-    left: list[list[dict]] = [[] for _ in range(count)]
-    for pair, n in zip(pairs.tolist(), numbers.tolist()):
-        text, word = divmod(pair, len(texts.words))
-        left[text].append({"word": texts.words[word], "n": n})
-    return total, left
+def _added(words: list[str], within: Shares) -> tuple[float, list[dict]]:
+    """Log-shares of the words of a text, and the words that are not listed with their numbers."""
+    total, left = 0.0, []
+    for word in words:
+        share = within.listed.get(word)
+        if share is None:
+            share = within.once[shared_class(word)]
+            left.append(word)
+        total += share
+    return total, [{"word": word, "n": n} for word, n in Counter(left).items()]
 
 
 def pseudo_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
