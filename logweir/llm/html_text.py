@@ -1,15 +1,18 @@
 """Main text of web pages by scoring their element tree.
 
-Paragraphs pass points for their length and commas to their ancestors, less the further
-away; a container's points are discounted by the share of its text that is in links. The
+Paragraphs pass points for their length and commas to their ancestors, half as many each
+level up; a container's points are discounted by the share of its text that is in links. The
 best container is kept, as the article it belongs to if there is one, else with those
 siblings that score near it. Menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments never take part; they are told by element,
-role, or the words of class and id.
+role, or the words of class and id. A word alone does not lose an article: words after
+``no``, ``has``, ``with`` say nothing, and an element that turns out to be the wrapper of
+the article (see ``Tree._leave_out``) stays.
 
 A null or empty page has an empty text, as has a page without any text of its own. Broken
 markup is read as browsers do: open elements end with their parent, an unclosed comment
-or script reaches to the end. Pages of any length are read whole, in one pass over the tags.
+or script reaches to the end. Pages of any length and depth are read whole, in one pass over
+the tags and one over the elements.
 Repeated rows and null ids and urls are passed on as they are; other columns are not looked at.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +33,7 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, up to their end tag.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg object".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -44,50 +48,77 @@ ENDS = {
 #: What an implied end does not reach beyond.
 SCOPES = frozenset("ul ol dl table article section div body html menu select main td th".split())
 DROPPED = frozenset("nav footer aside form head button select dialog menu fieldset".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
-#: Words of class or id: fixed values.
-DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion banner "
-    "nav navigation navbar menu menus breadcrumb breadcrumbs pagination pager toolbar masthead footer foot sidebar aside rail widget widgets "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus replies respond social share sharing related recommended recommendations teaser form search hidden".split()
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words of class or id of what is never the article's: fixed values.
+FIRM_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsored navigation nav navbar breadcrumb breadcrumbs pagination "
+    "pager footer cookie cookies consent gdpr newsletter comment comments commentlist disqus replies respond".split()
 )
+#: Words that wrappers of articles have as well: fixed values.
+LOOSE_WORDS = frozenset(
+    "sponsor sponsors promo promotion banner menu menus toolbar masthead foot sidebar aside rail widget widgets notice notices notification alert "
+    "popup modal overlay subscribe subscription signup login social share sharing related recommended recommendations teaser form search hidden".split()
+)
+CARD_WORDS = frozenset("comment comments reply teaser ad sponsored related".split())
+#: Words that turn the next one into something about another element.
+NEGATIONS = frozenset("no not non has have with without".split())
 PAGE_HEADERS = frozenset("header".split())
 PARAGRAPH_LENGTH = 25
+KEEP, LOOSE, FIRM, GONE = range(4)
+
 
+def class_words(value: str) -> set[str]:
+    """Words of a class or id that say what the element is."""
+    found = set()
+    for name in value.split():
+        before = ""
+        for word in WORDS.findall(name):
+            word = word.lower()
+            if before not in NEGATIONS and word not in NEGATIONS:
+                found.add(word)
+            before = word
+    return found
 
-def marked(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is none of the article's."""
+
+def marked(tag: str, attributes: str, inside_article: bool) -> int:
+    """Whether an element is none of the article's: ``GONE`` for sure, ``FIRM`` or ``LOOSE`` by its words, or ``KEEP``."""
     if tag in DROPPED or (tag in PAGE_HEADERS and not inside_article):
-        return True
+        return GONE
+    level = KEEP
     if not attributes or tag in ("html", "body"):
-        return False
+        return level
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
         if name in ("class", "id"):
-            found = {word.lower() for word in WORDS.findall(value)}
-            if found & DROPPED_WORDS and tag not in ("article", "main") or (found & PAGE_HEADERS and not inside_article and tag not in HEADINGS):
-                return True
-            if tag == "article" and found & {"comment", "comments", "reply", "teaser", "ad", "sponsored", "related"}:
-                return True
+            found = class_words(value)
+            if tag == "article" and found & CARD_WORDS:
+                return GONE
+            if tag in ("article", "main"):
+                continue
+            if found & FIRM_WORDS:
+                level = FIRM
+            elif found & LOOSE_WORDS or (found & PAGE_HEADERS and not inside_article and tag not in HEADINGS):
+                level = max(level, LOOSE)
         elif name == "role" and value.lower() in DROPPED_ROLES:
-            return True
+            return GONE
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return GONE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return GONE
+    # The text of an element inside a line is part of that line, so it is decided at once.
+    return level if tag in BLOCKS else GONE if level else KEEP
 
 
 class Tree:
     """Elements of a page by number (``tags``, ``parents``) and its text blocks in order: (element, text, characters in links)."""
 
     def __init__(self, page: str):
-        self.tags, self.parents, self.dropped = ["#page"], [-1], [False]
+        self.tags, self.parents, self.dropped, self.marks = ["#page"], [-1], [False], [KEEP]
         self.blocks: list[tuple[int, str, int]] = []
         self._parts: list[str] = []
         self._linked = 0
         self._read(page)
+        self._leave_out()
 
     def _flush(self, owner: int) -> None:
         if self._parts:
@@ -97,7 +128,9 @@ class Tree:
             self._parts, self._linked = [], 0
 
     def _read(self, page: str) -> None:
-        stack, owners, articles, links, at = [0], [0], 0, 0, 0
+        # ``links``: places of the open links in the stack; ``opened``: how many of a tag are open.
+        stack, owners, articles, links, at = [0], [0], 0, [], 0
+        opened: Counter[str] = Counter()
         end = len(page)
 
         def text(start: int, stop: int) -> None:
@@ -109,13 +142,15 @@ class Tree:
 
         def close(depth: int) -> None:
             """End every element from this place of the stack on."""
-            nonlocal articles, links
+            nonlocal articles
             while len(stack) > depth:
                 tag = self.tags[stack.pop()]
+                opened[tag] -= 1
                 if tag in BLOCKS:
                     self._flush(owners.pop())
                 articles -= tag in ("article", "main")
-                links -= tag == "a"
+                if tag == "a":
+                    links.pop()
 
         while at < end:
             found = TAG.search(page, at)
@@ -127,7 +162,7 @@ class Tree:
             if not tag:
                 continue
             if found[1]:
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if self.tags[stack[depth]] == tag:
                         close(depth)
                         break
@@ -150,43 +185,96 @@ class Tree:
                 self._parts.append(" ")
             if tag in VOID:
                 continue
-            if tag == "a" and links:
-                depth = max(d for d, node in enumerate(stack) if self.tags[node] == "a")
-                if not any(self.tags[node] in BLOCKS for node in stack[depth:]):
-                    close(depth)
+            # A link ends the one before, unless a block lies between.
+            if tag == "a" and links and owners[-1] < stack[links[-1]]:
+                close(links[-1])
             number = len(self.tags)
-            gone = self.dropped[stack[-1]] or marked(tag, found[3], articles > 0)
+            mark = marked(tag, found[3], articles > 0)
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.dropped.append(gone)
+            self.dropped.append(self.dropped[stack[-1]] or mark == GONE)
+            self.marks.append(mark)
+            opened[tag] += 1
+            if tag == "a":
+                links.append(len(stack))
             stack.append(number)
             if tag in BLOCKS:
                 owners.append(number)
             articles += tag in ("article", "main")
-            links += tag == "a"
         text(at, end)
         close(1)
         self._flush(0)
 
+    def _spread(self) -> None:
+        """What is in a dropped element is dropped, its text with it."""
+        for node in range(1, len(self.tags)):
+            self.dropped[node] = self.dropped[node] or self.dropped[self.parents[node]]
+        self.blocks = [block for block in self.blocks if not self.dropped[block[0]]]
+
+    def _sums(self, *own: list[int]) -> None:
+        """Add the numbers of every element to those of all that it is in."""
+        for node in range(len(self.tags) - 1, 0, -1):
+            for numbers in own:
+                numbers[self.parents[node]] += numbers[node]
+
+    def _leave_out(self) -> None:
+        """Drop the elements marked by their words, but not the wrapper of the article.
+
+        One with a firm word stays for a main element, or an article with its title (h1), in it.
+        One with a loose word stays if it has more than half of the page's text outside links and
+        is what the article is in, or all that is in the article: either an article or a heading
+        is in it and no unmarked article elsewhere, or it is in an unmarked article that has no
+        paragraph outside marked elements.
+        """
+        size = len(self.tags)
+        article = [tag in ("article", "main") for tag in self.tags]
+        if FIRM in self.marks:
+            titles = [int(tag == "h1") for tag in self.tags]
+            self._sums(titles)
+            holds = [int(self.tags[node] == "main" or (article[node] and titles[node] > 0)) for node in range(size)]
+            self._sums(holds)
+            for node in range(size):
+                if self.marks[node] == FIRM and not holds[node]:
+                    self.dropped[node] = True
+            self._spread()
+        if LOOSE not in self.marks:
+            return
+        under, home = [False] * size, [0] * size
+        for node in range(1, size):
+            up = self.parents[node]
+            under[node] = under[up] or self.marks[node] == LOOSE
+            home[node] = node if article[node] and not under[node] and not self.dropped[node] else home[up]
+        prose, paragraphs = [0] * size, [0] * size
+        for owner, text, in_links in self.blocks:
+            prose[owner] += len(text) - in_links
+            if self.tags[owner] not in HEADINGS and not under[owner] and len(text) - in_links >= PARAGRAPH_LENGTH:
+                paragraphs[owner] += 1
+        self._sums(prose, paragraphs)
+        clear = any(home[node] == node and prose[node] for node in range(1, size))
+        heads = [int((article[node] or tag in ("h1", "h2", "h3")) and prose[node] > 0) for node, tag in enumerate(self.tags)]
+        self._sums(heads)
+        for node in range(1, size):
+            if self.marks[node] == LOOSE:
+                alone = not paragraphs[home[node]] if home[node] else heads[node] > 0 and not clear
+                self.dropped[node] = self.dropped[node] or not (alone and 2 * prose[node] > prose[0])
+        self._spread()
+
     def kept(self) -> set[int]:
         """The best container, and the siblings that belong to it."""
         size = len(self.tags)
-        score, length, linked = [0.0] * size, [0] * size, [0] * size
+        points, length, linked = [0.0] * size, [0] * size, [0] * size
         for owner, text, in_links in self.blocks:
             length[owner] += len(text)
             linked[owner] += in_links
-            if len(text) < PARAGRAPH_LENGTH:
-                continue
-            points = 1 + text.count(",") + min(len(text) / 100, 3)
-            node = self.parents[owner] if self.tags[owner] in PARAGRAPHS else owner
-            level = 0
-            while node > 0:
-                score[node] += points / (1, 2)[level] if level < 2 else points / (3 * level)
-                node, level = self.parents[node], level + 1
+            if len(text) >= PARAGRAPH_LENGTH:
+                node = self.parents[owner] if self.tags[owner] in PARAGRAPHS else owner
+                points[node] += 1 + text.count(",") + min(len(text) / 100, 3)
         for node in range(size - 1, 0, -1):
             length[self.parents[node]] += length[node]
             linked[self.parents[node]] += linked[node]
-        worth = [s * (1 - l / n) if n else 0.0 for s, l, n in zip(score, linked, length)]
+            points[self.parents[node]] += points[node] / 2
+        points[0] = 0.0
+        worth = [p * (1 - l / n) if n else 0.0 for p, l, n in zip(points, linked, length)]
         best = max(range(size), key=worth.__getitem__)
         if not worth[best]:
             with_text = [node for node in range(size) if length[node] and not self.dropped[node]]
