@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from logweir.catalog import duck
@@ -287,6 +290,55 @@ def m14(t: Tables):
     return final.select("job_id", "node_id", "seq_start", "seq_end", "content", "content_hash")
 
 
+def _total(stage: str, system: str, user: str, shape: str | None = None) -> str:
+    """Adds up the rows that a prompt tells of, in the shape that is asked for."""
+    rows = sum(int(found) for found in re.findall(r'\brows"?: (\d+)', user))
+    if shape is None:
+        return json.dumps({"summary": f"rows: {rows}"})
+    return json.dumps({"rows": rows, "stage": stage, "of": {"each": []}})
+
+
+# Settings of a job by its number: none, own shapes in all stages, in the final one, in the stages before it.
+SHAPE = {"rows": "integer: all rows", "stage": "string", "of": {"each": ["string"]}}
+JOB_SETTINGS = [
+    {},
+    {"map_reduce_output_json_schema": SHAPE, "output_json_schema": SHAPE},
+    {"final_output_json_schema": SHAPE, "report_format": "markdown"},
+    {"intermediate_output_json_schema": SHAPE, "report_format": "incident_report"},
+]
+
+
+@query(
+    "m14_with_settings",
+    "",
+    """SELECT 'job_' || user_id AS job_id, CASE user_id % 4 WHEN 2 THEN 'markdown' WHEN 3 THEN 'incident_report' END AS report_format,
+      CASE WHEN user_id % 4 IN (1, 2)
+        THEN '{' || chr(10) || '  "rows": ' || count(*) || ',' || chr(10) || '  "stage": "FINAL",' || chr(10) || '  "of": {' || chr(10) || '    "each": []' || chr(10) || '  }' || chr(10) || '}'
+        ELSE '{' || chr(10) || '  "ok": true,' || chr(10) || '  "summary": "rows: ' || count(*) || '",' || chr(10) || '  "key_points": [],' || chr(10)
+          || '  "warnings": [],' || chr(10) || '  "source_count": 1' || chr(10) || '}' END AS content
+    FROM events GROUP BY user_id""",
+)
+def m14_with_settings(t: Tables):
+    """The whole tree over jobs with settings of their own, by a callable that answers in the shape each stage asks for."""
+    from pyspark.sql import Window
+
+    from logweir.functions.ids import content_hash
+    from logweir.plans.summarizers import callable_summarizer
+
+    job = F.concat(F.lit("job_"), "user_id").alias("job_id")
+    parts = t.read("events").groupBy("user_id", "event_type").agg(F.count("*").alias("rows_count"))
+    # A job has one row per event type here.
+    index = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_type")) - 1).alias("segment_index")
+    text = F.concat_ws(" ", "event_type", F.lit("rows:"), "rows_count")
+    segments = parts.select(job, index, text.alias("content"), content_hash(text).alias("content_hash"), "rows_count")
+    chosen = F.get(F.array(*[F.lit(json.dumps({"metadata": settings})) for settings in JOB_SETTINGS]), (F.col("user_id") % len(JOB_SETTINGS)).cast("int"))
+    inputs = t.read("events").select("user_id").distinct().select(
+        F.concat(F.lit("in_"), "user_id").alias("artifact_id"), job, F.lit("INPUT").alias("artifact_type"), chosen.alias("metadata"), F.lit("2024").alias("created_at")
+    )
+    summarizer = callable_summarizer(_total, max_calls=8, retries=0)
+    return tree.summarize_segments(segments, summarizer, settings=tree.job_settings(inputs)).select("job_id", "report_format", "content")
+
+
 RESPONSES = [
     "concat('{\"ok\": true, \"summary\": \"', event_type, '\", \"key_points\": [\"a\"], \"warnings\": [], \"source_count\": 3}')",
     "concat('```json\n{\"answer\": \"', event_type, '\", \"warnings\": \"one\"}\n```')",

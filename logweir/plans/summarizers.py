@@ -1,14 +1,17 @@
 """Summarisers: functions from prompts to results, both DataFrames.
 
-Prompts have ``job_id, node_id, stage, system, user``; a summariser keeps all columns
-and adds ``result`` (see ``SUMMARY_TYPE``), null for a prompt without a usable answer, and
-may add ``failure``, the reason. The default is pure Spark SQL. Any Python callable can take its
+Prompts have ``job_id, node_id, stage, system, user`` and, where jobs have settings, ``shape``:
+the JSON Schema of the answer a job wants, null for the summary value. A summariser keeps all
+columns and adds ``result`` (see ``SUMMARY_TYPE``), null for a prompt without a usable answer; it
+may add ``object``, the JSON object that answers a prompt with a shape in place of a result,
+and ``failure``, the reason. The default is pure Spark SQL. Any Python callable can take its
 place; it is called in Arrow batches, at most ``max_calls`` at a time, and every attempt is
 recorded. An answer without JSON is an attempt that failed, and is tried again.
 """
 
 from __future__ import annotations
 
+import inspect
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.ids import content_hash
-from logweir.functions.responses import normalize_responses
+from logweir.functions.responses import normalize_responses, object_responses
 from logweir.functions.scalars import classify_error
 from logweir.functions.summaries import dry_result
 from logweir.functions.text import estimate_tokens
@@ -33,7 +36,7 @@ MAX_CALLS = 5
 
 ATTEMPT_FIELDS = (
     "job_id string, node_id string, stage string, attempt int, status string, "
-    "response string, error_message string, latency_ms long"
+    "response string, error_message string, latency_ms long, shaped boolean"
 )
 
 
@@ -46,40 +49,52 @@ class NoJson(ValueError):
     """An answer in which no JSON value can be read."""
 
 
-def require_json(response: str) -> str:
-    """The answer, if a JSON value starts somewhere in it and can be read to its end."""
+def require_json(response: str, an_object: bool = False) -> str:
+    """The answer, if a JSON value (or object) starts somewhere in it and can be read to its end."""
     decoder, starts = json.JSONDecoder(), [response.find(mark) for mark in "{["]
     text = response.strip()
     try:
-        decoder.raw_decode(text)
-        return response
+        value, _ = decoder.raw_decode(text)
     except (ValueError, RecursionError):
-        pass
-    first = min((start for start in starts if start >= 0), default=None)
-    if first is None:
-        raise NoJson("the answer holds no JSON")
-    try:
-        decoder.raw_decode(response, first)
-    except (ValueError, RecursionError) as error:
-        raise NoJson(f"the JSON of the answer cannot be read: {error}") from None
+        first = min((start for start in starts if start >= 0), default=None)
+        if first is None:
+            raise NoJson("the answer holds no JSON") from None
+        try:
+            value, _ = decoder.raw_decode(response, first)
+        except (ValueError, RecursionError) as error:
+            raise NoJson(f"the JSON of the answer cannot be read: {error}") from None
+    if an_object and not isinstance(value, dict):
+        raise NoJson("the JSON of the answer is no object")
     return response
 
 
-def _attempts(call: Callable[[str, str, str], str], retries: int, backoff_seconds: float):
+def _takes_shape(call: Callable[..., str]) -> bool:
+    try:
+        parameters = inspect.signature(call).parameters
+    except (TypeError, ValueError):
+        return False
+    return "shape" in parameters
+
+
+def _attempts(call: Callable[..., str], retries: int, backoff_seconds: float):
+    takes_shape = _takes_shape(call)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for prompt in batch.itertuples(index=False):
+                shape = prompt.shape if isinstance(prompt.shape, str) else None
+                options = {"shape": shape} if takes_shape else {}
                 for attempt in range(1, retries + 2):
                     started = time.monotonic()
                     status, response, error = "OK", "", ""
                     try:
-                        response = call(prompt.stage, prompt.system, prompt.user)
-                        require_json(response)
+                        response = call(prompt.stage, prompt.system, prompt.user, **options)
+                        require_json(response, shape is not None)
                     except Exception as failure:  # every failure of the callable is an attempt of its own
                         status, error = "ERROR", str(failure)
                     millis = int((time.monotonic() - started) * 1000)
-                    rows.append((prompt.job_id, prompt.node_id, prompt.stage, attempt, status, response, error, millis))
+                    rows.append((prompt.job_id, prompt.node_id, prompt.stage, attempt, status, response, error, millis, shape is not None))
                     if status == "OK":
                         break
                     if attempt <= retries:
@@ -92,17 +107,19 @@ def _attempts(call: Callable[[str, str, str], str], retries: int, backoff_second
 
 def retry_calls(
     prompts: DataFrame,
-    call: Callable[[str, str, str], str],
+    call: Callable[..., str],
     max_calls: int = MAX_CALLS,
     retries: int = MAX_RETRIES,
     backoff_seconds: float = BACKOFF_SECONDS,
 ) -> DataFrame:
     """All attempts, one row each, up to ``retries`` further ones after an error.
 
+    An answer without JSON, or to a prompt with a shape anything but an object, is an error.
     The number of partitions caps the calls in flight. The attempts are written once
     to the checkpoint folder, so reading them twice does not call again.
     """
-    slim = prompts.select("job_id", "node_id", "stage", "system", "user").repartition(max_calls)
+    shape = F.col("shape") if "shape" in prompts.columns else F.lit(None).cast("string").alias("shape")
+    slim = prompts.select("job_id", "node_id", "stage", "system", "user", shape).repartition(max_calls)
     return cut(slim.mapInPandas(_attempts(call, retries, backoff_seconds), ATTEMPT_FIELDS))
 
 
@@ -136,7 +153,7 @@ def call_rows(attempts: DataFrame, prompts: DataFrame, provider: str, model: str
 
 
 def callable_summarizer(
-    call: Callable[[str, str, str], str],
+    call: Callable[..., str],
     max_calls: int = MAX_CALLS,
     retries: int = MAX_RETRIES,
     backoff_seconds: float = BACKOFF_SECONDS,
@@ -144,6 +161,9 @@ def callable_summarizer(
 ) -> Summarizer:
     """A summariser around ``call(stage, system, user) -> response text``.
 
+    A callable with a parameter ``shape`` gets the JSON Schema of the wanted answer, or None.
+    The object that answers a prompt with a shape is kept as it is.
+
     Prompts whose attempts all failed stay in the results, without a result and with the
     last error as ``failure``. ``on_attempts`` gets (attempts, prompts), e.g. to append calls.
     """
@@ -153,12 +173,18 @@ def callable_summarizer(
         if on_attempts is not None:
             on_attempts(attempts, prompts)
         keys = ["job_id", "node_id", "stage"]
-        good = attempts.filter(F.col("status") == "OK").select(*keys, "response")
+        good = attempts.filter(F.col("status") == "OK").select(
+            *keys, F.when(~F.col("shaped"), F.col("response")).alias("_plain"), F.when(F.col("shaped"), F.col("response")).alias("_own")
+        )
+        read = normalize_responses(good, "_plain")
+        if "shape" in prompts.columns:
+            read = object_responses(read, "_own").withColumn("parse_error", F.coalesce("parse_error", "object_error")).drop("object_error")
         # Read once: results and failed nodes are both taken from the answers.
-        answers = cut(normalize_responses(good, "response").drop("response"))
+        answers = cut(read.drop("_plain", "_own"))
         errors = attempts.filter(F.col("status") == "ERROR").groupBy(*keys).agg(F.max_by("error_message", "attempt").alias("_error"))
         joined = prompts.join(answers, keys, "left").join(errors, keys, "left")
-        reason = F.when(F.col("result").isNull(), F.coalesce("parse_error", "_error", F.lit("no answer")))
+        none = F.col("result").isNull() & (F.col("object").isNull() if "object" in answers.columns else F.lit(True))
+        reason = F.when(none, F.coalesce("parse_error", "_error", F.lit("no answer")))
         return joined.withColumn("failure", reason).drop("parse_error", "_error")
 
     return summarize

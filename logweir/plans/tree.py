@@ -86,12 +86,27 @@ def _shape(own: bool) -> Column | None:
     return F.col("shape") if own else None
 
 
+def _wanted(own: bool) -> list[str]:
+    """The column with the shape of the answer, for jobs that have settings."""
+    return ["shape"] if own else []
+
+
 def _outputs(results: DataFrame, *keep: str) -> DataFrame:
-    """Stage results as artifacts: JSON content, its hash, and what the next level needs."""
+    """Stage results as artifacts: JSON content, its hash, and what the next level needs.
+
+    An object of the job's own shape is the content as it is.
+    """
+    if "object" in results.columns:
+        results = with_body(results, "object", "_own_body")
+        given, given_body = F.col("_object"), F.col("_own_body")
+        keep_own = [F.col("object").alias("_object"), "_own_body"]
+    else:
+        given = given_body = F.lit(None).cast("string")
+        keep_own = []
     # The value's fields become columns first, so that none is computed twice.
-    values = results.select(*_FACTS, *keep, *[F.col(f"result.{name}").alias(f"_{name}") for name in RESULT_FIELDS])
+    values = results.select(*_FACTS, *keep, *keep_own, *[F.col(f"result.{name}").alias(f"_{name}") for name in RESULT_FIELDS])
     result = {name: F.col(f"_{name}") for name in RESULT_FIELDS}
-    texts = values.select(*_FACTS, *keep, summary_json(result).alias("content"), summary_body(result).alias("body"))
+    texts = values.select(*_FACTS, *keep, F.coalesce(given, summary_json(result)).alias("content"), F.coalesce(given_body, summary_body(result)).alias("body"))
     return texts.select(
         *_FACTS,
         "content",
@@ -102,17 +117,22 @@ def _outputs(results: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def _has_answer(results: DataFrame) -> Column:
+    has = F.col("result").isNotNull()
+    return has | F.col("object").isNotNull() if "object" in results.columns else has
+
+
 def failed_nodes(results: DataFrame) -> DataFrame:
     """Nodes of a stage without a result: job_id, node_id, stage, reason."""
     reason = F.coalesce("failure", F.lit("no result")) if "failure" in results.columns else F.lit("no result")
-    return results.filter(F.col("result").isNull()).select("job_id", "node_id", "stage", reason.alias("reason"))
+    return results.filter(~_has_answer(results)).select("job_id", "node_id", "stage", reason.alias("reason"))
 
 
 def _answered(results: DataFrame, failed: list[DataFrame] | None) -> DataFrame:
     """Results that are there; nodes without one go to ``failed``."""
     if failed is not None:
         failed.append(failed_nodes(results))
-    return results.filter(F.col("result").isNotNull())
+    return results.filter(_has_answer(results))
 
 
 def without_failed(outputs: DataFrame, failed: list[DataFrame]) -> DataFrame:
@@ -142,6 +162,7 @@ def map_summarize(
         F.col("node_index").alias("seq_start"),
         F.col("node_index").alias("seq_end"),
         F.lit("MAP").alias("stage"),
+        *_wanted(own),
         _system("map", own).alias("system"),
         prompts.map_user(F.col("chunk"), _template("map", own), _shape(own)).alias("user"),
     )
@@ -279,6 +300,7 @@ def reduce_summarize(
         "seq_end",
         *REDUCE_FACTS,
         F.concat(F.lit("REDUCE_L"), F.col("level").cast("string")).alias("stage"),
+        *_wanted(own),
         _system("reduce", own).alias("system"),
         prompts.reduce_user(F.col("summaries"), _template("reduce", own), _shape(own)).alias("user"),
     )
@@ -356,6 +378,7 @@ def finalize(
         F.array("node_id").alias("input_node_ids"),
         F.col("_format.report_format").alias("report_format"),
         F.lit("FINAL").alias("stage"),
+        *_wanted(own),
         _system("final", own).alias("system"),
         (
             prompts.final_user(

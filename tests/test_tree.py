@@ -238,6 +238,34 @@ def test_output_shape_of_a_job_enters_its_prompts(spark):
     assert prompts.REPORT_FORMATS["markdown"] in final.user and said["k", "FINAL"].user.startswith("Create the final user-facing report")
 
 
+def test_answers_of_an_own_shape_are_kept(spark):
+    wanted = {"intermediate_output_json_schema": {"b": "string"}, "output_json_schema": {"b": "string"}}
+    fields = "artifact_id string, job_id string, artifact_type string, metadata string, created_at string"
+    settings = tree.job_settings(spark.createDataFrame([("1", job, "INPUT", json.dumps({"metadata": wanted}), "a") for job in "jl"], fields))
+    segments = spark.createDataFrame(
+        [("j", 0, "a", "h0", 1), ("j", 1, "b", "h1", 1), ("k", 0, "c", "h2", 1), ("l", 0, "list", "h3", 1)],
+        "job_id string, segment_index int, content string, content_hash string, rows_count int",
+    )
+
+    def answer(stage, system, user, shape=None):
+        if "list" in user.split():
+            return '["no object"]'
+        if shape is None:
+            return '{"summary": "plain"}'
+        assert json.loads(shape)["required"] == ["b"]
+        return 'Here: {"z": 1.50, "b": "' + stage + ' \\u00e4", "ok": []} done'
+
+    summarize = summarizers.callable_summarizer(answer, max_calls=2, retries=0)
+    outputs = {row.node_id: row for row in tree.map_summarize(tree.create_map_nodes(segments), summarize, settings).collect()}
+    own = [row for row in outputs.values() if row.job_id == "j"]
+    assert {row.content for row in own} == {'{\n  "z": 1.5,\n  "b": "MAP ä",\n  "ok": []\n}'}
+    assert all(row.body.strip() == row.content for row in own) and len({row.content_hash for row in own}) == 1
+    final, failed = tree.summarize_jobs(segments, summarize, settings=settings)
+    told = {row.job_id: json.loads(row.content) for row in final.collect()}
+    assert told["j"] == {"z": 1.5, "b": "FINAL ä", "ok": []} and told["k"]["summary"] == "plain" and set(told) == {"j", "k"}
+    assert [(row.job_id, row.stage, row.reason) for row in failed.collect()] == [("l", "MAP", "the JSON of the answer is no object")]
+
+
 @pytest.mark.parametrize(
     ("response", "summary", "count"),
     [
