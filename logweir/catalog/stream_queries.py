@@ -75,9 +75,8 @@ TIMEOUTS = Timeouts(queue_seconds=86_400.0, call_seconds=172_800.0, provider_ret
 )
 def st3(t: Tables):
     folder = work_folder(t)
-    found = stale.stream_stale_nodes(events_stream(t, NODE_EVENTS), "0 seconds", TIMEOUTS)
-    finish(found.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/stale"), folder)
-    return t.spark.read.parquet(f"{folder}/stale").select(
+    finish(stale.stream_stale_nodes(events_stream(t, NODE_EVENTS), f"{folder}/stale", "0 seconds", TIMEOUTS), folder)
+    return stale.read_stale_nodes(t.spark, f"{folder}/stale").select(
         "job_id", "node_id", "node_status",
         F.unix_millis("updated_at").alias("updated_millis"), F.unix_millis("stale_at").alias("stale_millis"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,17 +166,50 @@ def test_stale_nodes_are_reported_once_their_time_has_passed(spark, tmp_path):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, NODE_FIELDS).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
         spark.createDataFrame(rows, NODE_FIELDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "nodes"))
-    found = stale.stream_stale_nodes(
-        stream(spark, tmp_path / "nodes", NODE_FIELDS), "0 seconds", nodes.Timeouts(queue_seconds=130.0, call_seconds=0.0)
-    )
     out = str(tmp_path / "stale")
-    run(found.writeStream.format("parquet").outputMode("append").option("path", out), tmp_path, "stale")
-    rows = {row.node_id: row for row in spark.read.parquet(out).collect()}
+    limits = nodes.Timeouts(queue_seconds=130.0, call_seconds=0.0)
+    run(stale.stream_stale_nodes(stream(spark, tmp_path / "nodes", NODE_FIELDS), out, "0 seconds", limits), tmp_path, "stale")
+    rows = {row.node_id: row for row in stale.read_stale_nodes(spark, out).collect()}
     # Running nodes have max(130, 0 + 120) seconds: only "slow" is older than that at the last event.
     assert set(rows) == {"slow"}
     assert rows["slow"].stale_at == START + timedelta(seconds=130)
 
 
+def stale_batches(spark, folder, batches, delay="0 seconds"):
+    """Reports after each batch, by the function that a stream calls; every batch is replayed once."""
+    calls = []
+    writer = stale.stream_stale_nodes(SimpleNamespace(writeStream=SimpleNamespace(foreachBatch=lambda store: store)), folder, delay, nodes.Timeouts(queue_seconds=10.0))
+    for number, rows in enumerate(batches):
+        frame = spark.createDataFrame([("j", name, START + timedelta(seconds=at), f"{at:03}", status) for name, at, status in rows], "job_id string, node_id string, event_time timestamp, event_id string, node_status string")
+        for _ in range(2):
+            writer(frame, number)
+        calls.append(sorted((row.node_id, (row.stale_at - START).total_seconds()) for row in stale.read_stale_nodes(spark, folder).collect()))
+    return calls
+
+
+def test_watched_nodes_leave_when_they_are_told_or_done(spark, tmp_path):
+    out = str(tmp_path / "stale")
+    batches = [
+        [("a", 0, "QUEUED"), ("b", 0, "QUEUED"), ("c", 1, "DONE")],
+        [("b", 9, "DONE"), ("d", 11, "QUEUED")],
+        # Late: "b" has left, "d" is watched; an event of "a" opens it anew.
+        [("b", 3, "QUEUED"), ("d", 10, "DONE"), ("a", 12, "QUEUED")],
+        [],
+        [("e", 40, "DONE")],
+    ]
+    first = [("a", 10.0)]
+    assert stale_batches(spark, out, batches) == [[], first, first, first, [("a", 10.0), ("a", 22.0), ("d", 21.0)]]
+    left = spark.read.parquet(f"{out}/batch_id=4").where("part = 'watched'")
+    assert [row.node_id for row in left.collect()] == ["e"]
+    assert sorted(kept.names(spark, f"{out}/batch_id=1")) == ["_SUCCESS", "part=stale"]
+
+
+def test_delay_of_stale_nodes(spark, tmp_path):
+    batches = [[("a", 0, "QUEUED"), ("b", 12, "DONE")], [("a", 5, "DONE"), ("b", 30, "DONE")]]
+    assert stale_batches(spark, str(tmp_path / "now"), batches) == [[("a", 10.0)]] * 2
+    assert stale_batches(spark, str(tmp_path / "later"), batches, "5 seconds") == [[], []]
+
+
 def test_duplicate_deliveries_are_dropped(spark, tmp_path):
     fields = "job_id string, node_id string, content_hash string, created_at timestamp"
     rows = [("j", f"n{i % 5}", f"h{i % 3}", START + timedelta(seconds=i)) for i in range(60)]
