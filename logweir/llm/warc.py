@@ -12,6 +12,7 @@ empty table makes an empty archive. Other columns of the pages are not looked at
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from logweir.llm.store import new_folder
 #: The base32 alphabet, a fixed value.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 LINE = "\r\n"
+#: Profile of a record whose payload an earlier one has, a fixed value.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32(hex_digits: Column, length: int = 40) -> Column:
@@ -46,8 +49,12 @@ def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(LINE))
 
 
-def records_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One record per page: page_id, exact header text, digest of the full payload, type, refers_to."""
+def records_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> DataFrame:
+    """One record per page: page_id, exact header text, digest of the full payload, type, refers_to.
+
+    ``date`` is the time of all records (``2024-01-01T00:00:00Z``), else the present time.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     facts = pages.select(
         F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"),
@@ -63,9 +70,10 @@ def records_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url
         F.lit(f"WARC/1.1{LINE}"),
         _header("WARC-Type", kind),
         _header("WARC-Record-ID", name(F.col("page_id"))),
+        F.lit(f"WARC-Date: {date}{LINE}"),
         _header("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(own, F.lit("")).otherwise(_header("WARC-Refers-To", name(F.col("first_id")))),
+        F.when(own, F.lit("")).otherwise(F.concat(_header("WARC-Refers-To", name(F.col("first_id"))), F.lit(f"WARC-Profile: {SAME_PAYLOAD}{LINE}"))),
         _header("Content-Type", F.lit("text/html; charset=utf-8")),
         # A revisit carries no block of its own.
         _header("Content-Length", F.when(own, F.col("bytes")).otherwise(F.lit(0)).cast("string")),
@@ -74,10 +82,10 @@ def records_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url
     return records.select("page_id", "digest", kind.alias("record_type"), F.encode(header, "UTF-8").alias("header"))
 
 
-def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> Archive:
+def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> Archive:
     """Write both tables into the shared folder."""
     archive = Archive(new_folder(pages.sparkSession, "warc-payloads"), new_folder(pages.sparkSession, "warc-records"))
-    records_of_pages(pages, page_id, url, html).write.option("compression", "zstd").parquet(archive.records)
+    records_of_pages(pages, page_id, url, html, date).write.option("compression", "zstd").parquet(archive.records)
 
     # Payloads of one digest are equal, so any of them serves; a task passes on one of each.
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")

@@ -19,7 +19,7 @@ def pages(spark):
 
 def test_round_trip(spark):
     df, rows = pages(spark)
-    archive = warc.write_archive(df)
+    archive = warc.write_archive(df, date="2024-05-06T07:08:09Z")
     got = warc.read_archive(spark, archive).withColumn("page_id", warc.page_number(F.col("record_id")).cast("long")).collect()
     assert len(got) == len(rows)
     first = {}
@@ -34,6 +34,8 @@ def test_round_trip(spark):
         assert row.refers_to_id == (None if row.record_type == "response" else f"<urn:page:{first[html or '']}>")
         head, _, block = bytes(row.record).partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ")
+        assert head.count(b"\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n") == 1
+        assert (f"\r\nWARC-Profile: {warc.SAME_PAYLOAD}\r\n".encode() in head) == (row.record_type == "revisit")
         assert block == (payload if row.record_type == "response" else b"") + b"\r\n\r\n"
     stored = spark.read.parquet(archive.payloads)
     assert stored.count() == stored.select("digest").distinct().count() == len(first)
@@ -56,3 +58,12 @@ def test_damaged_and_missing_payloads_are_errors(spark):
 def test_empty_table(spark):
     archive = warc.write_archive(spark.createDataFrame([], SCHEMA))
     assert warc.read_archive(spark, archive).collect() == []
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "u", "a"), (None, "u", "a"), (1, "v", "a"), (2, "w", "b"), (2, "w", "b"), (None, None, None)]
+    archive = warc.write_archive(spark.createDataFrame([(*row, "", "") for row in rows], SCHEMA))
+    found = warc.read_archive(spark, archive).select(warc.page_number(F.col("record_id")).cast("long").alias("n"), "record_type", "payload_bytes", warc.page_number(F.col("refers_to_id")).alias("to"))
+    got = sorted((tuple(row) for row in found.collect()), key=repr)
+    # Null ids come first, so a null id is the response that the page with id 1 refers to.
+    assert got == sorted([(None, "response", 1, None)] * 2 + [(1, "revisit", 1, None)] + [(2, "response", 1, None)] * 2 + [(None, "response", 0, None)], key=repr)
