@@ -351,6 +351,15 @@ PAYLOADS = """, payloads AS (SELECT job_id, node_id, payload FROM node_events WH
     QUALIFY row_number() OVER (PARTITION BY job_id, node_id ORDER BY
       CASE WHEN contains(payload, '"input_node_ids"') THEN 3 WHEN contains(payload, '"chunk_hash"') THEN 2 ELSE 0 END DESC,
       event_time DESC, event_id DESC) = 1)"""
+LINKS = """, listed AS (SELECT n.*, list_filter(list_transform(CAST(json_extract(payload, '$.input_node_ids') AS VARCHAR[]), lambda x: trim(x)), lambda x: x <> '') AS ids
+      FROM node_current n JOIN payloads p ON p.job_id = n.job_id AND p.node_id = n.node_id WHERE node_type <> 'MAP')
+    , edges AS (SELECT *, unnest(ids) AS from_node_id, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS input_index FROM listed)
+    , links AS (SELECT job_id, 'summary-source' AS from_node_id, 'SOURCE' AS from_node_type, node_id AS to_node_id, node_type AS to_node_type,
+      0 AS input_index, 0 AS type_order, level, node_index FROM node_current WHERE node_type = 'MAP'
+    UNION ALL
+    SELECT e.job_id, e.from_node_id, coalesce(f.node_type, ''), e.node_id, e.node_type, e.input_index,
+      CASE e.node_type WHEN 'REDUCE' THEN 1 ELSE 2 END, e.level, e.node_index
+    FROM edges e LEFT JOIN node_current f ON f.job_id = e.job_id AND f.node_id = e.from_node_id)"""
 
 
 @query(
@@ -358,15 +367,8 @@ PAYLOADS = """, payloads AS (SELECT job_id, node_id, payload FROM node_events WH
     "node_events",
     NODE_CURRENT
     + PAYLOADS
-    + """, listed AS (SELECT n.*, list_filter(list_transform(CAST(json_extract(payload, '$.input_node_ids') AS VARCHAR[]), lambda x: trim(x)), lambda x: x <> '') AS ids
-      FROM node_current n JOIN payloads p ON p.job_id = n.job_id AND p.node_id = n.node_id WHERE node_type <> 'MAP')
-    , edges AS (SELECT *, unnest(ids) AS from_node_id, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS input_index FROM listed)
-    SELECT job_id, 'summary-source' AS from_node_id, 'SOURCE' AS from_node_type, node_id AS to_node_id, node_type AS to_node_type,
-      0 AS input_index, 0 AS type_order, level, node_index FROM node_current WHERE node_type = 'MAP'
-    UNION ALL
-    SELECT e.job_id, e.from_node_id, coalesce(f.node_type, ''), e.node_id, e.node_type, e.input_index,
-      CASE e.node_type WHEN 'REDUCE' THEN 1 ELSE 2 END, e.level, e.node_index
-    FROM edges e LEFT JOIN node_current f ON f.job_id = e.job_id AND f.node_id = e.from_node_id""",
+    + LINKS
+    + " SELECT * FROM links",
 )
 def e22(t: Tables):
     return nodes.node_links(nodes.node_current(t.node_events), nodes.node_payload(t.node_events))
@@ -556,3 +558,28 @@ def e23(t: Tables):
     from logweir.plans.job_snapshot import job_snapshots
 
     return job_snapshots(t.job_events, t.node_events, t.artifacts, t.segments)
+
+
+FIRST_EVENTS = """SELECT job_id, '{list}', CAST(event_id AS VARCHAR), event_type, {status}, NULL, NULL, NULL, CAST(r AS INT) FROM (
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY event_time, event_id) AS r FROM {list}) WHERE r <= {limit}"""
+
+
+@query(
+    "e23_snapshot_details",
+    "job_events node_events artifacts",
+    NODE_CURRENT
+    + PAYLOADS
+    + LINKS
+    + f""" SELECT job_id, 'nodes' AS list, node_id AS item_id, node_type AS name, node_status AS status, CAST(level AS INT) AS level,
+      CAST(node_index AS INT) AS item_index, CAST(NULL AS BIGINT) AS counted, CAST(NULL AS INT) AS position FROM node_current
+    UNION ALL SELECT job_id, 'node_counts', NULL, node_status, NULL, NULL, NULL, count(*), NULL FROM node_current GROUP BY job_id, node_status
+    UNION ALL SELECT job_id, 'artifact_counts', NULL, artifact_type, NULL, NULL, NULL, count(*), NULL FROM artifacts GROUP BY job_id, artifact_type
+    UNION ALL SELECT job_id, 'node_links', from_node_id, to_node_id, from_node_type, level, input_index, NULL, NULL FROM links
+    UNION ALL SELECT job_id, 'artifacts', CAST(artifact_id AS VARCHAR), artifact_type, stage, level, NULL, NULL, NULL FROM artifacts
+    UNION ALL {FIRST_EVENTS.format(list="job_events", status="job_status", limit=200)}
+    UNION ALL {FIRST_EVENTS.format(list="node_events", status="node_status", limit=500)}""",
+)
+def e23_details(t: Tables):
+    from logweir.plans.job_snapshot import snapshot_entries
+
+    return snapshot_entries(t.job_events, t.node_events, t.artifacts)

@@ -58,3 +58,39 @@ def snapshot_details(
         "job_events": jobs.timeline(own["jobs"], 200, job_id),
         "node_events": jobs.timeline(own["nodes"], 500, job_id),
     }
+
+
+ENTRY = {
+    "item_id": "string", "name": "string", "status": "string", "level": "int", "item_index": "int", "counted": "long", "position": "int",
+}
+
+
+def snapshot_entries(
+    job_events: DataFrame, node_events: DataFrame, artifacts: DataFrame, job_limit: int = 200, node_limit: int = 500
+) -> DataFrame:
+    """The lists of all jobs' snapshots as one long table: ``job_id, list`` and the fields of an entry.
+
+    Lists are ordered by (level, name, item_index, item_id), those of events by their ``position``
+    among the first of their job. Nothing of a job is gathered: counts are partial aggregates,
+    the limits on events are applied before their shuffle.
+    """
+    current = nodes.node_current(node_events)
+    links = nodes.node_links(current, nodes.node_payload(node_events))
+
+    def entries(listed: str, rows: DataFrame, **fields: str) -> DataFrame:
+        filled = [(F.col(fields[key]) if key in fields else F.lit(None)).cast(kind).alias(key) for key, kind in ENTRY.items()]
+        return rows.select("job_id", F.lit(listed).alias("list"), *filled)
+
+    parts = [
+        entries("nodes", current, item_id="node_id", name="node_type", status="node_status", level="level", item_index="node_index"),
+        entries("node_counts", nodes.status_counts(current), name="node_status", counted="nodes_count"),
+        entries("artifact_counts", nodes.artifact_counts(artifacts), name="artifact_type", counted="artifacts_count"),
+        entries("node_links", links, item_id="from_node_id", name="to_node_id", status="from_node_type", level="level", item_index="input_index"),
+        entries("artifacts", artifacts, item_id="artifact_id", name="artifact_type", status="stage", level="level"),
+        entries("job_events", jobs.timeline(job_events, job_limit), item_id="event_id", name="event_type", status="job_status", position="position"),
+        entries("node_events", jobs.timeline(node_events, node_limit), item_id="event_id", name="event_type", status="node_status", position="position"),
+    ]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return table

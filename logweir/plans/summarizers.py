@@ -15,6 +15,8 @@ import inspect
 import json
 import time
 from collections.abc import Callable, Iterator
+from math import ceil
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from logweir.functions.responses import normalize_responses, object_responses
 from logweir.functions.scalars import classify_error
 from logweir.functions.summaries import dry_result
 from logweir.functions.text import estimate_tokens
-from logweir.session import cut
+from logweir.session import cut, ensure_checkpoint_dir
 
 Summarizer = Callable[[DataFrame], DataFrame]
 
@@ -33,6 +35,8 @@ Summarizer = Callable[[DataFrame], DataFrame]
 MAX_RETRIES = 3
 BACKOFF_SECONDS = 2.0
 MAX_CALLS = 5
+#: Prompts of one task, about: what a lost task asks again.
+TASK_PROMPTS = 500
 
 ATTEMPT_FIELDS = (
     "job_id string, node_id string, stage string, attempt int, status string, "
@@ -111,16 +115,30 @@ def retry_calls(
     max_calls: int = MAX_CALLS,
     retries: int = MAX_RETRIES,
     backoff_seconds: float = BACKOFF_SECONDS,
+    task_prompts: int = TASK_PROMPTS,
 ) -> DataFrame:
     """All attempts, one row each, up to ``retries`` further ones after an error.
 
     An answer without JSON, or to a prompt with a shape anything but an object, is an error.
-    The number of partitions caps the calls in flight. The attempts are written once
-    to the checkpoint folder, so reading them twice does not call again.
+    Prompts are asked in waves of ``max_calls`` tasks, each of about ``task_prompts`` prompts, so the calls
+    in flight are capped however many prompts there are, and a lost task asks its own few
+    again. Attempts of a wave are written before the next one starts; reading them does not call again.
     """
     shape = F.col("shape") if "shape" in prompts.columns else F.lit(None).cast("string").alias("shape")
-    slim = prompts.select("job_id", "node_id", "stage", "system", "user", shape).repartition(max_calls)
-    return cut(slim.mapInPandas(_attempts(call, retries, backoff_seconds), ATTEMPT_FIELDS))
+    slim = cut(prompts.select("job_id", "node_id", "stage", "system", "user", shape))
+    attempts = _attempts(call, retries, backoff_seconds)
+    waves = ceil(slim.count() / (max_calls * task_prompts))
+    if waves <= 1:
+        return cut(slim.repartition(max_calls).mapInPandas(attempts, ATTEMPT_FIELDS))
+    spark = prompts.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/calls-{uuid4().hex}"
+    wave = F.pmod(F.xxhash64("job_id", "node_id", "stage"), F.lit(waves)).alias("wave")
+    slim.select("*", wave).repartition("wave").write.partitionBy("wave").parquet(f"{folder}/prompts")
+    asked = spark.read.schema(slim.select("*", wave.cast("int")).schema).parquet(f"{folder}/prompts")
+    for number in range(waves):
+        part = asked.filter(F.col("wave") == number).drop("wave").repartition(max_calls)
+        part.mapInPandas(attempts, ATTEMPT_FIELDS).write.mode("append").parquet(f"{folder}/attempts")
+    return spark.read.schema(ATTEMPT_FIELDS).parquet(f"{folder}/attempts")
 
 
 def call_rows(attempts: DataFrame, prompts: DataFrame, provider: str, model: str) -> DataFrame:

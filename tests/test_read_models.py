@@ -13,7 +13,7 @@ from logweir.functions.text import estimate_tokens, text_units
 from logweir.operators import artifacts, jobs, nodes, snapshots
 from logweir.operators.cron import is_valid_cron, next_fire
 from logweir.operators.ordered import with_next, with_previous
-from logweir.plans.job_snapshot import snapshot_details
+from logweir.plans.job_snapshot import snapshot_details, snapshot_entries
 from logweir.sources import sinks
 
 START = datetime(2024, 1, 1)
@@ -168,6 +168,18 @@ def test_node_links_of_two_chunks(spark):
     assert {row.node_status: row.nodes_count for row in details["node_counts"].collect()} == {"DONE": 3, "RUNNING": 1}
 
 
+def test_lists_of_all_jobs_agree_with_those_of_one(spark):
+    events = node_events(spark, *[(f"n{i}", i, "DONE" if i % 2 else "PENDING", "MAP", 0, i, "{}") for i in range(6)])
+    created = job_events(spark, ("j", 0, "JOB_CREATED", "CREATED", "{}"))
+    one, rows = snapshot_details("j", created, events, _artifacts(spark)), snapshot_entries(created, events, _artifacts(spark), node_limit=4).collect()
+    of = lambda name: [row for row in rows if row.list == name]
+    assert {row.item_id for row in of("nodes")} == {row.node_id for row in one["nodes"].collect()}
+    assert {(row.name, row.counted) for row in of("artifact_counts")} == {(row.artifact_type, row.artifacts_count) for row in one["artifact_counts"].collect()}
+    assert {row.item_id for row in of("artifacts")} == {row.artifact_id for row in one["artifacts"].collect()}
+    assert sorted(row.position for row in of("node_events")) == [1, 2, 3, 4] and len(of("job_events")) == 1
+    assert {(row.item_id, row.name) for row in of("node_links")} == {("summary-source", f"n{i}") for i in range(6)}
+
+
 def _artifacts(spark):
     fields = "artifact_id string, job_id string, node_id string, artifact_type string, stage string, level int, content_hash string, content string, metadata string, created_at timestamp"
     return spark.createDataFrame(

@@ -111,6 +111,30 @@ def test_calls_are_retried_and_recorded(spark, tmp_path):
     assert len(calls) == 7 and len({row.call_id for row in calls}) == 7
 
 
+def test_waves_cap_the_calls_in_flight(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def slow(stage, system, user):
+        import os
+        import time
+
+        mine = os.path.join(folder, f"call-{user}")
+        open(mine, "w").close()
+        flying = len([name for name in os.listdir(folder) if name.startswith("call-")])
+        time.sleep(0.02)
+        os.unlink(mine)
+        open(os.path.join(folder, f"asked-{user}-{time.time_ns()}"), "w").close()
+        return json.dumps({"summary": str(flying)})
+
+    prompts = spark.range(60).selectExpr("'j' AS job_id", "CAST(id AS STRING) AS node_id", "'MAP' AS stage", "'' AS system", "CAST(id AS STRING) AS user")
+    attempts = summarizers.retry_calls(prompts, slow, max_calls=2, retries=0, task_prompts=5)
+    rows = attempts.collect()
+    assert sorted(int(row.node_id) for row in rows) == list(range(60)) and attempts.count() == 60
+    assert max(int(json.loads(row.response)["summary"]) for row in rows) <= 2
+    # Read twice, asked once.
+    assert len([name for name in tmp_path.iterdir() if name.name.startswith("asked-")]) == 60
+
+
 @pytest.mark.parametrize(
     ("response", "expected"),
     [
