@@ -13,7 +13,7 @@ do not differ; for the others the first size follows from the sizes of the sets.
 among all; two empty texts are alike.
 
 Nulls: a null text is empty, a null id comes last. Rows that repeat an id, or a
-whole row, are documents of their own and follow each other. A single document is its own
+whole row, are documents of their own and follow each other; equal rows are worked on once. A single document is its own
 next one. An empty table gives an empty result. Other columns are not looked at.
 """
 
@@ -38,6 +38,8 @@ CYCLES = 2
 CHECK = 99
 #: Documents in a bucket of the digest table, about.
 BUCKET_ROWS = 2_000
+#: Equal rows that are written out at once.
+LOT = 1 << 16
 EDITED, NEXT = 0, 1
 #: A cell's number holds its pair, row and slot.
 ROW_BITS, PAIR_BITS = 40, 44
@@ -75,40 +77,58 @@ def versions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Each document with its edited text and the digests of its three versions.
 
     Texts are shuffled once, by a hash of the whole row; of the next document only the
-    third that is taken over and the digests travel to its predecessor.
+    third that is taken over and the digests travel to its predecessor. Rows that are equal throughout
+    follow each other: all but the last are their own next ones. They are one row here, with
+    ``_times``, and the last is another.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    base = base.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")).withColumn("n_chars", F.length("text").cast("long"))
-    order = ranked(base.select("doc_id", "_row", "n_chars"), [F.col("doc_id").desc_nulls_last(), F.col("_row").asc()])
-    order = written(order.select("_row", "n_chars", RANK), "order")
-    total = order.count()
-    before = order.select(F.pmod(F.col(RANK), F.lit(max(total, 1))).alias("_at"), F.col("_row").alias("_prior_row"), F.col(RANK).alias("_prior"), F.col("n_chars").alias("_prior_chars"))
-    places = order.join(before, F.pmod(F.col(RANK) - 1, F.lit(max(total, 1))) == F.col("_at"))
-    # Rows that are equal throughout share their places, one each.
-    places = places.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(RANK, "_prior", "_prior_row", "_prior_chars"))).alias("_places"))
+    base = base.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")).withColumn("_mark", F.hash("doc_id", "text"))
+    base = base.withColumn("n_chars", F.length("text").cast("long"))
+    order = ranked(base.select("doc_id", "_row", "_mark", "n_chars"), [F.col("doc_id").desc_nulls_last(), F.col("_row").asc(), F.col("_mark").asc()])
+    runs = order.groupBy("_row", "_mark").agg(F.min(RANK).alias("_first"), F.count("*").alias("_copies"), F.min("n_chars").alias("_chars"))
+    runs = written(runs, "order")
+    total = max(runs.agg(F.sum("_copies")).first()[0] or 0, 1)
+    last = F.col("_first") + F.col("_copies") - 1
+    before = runs.select(F.pmod(last, F.lit(total)).alias("_at"), F.col("_row").alias("_prior_row"), F.col("_mark").alias("_prior_mark"), F.col("_chars").alias("_prior_chars"))
+    places = runs.join(before, F.pmod(F.col("_first") - 1, F.lit(total)) == F.col("_at")).drop("_at", "_chars")
+    places = places.withColumnsRenamed({"_row": "_of_row", "_mark": "_of_mark"})
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / BUCKET_ROWS), 1)
     spread = base.repartition(parts, "_row")
-    numbered = spread.withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    placed = numbered.join(places, "_row").withColumn("_place", F.element_at("_places", F.col("_copy"))).drop("_places", "_copy")
-    taken = F.floor(F.col("_place._prior_chars") / 3).cast("int")
+    once = spread.withColumn("_copy", F.row_number().over(Window.partitionBy("_row", "_mark").orderBy("_row"))).where("_copy = 1").drop("_copy")
+    # Only the row's hash is a join key, as the texts are dealt by it; the second hash tells clashes apart after.
+    placed = once.join(places, (F.col("_row") == F.col("_of_row")) & (F.col("_mark") - F.col("_of_mark") == 0)).drop("_of_row", "_of_mark")
     following = placed.select(
-        F.col("_place._prior_row").alias("_for_row"), F.col("_place._prior").alias("_for"),
-        F.substring("text", F.lit(1), taken).alias("_start"), digests(F.col("text")).alias("next"),
+        F.col("_prior_row").alias("_for_row"), F.col("_prior_mark").alias("_for_mark"),
+        F.substring("text", F.lit(1), F.floor(F.col("_prior_chars") / 3).cast("int")).alias("_start"), digests(F.col("text")).alias("next"),
         # Both sides need all columns of the texts, so Spark shuffles them once for both.
         F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"),
     ).repartition(parts, "_for_row")
-    # Only the row's hash is a join key, as the texts are dealt by it; equal rows are few and told apart after.
-    joined = placed.join(following, (F.col("_row") == F.col("_for_row")) & (F.col(f"_place.{RANK}") - F.col("_for") == 0))
-    left = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
-    edited = F.concat(F.substring("text", F.lit(1), left.cast("int")), "_start")
+    joined = placed.join(following, (F.col("_row") == F.col("_for_row")) & (F.col("_mark") - F.col("_for_mark") == 0))
+    joined = joined.withColumn("own", digests(F.col("text")))
+    # Of equal rows, those that their own kind follows, and the last one.
+    kinds = F.when(F.col("_copies") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    joined = joined.withColumn("_inner", F.explode_outer(kinds))
+    taken = F.floor(F.col("n_chars") / 3).cast("int")
+    of_next = lambda own, other: F.when(F.col("_inner"), own).otherwise(F.col(other))
+    start = of_next(F.substring("text", F.lit(1), taken), "_start")
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - taken).cast("int")), start)
     return joined.select(
-        "_row", F.col(f"_place.{RANK}").alias("_number"), "doc_id", "n_chars", "next_id", "next_chars", edited.alias("edited_text"),
-        digests(F.col("text")).alias("own"), "next",
+        "_row", F.when(F.col("_inner"), F.col("_first")).otherwise(F.col("_first") + F.col("_copies") - 1).alias("_number"),
+        F.when(F.col("_inner"), F.col("_copies") - 1).otherwise(F.lit(1).cast("long")).alias("_times"), "doc_id", "n_chars",
+        of_next(F.col("doc_id"), "next_id").alias("next_id"), of_next(F.col("n_chars"), "next_chars").alias("next_chars"),
+        edited.alias("edited_text"), "own", of_next(F.col("own"), "next").alias("next"),
     ).withColumn("edited", digests(F.col("edited_text")))
 
 
+def repeated(rows: DataFrame, times: str = "_times") -> DataFrame:
+    """Every row as often as ``times`` says, in arrays of at most ``LOT``."""
+    rows = rows.withColumn("_lot", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / LOT))))
+    size = F.least(F.col(times) - F.col("_lot") * LOT, F.lit(LOT)).cast("int")
+    return rows.withColumn("_one", F.explode_outer(F.array_repeat(F.lit(0), size))).drop("_lot", "_one", times)
+
+
 def sketches(rows: DataFrame, attempt: int) -> DataFrame:
     """Subtracted sketches of the pairs of ``rows`` (``_row, _number, _tries`` and the digest arrays): the cells that are not empty.
 
@@ -180,7 +200,7 @@ def differences(rows: DataFrame, attempt: int, with_digests: bool = False) -> Da
 
 
 def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_digests: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Documents with their fingerprints, and of each pair of versions that differ the number of differing digests."""
+    """Documents (equal rows once, with ``_times``) with their fingerprints, and of each pair of versions that differ the number of differing digests."""
     spark = docs.sparkSession
     rows = versions(docs, doc_id, text)
     rows = rows.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
@@ -226,7 +246,8 @@ def version_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         both, apart = F.size("own") + F.size(other), F.coalesce(F.col(f"d{pair}"), F.lit(0))
         return F.when(both == 0, F.lit(1.0)).otherwise((both - apart) / (both + apart)).cast("double")
 
-    return joined.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    result = joined.select(
+        "_times", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("edited", EDITED).alias("near_edited"), likeness("next", NEXT).alias("near_next"),
     )
+    return repeated(result)
