@@ -69,25 +69,6 @@ def test_repeated_rows_null_ids_and_small_tables(spark):
     assert fingerprints.version_fingerprints(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_equal_rows_follow_each_other(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "LOT", 3)
-    rows = [(9, "one\ntwo\nthree")] * 8 + [(5, "four\nfive")] * 3 + [(4, "alone here")] + [(None, None)] * 7
-    got = fingerprints.version_fingerprints(spark.createDataFrame([(*row, "", "") for row in rows], SCHEMA)).collect()
-    want, order = [], [(number, text or "") for number, text in rows]
-    for place, (number, text) in enumerate(order):
-        following = order[(place + 1) % len(order)][1]
-        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
-        want.append((str(number), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(text, edited), 9), round(likeness(text, following), 9)))
-    assert sorted((str(row.doc_id), row.edited_sha256, round(row.near_edited, 9), round(row.near_next, 9)) for row in got) == sorted(want)
-
-
-def test_equal_rows_are_worked_on_once(spark):
-    rows = spark.range(40_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a\nb' AS text").unionByName(spark.range(5).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text"))
-    stored, _ = fingerprints.compared(rows)
-    assert sorted(row["_times"] for row in stored.select("_times").collect()) == [1] * 6 + [39_999]
-    assert fingerprints.version_fingerprints(rows).count() == 40_005
-
-
 def test_more_buckets_asked_for_than_spark_allows(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
     old = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
