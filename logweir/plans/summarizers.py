@@ -35,8 +35,12 @@ Summarizer = Callable[[DataFrame], DataFrame]
 MAX_RETRIES = 3
 BACKOFF_SECONDS = 2.0
 MAX_CALLS = 5
-#: Prompts of one task, about: what a lost task asks again.
+#: Prompts of one task of the first wave, about.
 TASK_PROMPTS = 500
+#: What a lost task asks again: waves that take under half of it are followed by larger ones.
+WAVE_SECONDS = 60.0
+#: Places of prompts in the order of their hash; a wave is a range of them.
+PLACES = 2**40
 
 ATTEMPT_FIELDS = (
     "job_id string, node_id string, stage string, attempt int, status string, "
@@ -120,27 +124,43 @@ def retry_calls(
     """All attempts, one row each, up to ``retries`` further ones after an error.
 
     An answer without JSON, or to a prompt with a shape anything but an object, is an error.
-    Prompts are asked in waves of ``max_calls`` tasks, each of about ``task_prompts`` prompts, so the calls
-    in flight are capped however many prompts there are, and a lost task asks its own few
-    again. Attempts of a wave are written before the next one starts; reading them does not call again.
+    Prompts are asked in waves of ``max_calls`` tasks, so the calls in flight are capped however many
+    prompts there are. A task of the first wave has about ``task_prompts`` prompts. Every wave is a Spark job
+    with a cost of its own, so while calls are fast each wave asks twice as many as the one before; a lost task
+    asks again what it had asked in about ``WAVE_SECONDS``, or its ``task_prompts`` if these take longer.
+    Attempts of a wave are written before the next one starts; reading them does not call again.
     """
     shape = F.col("shape") if "shape" in prompts.columns else F.lit(None).cast("string").alias("shape")
     slim = cut(prompts.select("job_id", "node_id", "stage", "system", "user", shape))
     attempts = _attempts(call, retries, backoff_seconds)
-    waves = ceil(slim.count() / (max_calls * task_prompts))
-    if waves <= 1:
+    first = max_calls * task_prompts
+    total = slim.count()
+    if total <= first:
         return cut(slim.repartition(max_calls).mapInPandas(attempts, ATTEMPT_FIELDS))
     spark = prompts.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/calls-{uuid4().hex}"
-    wave = F.pmod(F.xxhash64("job_id", "node_id", "stage"), F.lit(waves)).alias("wave")
-    slim.select("*", wave).repartition("wave").write.partitionBy("wave").parquet(f"{folder}/prompts")
-    asked = spark.read.schema(slim.select("*", wave.cast("int")).schema).parquet(f"{folder}/prompts")
-    for number in range(waves):
-        part = asked.filter(F.col("wave") == number).drop("wave").repartition(max_calls)
+    # In the order of a hash, so that a wave reads no more than its own part of the files.
+    place = F.pmod(F.xxhash64("job_id", "node_id", "stage"), F.lit(PLACES)).alias("_place")
+    placed = slim.select("*", place)
+    placed.repartitionByRange("_place").sortWithinPartitions("_place").write.parquet(f"{folder}/prompts")
+    asked = spark.read.schema(placed.schema).parquet(f"{folder}/prompts")
+    start, least = 0, ceil(PLACES * first / total)
+    width = least
+    while start < PLACES:
+        part = asked.filter((F.col("_place") >= start) & (F.col("_place") < start + width)).drop("_place").repartition(max_calls)
+        began = time.monotonic()
         part.mapInPandas(attempts, ATTEMPT_FIELDS).write.mode("append").parquet(f"{folder}/attempts")
+        start, width = start + width, next_width(width, least, time.monotonic() - began)
     return spark.read.schema(ATTEMPT_FIELDS).parquet(f"{folder}/attempts")
 
 
+def next_width(width: int, least: int, seconds: float) -> int:
+    """Places of the next wave, by the time the last one took."""
+    if seconds < WAVE_SECONDS / 2:
+        return width * 2
+    return max(least, width // 2) if seconds > WAVE_SECONDS else width
+
+
 def call_rows(attempts: DataFrame, prompts: DataFrame, provider: str, model: str) -> DataFrame:
     """Rows for the table of calls."""
     asked = prompts.select("job_id", "node_id", "stage", "system", "user")

@@ -135,6 +135,22 @@ def test_waves_cap_the_calls_in_flight(spark, tmp_path):
     assert len([name for name in tmp_path.iterdir() if name.name.startswith("asked-")]) == 60
 
 
+def test_waves_of_fast_calls_grow(spark):
+    prompts = spark.range(800).selectExpr("'j' AS job_id", "CAST(id AS STRING) AS node_id", "'MAP' AS stage", "'' AS system", "CAST(id AS STRING) AS user")
+    attempts = summarizers.retry_calls(prompts, lambda stage, system, user: json.dumps({"summary": user}), max_calls=2, retries=0, task_prompts=10)
+    assert sorted((int(row.node_id), json.loads(row.response)["summary"]) for row in attempts.collect()) == sorted((id, str(id)) for id in range(800))
+    # Waves of a fixed size were 40, each with a file a task.
+    assert len(attempts.inputFiles()) <= 20
+
+
+def test_waves_that_take_long_stay_small():
+    least, half = 100, summarizers.WAVE_SECONDS / 2
+    assert summarizers.next_width(100, least, half - 1) == 200
+    assert summarizers.next_width(200, least, half + 1) == 200
+    assert summarizers.next_width(200, least, 2 * half + 1) == 100
+    assert summarizers.next_width(100, least, 100 * half) == 100
+
+
 @pytest.mark.parametrize(
     ("response", "expected"),
     [
