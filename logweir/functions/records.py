@@ -92,6 +92,16 @@ def normalize_columns(
     return record.withColumn("reject_reason", F.when(F.col("raw_line") == "", F.lit(EMPTY_ROW)))
 
 
+def settled(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The same rows, for filters over costly columns.
+
+    Spark moves a filter below a projection and works out there what it asks for once more, here
+    the whole row for each key that is looked up. It doesn't move it below a generator.
+    """
+    made = [name for name in df.columns if name not in keep]
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*made))))
+
+
 def normalize_rows(
     df: DataFrame, row: str, raw_line_column: str | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -144,7 +154,7 @@ def normalize_rows(
     reason = F.when(F.col("_missing"), F.lit(MISSING_COLUMN)).when(
         F.col("raw_line") == "", F.lit(EMPTY_ROW)
     )
-    return record.withColumn("reject_reason", reason).drop("_missing")
+    return settled(record.withColumn("reject_reason", reason).drop("_missing"), keep)
 
 
 def plain_records(df: DataFrame, raw_line: Column, keep: Sequence[str] = ()) -> DataFrame:

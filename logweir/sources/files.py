@@ -23,7 +23,7 @@ from logweir.functions.records import normalize_rows, plain_records
 from logweir.functions.text import is_blank, let, strip
 from logweir.session import cut
 from logweir.sources.formats import FORMATS, UnsupportedFormat, detect_format
-from logweir.sources.splits import CsvLines, JsonItems, Splits, lines_of, may_split, read_splits
+from logweir.sources.splits import WHOLE, CsvLines, JsonItems, Splits, lines_of, may_split, read_splits, read_whole, whole_files
 
 HEAD_BYTES = 65_536
 DELIMITERS = ",;\t"
@@ -163,7 +163,8 @@ def table_cells(line):
     inner = F.regexp_replace(F.regexp_replace(line, r"^\|", ""), r"\|$", "")
     # A line feed ends the last cell, so that a lone backslash there stays one.
     raw = F.regexp_extract_all(F.concat(inner, F.lit("\n|")), F.lit(r"((?:[^|\\]|\\[^\n]|\\(?=\n))*+)\|"), F.lit(1))
-    return F.transform(raw, lambda cell: strip(F.regexp_replace(cell, r"(\\[^|])|\\(\|)", "$1$2")))
+    plain = lambda cell: F.when(cell.contains("\\"), F.regexp_replace(cell, r"(\\[^|])|\\(\|)", "$1$2")).otherwise(cell)
+    return F.transform(raw, lambda cell: strip(plain(cell)))
 
 
 def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_column: str | None = None) -> DataFrame:
@@ -198,7 +199,9 @@ def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_co
         return F.when(short | (~separator & filled), folded)
 
     lined = lines.join(_per_file(headers, len(read.inputFiles())), "source_id").filter(short | (place > F.col("_first")))
-    split = lined.withColumn("_cells", let(table_cells(F.col("value")), fitted)).filter(F.col("_cells").isNotNull())
+    # A generator, so that the filter doesn't split the lines once more.
+    cells = F.explode_outer(F.transform(F.array(table_cells(F.col("value"))), fitted))
+    split = lined.select("*", cells.alias("_cells")).filter(F.col("_cells").isNotNull())
     rows = split.withColumn("_row", F.map_from_arrays("_names", "_cells"))
     records = normalize_rows(rows, "_row", raw_line_column, [*PLACE, "_rows"])
     error = F.when(F.col("_rows") < 2, "table without a data row")
@@ -209,34 +212,54 @@ def read_markdown_table(spark: SparkSession, paths: str | list[str], raw_line_co
 def read_json_array(spark: SparkSession, paths: str | list[str], raw_line_column: str | None = None) -> DataFrame:
     """Records of the first array of each file; objects are normalised, scalars are raw lines.
 
-    The text is cut at its commas, so that a file of one line is read by many tasks as well. A
-    file with an item that cannot be read, or without a closed array, gives one rejected row
-    and nothing else.
+    The text is cut at its commas, so that a file of one line is read by many tasks as well; a file
+    that is too small to be split is one row. A file with an item that cannot be read, or without a
+    closed array, gives one rejected row and nothing else.
     """
     listed = listing(spark, paths)
-    largest = listed.agg(F.max("length")).first()[0] or 0
-    whole = lambda text: F.when(~is_blank(text), F.array(text))
-    read = read_splits(lines_of(spark, paths, separator=","), JsonItems(), may_split(spark, largest), whole)
+    lengths = {row["source_id"]: row["length"] for row in listed.select("source_id", "length").collect()}
+    small = [length for length in lengths.values() if not may_split(spark, length)]
+    size = F.col("_metadata.file_size")
+    found = []
+    if small:
+        found.append(read_whole(whole_files(spark, paths, size <= max(small)), JsonItems()))
+    if len(small) < len(lengths):
+        whole = lambda text: F.when(~is_blank(text), F.array(text))
+        lines = lines_of(spark, paths, separator=",", only=size > max(small, default=0))
+        found.append(read_splits(lines, JsonItems(), True, whole).withColumn("cells", F.col("cells")[0]))
+    if not found:
+        found.append(spark.createDataFrame([], WHOLE))
+    read = fold(DataFrame.unionByName, found)
     # A variant knows the type of each item but sorts the keys; the text keeps their order.
-    items = read.select("source_id", "block", "line", "error", F.col("cells")[0].alias("_text")).withColumn("_item", F.try_parse_json("_text"))
-    unread = F.when(F.col("_item").isNull(), "the JSON array cannot be read")
-    failed = items.groupBy("source_id").agg(F.coalesce(F.min("error"), F.min(unread)).alias("_error")).where(F.col("_error").isNotNull())
-    empty = sorted(set(map(_like_metadata, listed.inputFiles())) - {_like_metadata(row["source_id"]) for row in listed.select("source_id").collect()})
-    if empty:
-        # A scan leaves out files of no bytes; the listing has them.
-        failed = failed.unionByName(spark.createDataFrame([(name, JsonItems().trouble(JsonItems.start)) for name in empty], failed.schema))
-    good = items.drop("error").join(failed.select("source_id"), "source_id", "left_anti").withColumn("_kind", F.schema_of_variant("_item"))
-    objects = good.filter(F.col("_kind").startswith("OBJECT"))
-    values = F.try_variant_get("_item", "$", "map<string,variant>")
+    items = read.withColumnRenamed("cells", "_text").withColumn("_item", F.try_parse_json("_text"))
+    items = items.withColumn("_kind", F.substring_index(F.schema_of_variant("_item"), "<", 1))
+    items = items.withColumn("_values", F.when(F.col("_kind") == "OBJECT", F.try_variant_get("_item", "$", "map<string,variant>")))
     cells = F.map_from_entries(
         F.transform(
             F.json_object_keys("_text"),
-            lambda key: F.struct(key.alias("key"), variant_text(F.try_element_at(F.col("_values"), key)).alias("value")),
+            lambda key: F.struct(key.alias("key"), let(F.try_element_at(F.col("_values"), key), variant_text).alias("value")),
+        )
+    )
+    unread = F.when(F.col("_item").isNull(), "the JSON array cannot be read")
+    # Parsed once: failed files and records are both taken from the items.
+    items = cut(
+        items.select(
+            *PLACE,
+            F.coalesce("error", unread).alias("_error"),
+            "_kind",
+            F.when(F.col("_kind") == "OBJECT", cells).alias("_row"),
+            F.when(F.col("_kind") != "OBJECT", F.coalesce(variant_text(F.col("_item")), F.lit(""))).alias("_plain"),
         )
     )
-    records = normalize_rows(objects.withColumn("_values", values).withColumn("_row", cells), "_row", raw_line_column, PLACE)
-    scalars = good.filter(~F.col("_kind").startswith("OBJECT"))
-    plain = plain_records(scalars, F.coalesce(variant_text(F.col("_item")), F.lit("")), PLACE)
+    failed = items.where(F.col("_error").isNotNull()).groupBy("source_id").agg(F.min("_error").alias("_error"))
+    empty = sorted(set(map(_like_metadata, listed.inputFiles())) - set(map(_like_metadata, lengths)))
+    if empty:
+        # A scan leaves out files of no bytes; the listing has them.
+        failed = failed.unionByName(spark.createDataFrame([(name, JsonItems().trouble(JsonItems.start)) for name in empty], failed.schema))
+    good = items.join(failed.select("source_id"), "source_id", "left_anti")
+    objects = good.filter(F.col("_kind") == "OBJECT")
+    records = normalize_rows(objects, "_row", raw_line_column, PLACE)
+    plain = plain_records(good.filter(F.col("_kind") != "OBJECT"), F.col("_plain"), PLACE)
     broken = failed.select(
         "source_id",
         F.lit(0).cast("long").alias("block"),
@@ -250,12 +273,12 @@ def read_json_array(spark: SparkSession, paths: str | list[str], raw_line_column
 
 def variant_text(value):
     """A JSON value as cell text: booleans as True and False, nested values as JSON."""
-    kind = F.schema_of_variant(value)
     truth = F.when(F.try_variant_get(value, "$", "boolean"), "True").otherwise("False")
-    return (
-        F.when(kind == "BOOLEAN", truth)
-        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(value))
-        .otherwise(F.try_variant_get(value, "$", "string"))
+    return let(
+        F.substring_index(F.schema_of_variant(value), "<", 1),
+        lambda kind: F.when(kind == "BOOLEAN", truth)
+        .when(kind.isin("OBJECT", "ARRAY"), F.to_json(value))
+        .otherwise(F.try_variant_get(value, "$", "string")),
     )
 
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOM = "\ufeff"
@@ -34,13 +34,13 @@ State = tuple[int, ...]
 Lines = Iterator[tuple[int, str]]
 
 
-def lines_of(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
+def lines_of(spark: SparkSession, paths: str | list[str], separator: str | None = None, only: Column | None = None) -> DataFrame:
     """``source_id, block, line, single, value``: lines with their place; ``single`` if the file is one split.
 
-    The byte order mark is dropped.
+    The byte order mark is dropped. ``only`` chooses files by their metadata.
     """
     reader = spark.read if separator is None else spark.read.option("lineSep", separator)
-    lines = reader.text(paths).select(
+    lines = reader.text(paths).where(F.lit(True) if only is None else only).select(
         F.col("_metadata.file_path").alias("source_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
@@ -50,6 +50,39 @@ def lines_of(spark: SparkSession, paths: str | list[str], separator: str | None
     return lines.withColumn("value", F.regexp_replace("value", "^" + BOM, ""))
 
 
+def whole_files(spark: SparkSession, paths: str | list[str], only: Column) -> DataFrame:
+    """``source_id, value``: files of one row each, chosen by their metadata; the byte order mark is dropped."""
+    files = spark.read.text(paths, wholetext=True).where(only)
+    return files.select(F.col("_metadata.file_path").alias("source_id"), F.regexp_replace("value", "^" + BOM, "").alias("value"))
+
+
+WHOLE = "source_id string, block long, line long, cells string, error string"
+
+
+def read_whole(files: DataFrame, form: JsonItems) -> DataFrame:
+    """``source_id, block, line, cells, error`` of the records of files that are one row each; cells are the record's text."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, text in zip(batch.column("source_id"), batch.column("value")):
+                places, texts, error = form.whole(text.as_py())
+                if error:
+                    places, texts = [*places, 0], [*texts, None]
+                count = len(places)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([source.as_py()] * count, pa.string()),
+                        pa.array([0] * count, pa.int64()),
+                        pa.array(places, pa.int64()),
+                        pa.array(texts, pa.string()),
+                        pa.array([None] * (count - bool(error)) + [error] * bool(error), pa.string()),
+                    ],
+                    names=["source_id", "block", "line", "cells", "error"],
+                )
+
+    return files.select("source_id", "value").mapInArrow(parse, WHOLE)
+
+
 def may_split(spark: SparkSession, largest: int) -> bool:
     """Whether Spark may split a file of so many bytes."""
     conf = spark._jsparkSession.sessionState().conf()
@@ -306,6 +339,9 @@ class CsvLines:
 # --------------------------------------------------------------------- JSON
 TOKENS = re.compile(r'"(?:[^"\\]|\\.)*+"|["\[\]{}]', re.DOTALL)
 STRING_END = re.compile(r'(?:[^"\\]|\\.)*+"', re.DOTALL)
+#: What stands at one place of an array: an object without nested values, up to the comma or bracket that ends it.
+FLAT = re.compile(r'\s*+\{(?:[^"{}\[\]]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+\}\s*+(?=[,\]])', re.DOTALL)
+MARKS = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|["\[\]{},]', re.DOTALL)
 BEFORE, WITHIN, BEYOND = range(3)
 
 
@@ -404,3 +440,42 @@ class JsonItems:
             yield Found(0, error=self.trouble((where,)))
         elif item:
             yield Found(at, piece=",".join(item), place=0 if carried else 1)
+
+    def whole(self, text: str) -> tuple[list[int], list[str], str | None]:
+        """Places and texts of the items of a whole file, and what is wrong with it; as :meth:`read` gives them."""
+        places: list[int] = []
+        texts: list[str] = []
+        opening = next((mark for mark in MARKS.finditer(text) if mark.group() in ("[", '"')), None)
+        if opening is None or opening.group() == '"':
+            return places, texts, self.trouble((BEFORE,))
+        begin = opening.end()
+        while True:
+            flat = FLAT.match(text, begin)
+            end = flat.end() if flat else self._end_of_item(text, begin)
+            if end is None:
+                return places, texts, self.trouble((WITHIN,))
+            item = text[begin:end]
+            if item.strip():
+                places.append(begin)
+                texts.append(item)
+            if text[end] != ",":
+                return places, texts, None
+            begin = end + 1
+
+    @staticmethod
+    def _end_of_item(text: str, begin: int) -> int | None:
+        """Place of the comma or bracket that ends an item; None if there is none."""
+        depth = 1
+        for mark in MARKS.finditer(text, begin):
+            sign = mark.group()
+            if sign == '"':
+                return None
+            if sign == "," and depth == 1:
+                return mark.start()
+            if sign in ("[", "{"):
+                depth += 1
+            elif sign in ("]", "}"):
+                depth -= 1
+                if not depth:
+                    return mark.start()
+        return None

@@ -298,3 +298,42 @@ def test_empty_json_files_and_arrays(spark, tmp_path):
     write(tmp_path, "text.json", '"[1]"')
     reasons = {row.source_id.rsplit("/", 1)[1]: row.reject_reason for row in files.read_json_array(spark, str(tmp_path)).collect()}
     assert reasons == {"none.json": "no array in the JSON text", "text.json": "no array in the JSON text"}
+
+
+def test_a_json_file_taken_whole_gives_what_its_comma_parts_give():
+    draw = random.Random(5)
+    parts = ['{"a": 1, "b": "x,]}"}', '{"a": {"b": [1, 2]}}', " 7 ", '"q\\"]"', "[1, [2]]", "", "{", "]", '"open', "}", "\\,", "null", "{}"]
+    for _ in range(3_000):
+        text = draw.choice(["[", '{"k": [', '{"[": 1, "k": [', "", " [ ", '"['])
+        text += ",".join(draw.choice(parts) for _ in range(draw.randrange(6))) + draw.choice(["]", "]}", '], "other": [1]}', ""])
+        found = list(splits.JsonItems().read(iter(enumerate(text.split(","))), (splits.BEFORE, 0, 0), True, True))
+        _, texts, error = splits.JsonItems().whole(text)
+        assert [error] * bool(error) == [item.error for item in found if item.error], text
+        # Items of a file with an error don't count.
+        assert error or texts == [item.cells[0] for item in found if item.cells], text
+
+
+def test_small_json_files_are_one_row_and_large_ones_are_not(spark, tmp_path, small_splits):
+    write(tmp_path, "small.json", '[{"raw_line": "one"}, "two"]')
+    write(tmp_path, "large.json", "[" + ",".join(f'"line {n}"' for n in range(900)) + "]")
+    size = (tmp_path / "small.json").stat().st_size
+    small = splits.whole_files(spark, str(tmp_path), F.col("_metadata.file_size") <= size)
+    # The large file isn't scanned: whole, it might be more than a row holds.
+    assert small.count() == 1 and small.rdd.getNumPartitions() == 1
+    found = rows(files.read_json_array(spark, str(tmp_path)))
+    assert {row.raw_line for row in found} == {"one", "two", *[f"line {n}" for n in range(900)]}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_worked_out_once_below_a_filter(spark, tmp_path):
+    table = write(tmp_path, "a.md", "| time | message |\n|---|---|\n| t1 | one \\| two |\n| t2 | |\n")
+    read = accepted(files.read_markdown_table(spark, table))
+    assert sorted(row.raw_line for row in read.collect()) == ["one | two", "t2"]
+    assert plan_of(read).count("transform_keys") == 1 and plan_of(read).count("regexp_extract_all") == 2
+    texts = write(tmp_path, "a.json", '[{"time": "t1", "message": "one"}, "two"]')
+    read = accepted(files.read_json_array(spark, texts))
+    assert sorted(row.raw_line for row in read.collect()) == ["one", "two"]
+    assert plan_of(read).count("transform_keys") == 1 and "MapInArrow" not in plan_of(read)
