@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.pretty import pretty_json
-from logweir.functions.text import LINE_BREAK, collapse_spaces, estimate_tokens, let, non_blank_parts, strip
+from logweir.functions.text import LINE_BREAK, collapse_spaces, estimate_tokens, is_blank, let, strip
 
 SUMMARY_TYPE = (
     "struct<ok:boolean,summary:string,key_points:array<string>,warnings:array<string>,source_count:int>"
@@ -16,6 +16,9 @@ SUMMARY_TYPE = (
 # Fixed values of the deterministic summariser.
 SUMMARY_CHARS = 420
 KEY_POINTS = 5
+# What is looked at first; the rest of a text only if this is not enough.
+HEAD_CHARS = 640
+HEAD_LINES = 12
 
 _CANONICAL = (
     r"^OBJECT<key_points: ARRAY<(STRING|VOID)>, ok: BOOLEAN, source_count: BIGINT, "
@@ -31,12 +34,24 @@ def dry_summary(stage: Column, text: Column) -> Column:
         F.lit("] "),
         F.when(F.length(flat) > SUMMARY_CHARS, F.concat(F.rtrim(F.substring(flat, 1, SUMMARY_CHARS)), F.lit("..."))).otherwise(flat),
     )
-    return let(collapse_spaces(text), cut)
+    # The head is enough if more than the summary is left of it.
+    enough = lambda head: F.when((F.length(head) > SUMMARY_CHARS) | (F.length(text) <= HEAD_CHARS), head).otherwise(collapse_spaces(text))
+    return let(let(collapse_spaces(F.substring(text, 1, HEAD_CHARS)), enough), cut)
 
 
 def dry_key_points(text: Column) -> Column:
     """The first non-blank lines, white space collapsed."""
-    return F.transform(F.slice(non_blank_parts(text, LINE_BREAK), 1, KEY_POINTS), collapse_spaces)
+
+    def points(lines: Column) -> Column:
+        return F.slice(F.filter(lines, lambda line: ~is_blank(line)), 1, KEY_POINTS)
+
+    def found(parts: Column) -> Column:
+        # The last part is the rest of the text if there are more lines.
+        return F.when(F.size(parts) <= HEAD_LINES, points(parts)).otherwise(
+            let(points(F.slice(parts, 1, HEAD_LINES)), lambda first: F.when(F.size(first) == KEY_POINTS, first).otherwise(points(F.split(text, LINE_BREAK))))
+        )
+
+    return F.transform(let(F.split(text, LINE_BREAK, HEAD_LINES + 1), found), collapse_spaces)
 
 
 def dry_result(stage: Column, user: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+# Visible ASCII is told first, by one range.
+LINE_BREAK = r"(?![ -~])(?:\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029])"
 
 # Fixed values of the token estimate and of the chunk splitter.
 CHARS_PER_TOKEN = 2.2
@@ -32,7 +33,8 @@ def strip(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
+    # Most characters are visible ASCII: one range tells so, before those of the class are gone through.
+    return F.trim(F.regexp_replace(text, f"[[^!-~]&&[{SPACE_CLASS}]]+", " "))
 
 
 def is_blank(text: Column) -> Column:

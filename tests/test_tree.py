@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from logweir.functions import prompts
 from logweir.functions.responses import normalize_responses
 from logweir.functions.schemas import schema_of_examples
-from logweir.functions.summaries import json_text, with_body
+from logweir.functions.summaries import dry_key_points, dry_summary, json_text, with_body
+from logweir.functions.text import LINE_BREAK, SPACE_CLASS
 from logweir.plans import summarizers, tree
 
 
@@ -135,6 +137,24 @@ def test_waves_cap_the_calls_in_flight(spark, tmp_path):
     assert len([name for name in tmp_path.iterdir() if name.name.startswith("asked-")]) == 60
 
 
+def test_the_head_of_a_prompt_gives_what_the_whole_text_gives(spark):
+    import random
+
+    draw = random.Random(3)
+    parts = ["word", " ", "\u3000", "\x85", "\n", "\r\n", "\t ", "é", "\U0001f600", "long" * 30, " " * 500, "\n" * 14, "\x1c", "-"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.choice([0, 3, 30, 120]))) for _ in range(300)]
+    # All of the first lines blank, and all of the first characters.
+    texts += ["\n \n" * 20 + "a\nb", " " * 700 + "tail", "x " * 210, "x " * 211, "y" * 419 + "  z", "y" * 420 + "  z"]
+    found = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", dry_summary(F.lit("MAP"), F.col("text")).alias("summary"), dry_key_points(F.col("text")).alias("points"))
+    for row in found.collect():
+        flat = " ".join(re.sub(f"[{SPACE_CLASS}]+", " ", texts[row.id]).split(" ")).strip(" ")
+        assert row.summary == "[MAP] " + (flat if len(flat) <= 420 else flat[:420].rstrip(" ") + "..."), texts[row.id]
+        lines = [re.sub(f"[{SPACE_CLASS}]+", " ", line).strip(" ") for line in re.split(LINE_BREAK, texts[row.id])]
+        assert row.points == [line for line in lines if line][:5], texts[row.id]
+    # Only the first lines are split off.
+    assert ", 13)" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_waves_of_fast_calls_grow(spark):
     prompts = spark.range(800).selectExpr("'j' AS job_id", "CAST(id AS STRING) AS node_id", "'MAP' AS stage", "'' AS system", "CAST(id AS STRING) AS user")
     attempts = summarizers.retry_calls(prompts, lambda stage, system, user: json.dumps({"summary": user}), max_calls=2, retries=0, task_prompts=10)
