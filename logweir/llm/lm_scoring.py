@@ -26,12 +26,12 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,14 +58,23 @@ BLOCK = 1 << 14
 #: over until it has made ``LEAST_STEPS``.
 LEAST_BLOCK = 1 << 10
 LEAST_STEPS = 64
-#: Words scored at once, so few that what is computed of them stays in a core's cache.
+#: Words whose probabilities are computed at once, so few that what is computed of them stays in a core's cache.
 PART = 1 << 12
-#: Words gathered before a task trains or scores them.
+#: Words gathered before a task trains on them, and code points of texts before it numbers their words; a text is never cut.
 BATCH = 1 << 18
+GATHERED = 1 << 21
+#: Different characters replaced one by one in a text; more are by a pattern.
+FEW_CHARACTERS = 64
 #: Parameters in one row of the averaging, and groups of partitions that are added up first.
 PIECE = 1024
 SALTS = 256
+#: Words of a text that are still to be looked up, with their numbers.
+PAIRS = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
 WORD = re.compile(r"[^\W_]+")
+NO_WORD = re.compile(r"[\W_]+")
+#: ASCII with a blank for all that is no part of a word, and a word that no text has, put between texts.
+BLANKED = "".join(chr(n) if chr(n).isalnum() else " " for n in range(128))
+EDGE = "."
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
 def groups_for(words: int) -> int:
@@ -131,17 +140,19 @@ class Network:
         return Network(parts)
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.parts["near"][0][around[0]]
+        total = np.take(self.parts["near"][0], around[0], axis=0)
         for offset in range(1, len(OFFSETS)):
-            total = total + self.parts["near"][offset][around[offset]]
-        return np.tanh(total + self.parts["shift"])
+            total += np.take(self.parts["near"][offset], around[offset], axis=0)
+        total += self.parts["shift"]
+        return np.tanh(total, out=total)
 
     def _logits(self, hidden: np.ndarray, group: np.ndarray):
         first = hidden @ self.parts["group"]
-        first += self.parts["group_bias"]
         gated = hidden * self.parts["gate"][group]
         second = gated @ self.parts["place"]
-        second += self.parts["place_bias"][group]
+        for part in in_parts(len(hidden)):
+            first[part] += self.parts["group_bias"]
+            second[part] += np.take(self.parts["place_bias"], group[part], axis=0)
         return first, gated, second
 
     def log_probabilities(self, words: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -163,36 +174,54 @@ class Network:
         d_second[rows, place] -= share
         d_gated = d_second @ self.parts["place"].T
         d_total = d_first @ self.parts["group"].T
-        d_total += d_gated * self.parts["gate"][group]
+        d_total += d_gated * np.take(self.parts["gate"], group, axis=0)
         d_total *= 1 - hidden * hidden
         d_gated *= hidden
         # The few groups are summed by a product with their indicators.
         of_group = np.zeros((len(words), self.groups), np.float32)
         of_group[rows, group] = 1
         return {
-            "near": np.stack([summed_rows(some, d_total, self.groups**2 + 1) for some in around]),
+            "near": summed_rows(around, d_total, self.groups**2 + 1),
             "shift": d_total.sum(axis=0), "group": hidden.T @ d_first, "group_bias": d_first.sum(axis=0),
             "gate": of_group.T @ d_gated, "place": gated.T @ d_second, "place_bias": of_group.T @ d_second,
         }
 
 
+def in_parts(words: int) -> list[slice]:
+    """Slices of so few words that what is computed of them stays in a core's cache."""
+    return [slice(at, at + PART) for at in range(0, words, PART)]
+
+
 def log_chosen(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The chosen entry of each row of the log-softmax; the values are used up."""
-    values -= values.max(axis=1, keepdims=True)
+    values -= largest(values)
     some = values[np.arange(len(values)), chosen]
     return some - np.log(np.exp(values, out=values).sum(axis=1))
 
 
 def softmax(values: np.ndarray, parts: int) -> None:
     """Rows become their softmax over a number of parts."""
-    values -= values.max(axis=1, keepdims=True)
-    np.exp(values, out=values)
-    values /= values.sum(axis=1, keepdims=True) * np.float32(parts)
+    for part in in_parts(len(values)):
+        some = values[part]
+        some -= largest(some)
+        np.exp(some, out=some)
+        some /= some.sum(axis=1, keepdims=True) * np.float32(parts)
+
+
+def largest(values: np.ndarray) -> np.ndarray:
+    """The largest entry of each row, as a column."""
+    # Over whole columns, which takes half the time of one short row after another.
+    return np.ascontiguousarray(values.T).max(axis=0)[:, None]
 
 
 def summed_rows(keys: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sum of the rows of each key."""
-    return np.stack([np.bincount(keys, rows[:, k], size) for k in range(rows.shape[1])], axis=1)
+    """Sums of the rows of each key, for each row of ``keys``."""
+    columns = np.ascontiguousarray(rows.T, np.float64)
+    sums = np.empty((len(keys), size, len(columns)))
+    for at, some in enumerate(keys):
+        for k, column in enumerate(columns):
+            sums[at, :, k] = np.bincount(some, column, size)
+    return sums
 
 
 class Steps:
@@ -208,51 +237,93 @@ class Steps:
             self.network.parts[name] -= (RATE * gradient / np.sqrt(self.seen[name])).astype(np.float32)
 
 
-def classes(text: str | None, known: Vocabulary, others: list[str] | None = None) -> list[int]:
-    """Class numbers of the words of a text; words of shared classes are added to ``others``."""
-    own, first = known.get, known.groups**2 - SHARED
-    found = []
-    for word in WORD.findall((text or "").lower()):
-        number = own(word)
-        if number is None:
-            number = first + shared_class(word)
-            if others is not None:
-                others.append(word)
-        found.append(number)
-    return found
+def classes(text: str | None, known: Vocabulary) -> list[int]:
+    """Class numbers of the words of a text."""
+    return class_numbers(pa.array(WORD.findall((text or "").lower()), pa.string()), known).tolist()
+
+
+def class_numbers(words: pa.Array, known: Vocabulary) -> np.ndarray:
+    """Class numbers of words."""
+    own = pc.index_in(words, value_set=pa.array(list(known), words.type)).fill_null(-1).to_numpy()
+    others = np.flatnonzero(own < 0)
+    numbers = np.array([*known.values(), 0])[own]
+    coded = words.take(pa.array(others)).cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    numbers[others] = known.groups**2 - SHARED + np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % SHARED
+    return numbers
 
 
 def shared_class(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
 
 
-def windows(texts: Iterator[str | None], known: Vocabulary, others: list[list[str]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """Word numbers of many texts, the words around each, and how many words each text has.
+@dataclass
+class Windows:
+    """The words of some texts: class numbers of each and of those around it, and its place among the different ``words``.
 
-    ``others`` gets a list of the words of shared classes for each text.
+    The first of the different words is the edge of texts.
     """
-    outside = known.groups**2
-    edge = [outside] * REACH
-    stream, sizes, total = list(edge), [], 0
+
+    numbers: np.ndarray
+    around: np.ndarray
+    places: np.ndarray
+    words: pa.Array
+    classes: np.ndarray
+    sizes: np.ndarray
+
+
+def windows(texts: Iterator[str | None], known: Vocabulary) -> Iterator[Windows]:
+    """Class numbers of the words of many texts, the words around each, and how many words each text has."""
+    some, total = [], 0
     for text in texts:
-        if others is not None:
-            others.append([])
-        found = classes(text, known, others[-1] if others is not None else None)
-        sizes.append(len(found))
-        total += len(found)
-        stream += found
-        stream += edge
-        if total >= BATCH:
-            yield _windows(stream, sizes, outside)
-            stream, sizes, total = list(edge), [], 0
-    if sizes:
-        yield _windows(stream, sizes, outside)
-
-
-def _windows(stream: list[int], sizes: list[int], outside: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    numbers = np.array(stream, dtype=np.int64)
-    places = np.flatnonzero(numbers != outside)
-    return numbers[places], np.stack([numbers[places + offset] for offset in OFFSETS]), sizes
+        some.append(blanked((text or "").lower()))
+        total += len(some[-1])
+        if total >= GATHERED:
+            yield _windows(some, known)
+            some, total = [], 0
+    if some:
+        yield _windows(some, known)
+
+
+def blanked(text: str) -> str:
+    """The text with a blank for every character that is no part of a word."""
+    if text.isascii():
+        return text.translate(BLANKED)
+    others = [character for character in set(text) if not character.isalnum()]
+    if len(others) > FEW_CHARACTERS:
+        return NO_WORD.sub(" ", text)
+    for character in others:
+        text = text.replace(character, " ")
+    return text
+
+
+def _windows(texts: list[str], known: Vocabulary) -> Windows:
+    edge = f" {EDGE}" * REACH
+    joined = "".join([edge, *(f" {text}{edge}" for text in texts)])[1:]
+    # Each different word is looked up once.
+    coded = pc.ascii_split_whitespace(pa.array([joined], pa.large_string())).values.dictionary_encode()
+    found = coded.indices.to_numpy()
+    of_word = class_numbers(coded.dictionary, known)
+    of_word[0] = known.groups**2
+    numbers, places = of_word[found], np.flatnonzero(found)
+    ends = np.flatnonzero(found == 0)[REACH - 1 :: REACH]
+    around = np.stack([numbers[places + offset] for offset in OFFSETS])
+    return Windows(numbers[places], around, found[places], coded.dictionary, of_word, np.diff(ends) - REACH)
+
+
+def gathered(found: Iterator[Windows]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Class numbers of the words of whole texts, ``BATCH`` words at least but in the end, and of those around them."""
+    numbers, around, total = [], [], 0
+    for some in found:
+        ends, start = np.cumsum(some.sizes), 0
+        while (full := np.searchsorted(ends, start + BATCH - total)) < len(ends):
+            part = slice(start, ends[full])
+            yield np.concatenate([*numbers, some.numbers[part]]), np.concatenate([*around, some.around[:, part]], axis=1)
+            numbers, around, total, start = [], [], 0, ends[full]
+        numbers.append(some.numbers[start:])
+        around.append(some.around[:, start:])
+        total += ends[-1] - start
+    if total:
+        yield np.concatenate(numbers), np.concatenate(around, axis=1)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str | None]:
@@ -324,7 +395,7 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, text: str =
                         part = batch.column(0)[0].as_py()
                     yield batch
 
-            for words, around, _ in windows(_texts(numbered(batches), 1), known):
+            for words, around in gathered(windows(_texts(numbered(batches), 1), known)):
                 at = 0
                 while at < len(words):
                     size = min(BLOCK, max(LEAST_BLOCK, (total + at) // LEAST_STEPS))
@@ -382,30 +453,29 @@ def score(docs: DataFrame, network: Network, known: Vocabulary, doc_id: str = "d
     values, groups = network.flat(), network.groups
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = "n_words long, log_likelihood double, mean double"
-    pairs = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network.of(values, groups)
         for batch in batches:
             sums, counts, rest = [], [], []
-            others = None if within is None else []
-            for words, around, sizes in windows(_texts(iter([batch]), 1), known, others):
-                found = [own.log_probabilities(words[at : at + PART], around[:, at : at + PART]) for at in range(0, len(words), PART)]
-                found = np.concatenate([[0.0], np.cumsum(np.concatenate(found))]) if found else np.zeros(1)
-                ends = np.cumsum(sizes)
-                sums.append(found[ends] - found[ends - np.array(sizes)])
-                counts += sizes
+            for found in windows(_texts(iter([batch]), 1), known):
+                words, around = found.numbers, found.around
+                logs = [own.log_probabilities(words[at : at + PART], around[:, at : at + PART]) for at in range(0, len(words), PART)]
+                logs = np.concatenate([[0.0], np.cumsum(np.concatenate(logs))]) if logs else np.zeros(1)
+                ends = np.cumsum(found.sizes)
+                sums.append(logs[ends] - logs[ends - found.sizes])
+                counts.append(found.sizes)
                 if within is not None:
-                    added = [_added(some, within) for some in others]
-                    sums[-1] += np.array([value for value, _ in added])
-                    rest += [left for _, left in added]
-                    others.clear()
+                    added, left = _added(found, known, within)
+                    sums[-1] += added
+                    rest.append(left)
             total = np.concatenate(sums) if sums else np.zeros(0)
-            mean = [value / n if n else None for value, n in zip(total.tolist(), counts)]
+            counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            mean = [value / n if n else None for value, n in zip(total.tolist(), counts.tolist())]
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())]
             names = ["doc_id", "n_words", "log_likelihood", "mean"]
             if within is not None:
-                columns, names = [*columns, pa.array(rest, pairs)], [*names, "rest"]
+                columns, names = [*columns, pa.concat_arrays(rest) if rest else pa.array([], PAIRS)], [*names, "rest"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     if within is not None:
@@ -413,16 +483,22 @@ def score(docs: DataFrame, network: Network, known: Vocabulary, doc_id: str = "d
     return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}")
 
 
-def _added(words: list[str], within: Shares) -> tuple[float, list[dict]]:
-    """Log-shares of the words of a text, and the words that are not listed with their numbers."""
-    total, left = 0.0, []
-    for word in words:
-        share = within.listed.get(word)
-        if share is None:
-            share = within.once[shared_class(word)]
-            left.append(word)
-        total += share
-    return total, [{"word": word, "n": n} for word, n in Counter(left).items()]
+def _added(found: Windows, known: Vocabulary, within: Shares) -> tuple[np.ndarray, pa.Array]:
+    """Log-shares of the words of each text in shared classes, and its words that are not listed with their numbers."""
+    first = known.groups**2 - SHARED
+    shared = (found.classes >= first) & (found.classes < known.groups**2)
+    listed = pc.index_in(found.words, value_set=pa.array(list(within.listed), found.words.type)).fill_null(-1).to_numpy()
+    once = np.array(within.once)[np.where(shared, found.classes - first, 0)]
+    share = np.where(shared, np.where(listed < 0, once, np.array([*within.listed.values(), 0.0])[listed]), 0.0)
+    left = shared & (listed < 0)
+    texts = np.repeat(np.arange(len(found.sizes)), found.sizes)
+    added = np.bincount(texts, share[found.places], len(found.sizes))
+    some = left[found.places]
+    pairs, n = np.unique(texts[some] * len(found.words) + found.places[some], return_counts=True)
+    of_text, places = np.divmod(pairs, len(found.words))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of_text, minlength=len(found.sizes)))])
+    words = pa.StructArray.from_arrays([found.words.take(pa.array(places)).cast(pa.string()), pa.array(n, pa.int32())], fields=list(PAIRS.value_type))
+    return added, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words, type=PAIRS)
 
 
 def pseudo_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import os
 import random
+import types
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -128,3 +130,40 @@ def test_one_round_fits_however_the_input_is_split(spark, parts):
     # What the classes' own frequencies give.
     alone = (counts * np.log(counts / counts.sum())).sum() / counts.sum()
     assert own > other + 0.05 and own > alone - 0.15
+
+
+def test_each_different_word_is_looked_up_once(monkeypatch):
+    looked_up = []
+    monkeypatch.setattr(lm_scoring, "zlib", types.SimpleNamespace(crc32=lambda data: looked_up.append(data) or zlib.crc32(data)))
+    list(lm_scoring.windows(iter(["the rare Rare word " * 500, None, "the word"]), lm_scoring.Vocabulary({"the": 0})))
+    assert len(looked_up) == len(set(looked_up)) <= 3
+
+
+@pytest.mark.parametrize("gathered", [1, 40, 1 << 21])
+def test_words_are_those_of_the_pattern(monkeypatch, gathered):
+    monkeypatch.setattr(lm_scoring, "GATHERED", gathered)
+    monkeypatch.setattr(lm_scoring, "BATCH", 5)
+    symbols = "".join(chr(n) for n in range(0x2190, 0x2190 + 2 * lm_scoring.FEW_CHARACTERS))
+    texts = [None, "", " .. ", "a_b A-b", "The \u0130stanbul caf\u00e9 x\u00b2 \u4e2d\u6587\u3002\u5b57", f"one{symbols}two \u2028 three_", "\t\x1cthe\x00the\n" * 9, "e\u0301t\u00e9 " * 7, "last"]
+    known = lm_scoring.Vocabulary({"the": 0, "b": 1, "two": 2})
+    numbers, around = [], []
+    for text in texts:
+        own = [known[word] if word in known else VOCABULARY - lm_scoring.SHARED + lm_scoring.shared_class(word) for word in lm_scoring.WORD.findall((text or "").lower())]
+        padded = [VOCABULARY] * 2 + own + [VOCABULARY] * 2
+        numbers.append(own)
+        around += [[padded[k - 2], padded[k - 1], padded[k + 1], padded[k + 2]] for k in range(2, len(padded) - 2)]
+    found = list(lm_scoring.windows(iter(texts), known))
+    assert [size for some in found for size in some.sizes] == [len(own) for own in numbers]
+    batches = list(lm_scoring.gathered(iter(found)))
+    assert [n for words, _ in batches for n in words] == sum(numbers, [])
+    assert [row for _, some in batches for row in some.T.tolist()] == around
+    assert all(len(words) >= 5 for words, _ in batches[:-1])
+
+
+def test_gradients_are_the_same_in_parts(monkeypatch):
+    network, draw = Network.start(3), np.random.default_rng(0)
+    words, around = draw.integers(0, VOCABULARY, 500), draw.integers(0, VOCABULARY + 1, (4, 500))
+    whole = network.gradients(words, around)
+    monkeypatch.setattr(lm_scoring, "PART", 64)
+    for name, gradient in network.gradients(words, around).items():
+        np.testing.assert_allclose(gradient, whole[name], atol=1e-6)
